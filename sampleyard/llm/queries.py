@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, sharding, token_files
+from . import byte_bpe, language_id, quality, sharding, token_files, toxicity
+from .common import is_fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,41 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held: int) -> DataFrame:
+    """Texts and labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").where(~is_fold(F.col("doc_id"), parts, held)).select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull()).select("doc_id", label)
+    return docs.join(labels, "doc_id").select("text", label)
+
+
+def _held(scored: DataFrame, parts: int, held: int) -> DataFrame:
+    first = scored.columns[0]
+    return scored.select(first, is_fold(F.col(first), parts, held).alias("held_out"), *scored.columns[1:])
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.fit(_labelled(spark, sf_dir, "quality", 3, 1))
+    return _held(quality.score(table(spark, sf_dir, "documents"), model), 3, 1)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    return toxicity.fit(_labelled(spark, sf_dir, "toxic", 4, 2))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return _held(scored, 4, 2).withColumn("n_offending", F.size("offending"))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> language_id.LanguageModel:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.fit(docs, learn=~is_fold(F.col("doc_id"), 3, 1))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(language_id.identify(table(spark, sf_dir, "documents"), language_model(spark, sf_dir)), 3, 1)
+
+
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, language_id, ngram_join, quality, sharding, token_files, toxicity
+from . import byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, quality, sharding, token_files, toxicity
 from .common import is_fold
 
 
@@ -28,6 +28,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def _labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held: int) -> DataFrame:
     """Texts and labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").where(~is_fold(F.col("doc_id"), parts, held)).select("doc_id", "text")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices
+from .common import bounded_sample, slices, written
 
 NGRAMS = (3, 4)
 REPEAT = "\x00repeat"
@@ -167,19 +167,21 @@ def fit(
                 for t in b.column(0).to_pylist():
                     found, repeats = tokens(t or "")
                     bag = counted(found, repeats, buckets)
-                    ids.append(np.fromiter(bag.keys(), np.int32, len(bag)))
-                    shares.append(np.fromiter(bag.values(), np.float32, len(bag)))
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["y", "ids", "shares"])
-
-    got = rows.mapInArrow(extract, "y int, ids array<int>, shares array<float>").toArrow()
-    labels = np.array(got.column("y").to_pylist(), dtype=np.int64)
+                    ids.append(np.fromiter(bag.keys(), np.int32, len(bag)).tobytes())
+                    shares.append(np.fromiter(bag.values(), np.float32, len(bag)).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], names=["y", "ids", "shares"])
+
+    features_table = written(rows.mapInArrow(extract, "y int, ids binary, shares binary"), "quality-features")
+    # row by row: the driver holds the counts once, as bytes
+    got = [(r["y"], bytes(r["ids"]), bytes(r["shares"])) for r in features_table.toLocalIterator()]
+    got.sort(key=lambda r: (zlib.crc32(r[1]), r[0]))  # not the order of arrival
+    labels = np.array([r[0] for r in got], dtype=np.int64)
     if not len(labels) or labels.min() == labels.max():
         flat = float(labels.mean()) if len(labels) else 0.5
         edge = np.clip(flat, 1e-3, 1 - 1e-3)
         return QualityModel(np.zeros((buckets, 1), np.float32), np.zeros((1, 2)), np.log(np.array([1 - edge, edge])))
-    bags = [(i.values.to_numpy(), s.values.to_numpy()) for i, s in zip(got.column("ids"), got.column("shares"), strict=True)]
-    order = np.argsort([int(i[:16].sum()) if len(i) else 0 for i, _ in bags], kind="stable")  # not the order of arrival
-    return _train([bags[i] for i in order], labels[order], buckets, dim, epochs, rate, seed)
+    bags = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for _, i, x in got]
+    return _train(bags, labels, buckets, dim, epochs, rate, seed)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

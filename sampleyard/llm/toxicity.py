@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices
+from .common import bounded_sample, slices, written
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
@@ -80,30 +80,28 @@ class ToxicityModel:
         return float(min(1.0, max(0.0, 1 - np.exp(clean))))
 
 
-def _train(docs: list[list[list[int]]], labels: np.ndarray, buckets: int, epochs: int, rate: float, decay: float, seed: int) -> ToxicityModel:
-    """Adagrad on the noisy-or likelihood; ``docs`` has the buckets of each sentence of each document."""
+def _train(ids: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, buckets: int, epochs: int, rate: float, decay: float, seed: int) -> ToxicityModel:
+    """Adagrad on the noisy-or likelihood; per document the buckets of all its words, and how many of them each sentence has."""
     rng = np.random.default_rng(seed)
     weights, seen = np.zeros(buckets), np.full(buckets, 1e-2)
     base = float(np.clip(labels.mean(), 1e-4, 1 - 1e-4))
     bias, seen_bias = -5.0, 1.0
-    flat = [np.concatenate([np.asarray(s, np.int64) for s in d]) if d else np.empty(0, np.int64) for d in docs]
-    owner = [np.repeat(np.arange(len(d)), [len(s) for s in d]) for d in docs]
-    usable = np.array([i for i, d in enumerate(docs) if d])
+    usable = np.array([i for i, d in enumerate(lengths) if len(d)], dtype=np.int64)
     for _ in range(epochs):
         rng.shuffle(usable)
         for at in range(0, len(usable), 32):
             part = usable[at : at + 32]
-            counts = np.array([len(docs[i]) for i in part])
+            counts = np.array([len(lengths[i]) for i in part])
             offset = np.concatenate([[0], np.cumsum(counts)])
-            ids = np.concatenate([flat[i] for i in part])
-            sent = np.concatenate([owner[i] + o for i, o in zip(part, offset, strict=False)])
-            z = bias + np.bincount(sent, weights[ids], minlength=offset[-1])
+            own = np.concatenate([ids[i] for i in part])
+            sent = np.repeat(np.arange(offset[-1]), np.concatenate([lengths[i] for i in part]))
+            z = bias + np.bincount(sent, weights[own], minlength=offset[-1])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             clean = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), offset[:-1]))
             y = labels[part]
             pull = np.where(y == 1, -np.minimum(clean / np.maximum(1 - clean, 1e-6), 50.0), 1.0)
             g_sent = np.repeat(pull, counts) * p / len(part)
-            touched, where = np.unique(ids, return_inverse=True)
+            touched, where = np.unique(own, return_inverse=True)
             g = np.bincount(where, g_sent[sent]) + decay * weights[touched]
             seen[touched] += g * g
             weights[touched] -= rate * g / np.sqrt(seen[touched])
@@ -113,8 +111,14 @@ def _train(docs: list[list[list[int]]], labels: np.ndarray, buckets: int, epochs
     return ToxicityModel(weights.astype(np.float32), float(bias), base)
 
 
+def bags(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all words, number of them in each sentence)."""
+    found = [[f for w in words for f in features(w, buckets)] for _, _, words in sentences(text)]
+    return np.array([f for s in found for f in s], dtype=np.int32), np.array([len(s) for s in found], dtype=np.int32)
+
+
 def fit(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", limit: int = 12_000, buckets: int = 1 << 18, epochs: int = 12, rate: float = 0.5, decay: float = 1e-5, seed: int = 1
+    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", limit: int = 8_000, buckets: int = 1 << 18, epochs: int = 12, rate: float = 0.5, decay: float = 1e-5, seed: int = 1
 ) -> ToxicityModel:
     """Train on at most about ``limit`` rows of ``labelled`` (text, label), whole texts.
 
@@ -125,16 +129,19 @@ def fit(
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 256):
-                out = [[[f for w in words for f in features(w, buckets)] for _, _, words in sentences(t or "")] for t in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["y", "bags"])
-
-    got = rows.mapInArrow(extract, "y int, bags array<array<int>>").toArrow()
-    docs = [[s.values.to_numpy() for s in bag] for bag in got.column("bags")]
-    labels = np.array(got.column("y").to_pylist(), dtype=np.int64)
+                out = [bags(t or "", buckets) for t in b.column(0).to_pylist()]
+                columns = [pa.array([o[i].tobytes() for o in out], pa.binary()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(1), *columns], names=["y", "ids", "lengths"])
+
+    features_table = written(rows.mapInArrow(extract, "y int, ids binary, lengths binary"), "toxicity-features")
+    # row by row: the driver holds the buckets once, as bytes
+    got = [(r["y"], bytes(r["ids"]), bytes(r["lengths"])) for r in features_table.toLocalIterator()]
+    got.sort(key=lambda r: (zlib.crc32(r[1]), r[0]))  # not the order of arrival
+    labels = np.array([r[0] for r in got], dtype=np.int64)
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel(np.zeros(buckets, np.float32), -40.0, float(labels.mean()) if len(labels) else 0.0)
-    order = np.argsort([hash(tuple(d[0][:8].tolist())) if d else 0 for d in docs], kind="stable")
-    return _train([docs[i] for i in order], labels[order], buckets, epochs, rate, decay, seed)
+    ids, lengths = ([np.frombuffer(r[i], np.int32) for r in got] for i in (1, 2))
+    return _train(ids, lengths, labels, buckets, epochs, rate, decay, seed)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -192,12 +192,13 @@ def decode(encoded: DataFrame, ranks_file: str, id_col: str = "doc_id") -> DataF
     return encoded.select(id_col, "ids").mapInArrow(join_bytes, f"`{id_col}` {id_type}, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and hashes by which two encodings compare without shipping them."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """Counts and hashes by which two encodings compare without shipping them, and the columns of ``keep``."""
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(keep or []),
     )

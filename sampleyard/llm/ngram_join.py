@@ -35,9 +35,12 @@ from .common import mix64, slices, spread_sql_conf, texts_of, written
 from .components import components
 from .shingles import minhash, multipliers, shingle_set
 
-#: Classes and shingles in a chunk; a cell has two chunks.
-CHUNK_CLASSES = 128
-CHUNK_SHINGLES = 400_000
+#: Most classes and shingles (on average) in a chunk; a cell has two chunks.  A star's sets are shipped
+#: once for each of its chunks, so chunks are as large as a task can hold with ease.
+CHUNK_CLASSES = 1024
+CHUNK_SHINGLES = 1_000_000
+#: Classes whose pairs are counted at once within a cell.
+TILE = 128
 #: Columns of the 0/1 matrices multiplied at once.
 STRIPE = 4096
 
@@ -142,26 +145,39 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
+def _linked(sets: list[np.ndarray], lesser: list[np.ndarray], sides: np.ndarray, threshold: float, diagonal: bool) -> np.ndarray:
+    """Which pairs of a cell reach the threshold and have no lesser common leader, tile by tile."""
+    count = len(sets)
+    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+    linked = np.zeros((count, count), dtype=bool)
+    tiles = [np.arange(at, min(at + TILE, count)) for at in range(0, count, TILE)]
+    for x, rows in enumerate(tiles):
+        for columns in tiles[x:]:
+            if not diagonal and len(np.unique(sides[np.concatenate([rows, columns])])) == 1:
+                continue
+            both = rows if columns is rows else np.concatenate([rows, columns])
+            if len(both) == 2:
+                shared = float(np.isin(sets[both[0]], sets[both[1]], assume_unique=True).sum())
+                common = np.array([[0.0, shared], [shared, 0.0]])
+            else:
+                common = common_counts([sets[i] for i in both])
+            own = common / (sizes[both][:, None] + sizes[both][None, :] - common) >= threshold
+            np.fill_diagonal(own, False)
+            if not diagonal:
+                own &= sides[both][:, None] != sides[both][None, :]
+            if own.any() and any(len(lesser[i]) for i in both):
+                own &= common_counts([lesser[i] for i in both]) == 0
+            if own.any():
+                linked[np.ix_(both, both)] |= own
+    return linked
+
+
 def examine(leader: int, keys: np.ndarray, sides: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], leaders: list[np.ndarray], threshold: float, diagonal: bool) -> list[tuple[int, int, int]]:
     """Rows (a, b, links) of one cell: (key, key, rows linked) for linked classes, (a, b, 0) for forest edges."""
-    sizes = np.array([len(s) for s in sets], dtype=np.float64)
-    if len(sets) == 2:
-        both = float(np.isin(sets[0], sets[1], assume_unique=True).sum())
-        common = np.array([[sizes[0], both], [both, sizes[1]]])
-    else:
-        common = common_counts(sets)
-    linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common)
-    linked &= common / (sizes[:, None] + sizes[None, :] - common) >= threshold
-    np.fill_diagonal(linked, False)
-    if not diagonal:
-        linked &= sides[:, None] != sides[None, :]
+    lesser = [x[x < leader] for x in leaders]  # a pair with a lesser common leader counts there
+    linked = _linked(sets, lesser, sides, threshold, diagonal)
     if not linked.any():
         return []
-    lesser = [x[x < leader] for x in leaders]  # a pair with a lesser common leader counts there
-    if any(map(len, lesser)):
-        linked &= common_counts(lesser) == 0
-        if not linked.any():
-            return []
     links = linked @ weights
     label = _forest(linked)
     out = [(int(k), int(k), int(c)) for k, c in zip(keys, links, strict=True) if c]
@@ -202,7 +218,7 @@ def _verify(cells: DataFrame, threshold: float, partitions: int) -> DataFrame:
     return (
         cells.select("leader", "i", "j", "side", "key", "weight", "leaders", "shingles")
         .repartition(partitions, "leader", "i", "j")
-        .sortWithinPartitions("leader", "i", "j")
+        .sortWithinPartitions("leader", "i", "j", "side")
         .mapInArrow(run, "a long, b long, links long")
     )
 

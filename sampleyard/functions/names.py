@@ -116,9 +116,8 @@ def instruments_of(label: Column, frs: Column) -> Column:
     )
 
 
-def name_parts(path: Column) -> Column:
-    """STRUCT of what each part says, nearest to the file first: kinds, labels, tempos, keys, and the fragments."""
-    frs = fragments(path)
+def name_parts(frs: Column) -> Column:
+    """STRUCT of what the fragments say, nearest to the file first: kind, label, tempo, keys, and the fragments."""
     near = F.reverse(frs)
     return F.struct(
         frs.alias("fragments"),
@@ -133,7 +132,10 @@ def from_parts(parts: Column) -> Column:
     """The verdict STRUCT of :func:`name_parts`: kind, category, key, scale, bpm, instruments, confidence, source."""
     keys = parts["keys"]
     certain = F.get(F.filter(keys, lambda k: k["confidence"] == T.KEY_SCALE_CONFIDENCE), F.lit(0))
-    key = F.coalesce(certain, nearest(keys))
+    return let(F.coalesce(certain, nearest(keys)), lambda key: _verdict(parts, key))
+
+
+def _verdict(parts: Column, key: Column) -> Column:
     flags = F.concat(
         *[parts[c].isNotNull().cast("int").cast("string") for c in ("kind", "label", "bpm")],
         F.when(key.isNull(), "0.0").when(key["confidence"] == T.KEY_SCALE_CONFIDENCE, "0.9").otherwise("0.6"),
@@ -151,8 +153,8 @@ def from_parts(parts: Column) -> Column:
 
 
 def classify_name(path: Column) -> Column:
-    """The whole name pass over one path."""
-    return from_parts(name_parts(path))
+    """The whole name pass over one path, each part computed once."""
+    return let(let(fragments(path), name_parts), from_parts)
 
 
 # --- file-name helpers of single clips ---------------------------------------------------------

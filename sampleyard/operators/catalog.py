@@ -19,7 +19,10 @@ TAGS_DDL = (
     f"genres {GENRES_DDL}, key string, scale string, bpm double, duration double, confidence double, "
     "caption string, backend string, mtime double, scanned_at double, edited boolean"
 )
-TAGS_SCHEMA = T.StructType.fromDDL(TAGS_DDL)
+_GENRES_TYPE = T.ArrayType(T.StructType([T.StructField("genre", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("source", T.StringType())]))
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
+#: Built without a session, so that the module can be imported before there is one.
+TAGS_SCHEMA = T.StructType([T.StructField(n, _GENRES_TYPE if n == "genres" else _TYPES[t]) for n, t in (c.split(" ") for c in TAGS_DDL.split(", "))])
 COLLECTIONS_DDL = "id long, name string, created_at double"
 MEMBERS_DDL = "collection_id long, path string, added_at double"
 EDITABLE = ["filename", "kind", "category", "instruments", "genres", "key", "scale", "bpm", "duration", "confidence", "caption", "backend"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import captions, fusion, names, rules, signal, similarity
 from ..functions import taxonomy as T
 from ..operators import catalog, scan
+from ..sources.shared import checkpointed
 from . import duck
 from .projections import LABELS, projected, with_projections
 
@@ -317,8 +318,8 @@ def instrument_to_category(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, d: str) -> list[list[float]]:
-    """Mean vector of each label, standing for label embeddings: a matrix bounded by the vocabulary."""
-    rows = projected(spark, d, "lib_signal").select("label", F.posexplode("y").alias("at", "v")).groupBy("label", "at").agg(F.round(F.avg("v"), 6).alias("v")).collect()
+    """Scaled mean vector of each label, standing for label embeddings: a matrix bounded by the vocabulary."""
+    rows = projected(spark, d, "lib_signal").select("label", F.posexplode("y").alias("at", "v")).groupBy("label", "at").agg(F.round(4 * F.avg("v"), 6).alias("v")).collect()
     width = max((r["at"] for r in rows), default=-1) + 1
     out = [[0.0] * width for _ in range(LABELS)]
     for r in rows:
@@ -327,7 +328,7 @@ def _prompts(spark: SparkSession, d: str) -> list[list[float]]:
 
 
 PROMPTS = (
-    "flat as (select label, unnest(y) as v, generate_subscripts(y, 1) as k from lib_signal), means as (select label, k, round(avg(v), 6) as v from flat group by 1, 2), prompts as (select label, list(v order by k) as p from means group by 1), "
+    "flat as (select label, unnest(y) as v, generate_subscripts(y, 1) as k from lib_signal), means as (select label, k, round(4 * avg(v), 6) as v from flat group by 1, 2), prompts as (select label, list(v order by k) as p from means group by 1), "
     "sims as (select s.file_id, p.label, list_inner_product(cast(s.y as double[]), p.p) as sim from lib_signal s cross join prompts p)"
 )
 LABEL_NAMES = [f"label{i}" for i in range(LABELS)]
@@ -455,7 +456,7 @@ def progressive_scan(spark: SparkSession, d: str) -> DataFrame:
     old = _old(spark, d).withColumn("instruments", F.array().cast("array<string>"))
     first = lambda df: scan.classify(df, None, "auto")
     second = lambda df: scan.classify(df, None, "clap").withColumn("category", F.lit("second"))
-    stored, status = scan.progressive(files, old, first, second, primary="auto", second_name="clap")
+    stored, status = scan.progressive(files, old, first, second, primary="auto", second_name="clap", keep=checkpointed)
     made = stored.select("path", F.col("category").alias("__new"))
     kept = old.select("path", F.col("category").alias("__old"))
     return status.join(made, "path", "left").join(kept, "path", "left").select("path", "status", F.when(F.col("status") == "cached", F.col("__old")).otherwise(F.col("__new")).alias("category"))

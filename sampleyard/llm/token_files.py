@@ -85,9 +85,10 @@ class PieceEncoder:
     def _piece(self, piece: str) -> bytes:
         if not piece:
             return b""
-        if piece.isascii():
+        plain = piece.isprintable()  # controls are left to the library
+        if plain and piece.isascii():
             return b"".join([self._pre_token(t) for t in _ASCII_SPLIT(piece.lower())])
-        if max(piece) < _LATIN_END:
+        if plain and max(piece) < _LATIN_END:
             split = [t.encode().decode("latin-1").translate(_BYTE_LETTERS) for t in _LATIN_SPLIT(piece.lower())]
             return b"".join([self._pre_token(t) for t in split])
         split = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(piece))

@@ -111,7 +111,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") > 0)
-    return rows.join(wanted, F.col("__id").eqNullSafe(F.col("rep"))).select("key", "__text").mapInArrow(run, "key long, shingles binary")
+    # ``wanted`` grows with the corpus: one plan at every size
+    return rows.join(wanted.hint("merge"), F.col("__id").eqNullSafe(F.col("rep"))).select("key", "__text").mapInArrow(run, "key long, shingles binary")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -279,7 +280,10 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     # (id, how many rows have it, how many of them stay): rows with a null id are their own
     fate = joined.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"), F.sum(F.col("kept").cast("int")).alias("__kept"))
     fate = written(fate, "ngram-fate")
-    matched = docs.join(fate, F.col(id_col).eqNullSafe(F.col("__id")))
-    single = matched.where("__n = 1 and __kept = 1").select(docs.columns)
-    repeated = matched.where("__n > 1 and __kept > 0").select(docs.columns)
-    return single.unionByName(repeated.dropDuplicates())
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        return docs.join(wanted.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id"))).select(*[docs[c] for c in docs.columns])
+
+    single, repeated = rows_of(fate.where("__n = 1 and __kept = 1")), fate.where("__n > 1 and __kept > 0")
+    # ids that several rows have are rare: the texts are shuffled again only if there are any
+    return single if repeated.isEmpty() else single.unionByName(rows_of(repeated).dropDuplicates())

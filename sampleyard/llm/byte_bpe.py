@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import bounded_batches, slices, texts_of
 
 #: Boundaries this close to a chunk's end may still move with the text behind it: the pattern
 #: looks one character past a token, and a contraction takes up to three characters.
@@ -91,7 +91,7 @@ def encode(
                 names = b.schema.names[:-1]
                 yield _id_batch(b.columns[:-1], names, [enc.encode_ordinary(t) for t in texts_of(b.column(len(names)))])
 
-    short = rows.where(F.length("__text") <= chunk_chars).mapInArrow(encode_text, f"`{id_col}` {id_type}, ids array<int>")
+    short = bounded_batches(rows).where(F.length("__text") <= chunk_chars).mapInArrow(encode_text, f"`{id_col}` {id_type}, ids array<int>")
 
     long = rows.where(F.length("__text") > chunk_chars).withColumn("__key", F.unhex(F.sha2("__text", 256)))
 

@@ -88,6 +88,19 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def bounded_batches(df: DataFrame, rows: int = 1024, size: str = "8m") -> DataFrame:
+    """``df``, after lowering the session's Arrow batches to ``rows`` rows and ``size`` bytes, where they are larger.
+
+    A batch is held by the JVM and by the Python worker at once, and by several tasks of an executor; with
+    long texts the default of 10,000 rows or 64 MB is a large part of an executor's memory.
+    """
+    conf, most, byte = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(most)) <= rows:
+        conf.set(most, str(rows))
+        conf.set(byte, size)
+    return df
+
+
 def slices(batch: pa.RecordBatch, rows: int) -> list[pa.RecordBatch]:
     """Zero-copy slices of at most ``rows`` rows, so that what a task holds at once stays small."""
     return [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)]

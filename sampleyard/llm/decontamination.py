@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import bounded_batches, slices, texts_of
 from .shingles import multipliers, shingle_hashes, shingle_set
 
 #: Shingles in a block; windows begin at blocks.
@@ -116,7 +116,7 @@ def contaminated(
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type}, n_shared long, n_item long, containment double"
     out = [
-        docs.select(id_col, text_col).mapInArrow(_search(block, n, threshold, recall, [id_col, item_col]), schema)
+        bounded_batches(docs).select(id_col, text_col).mapInArrow(_search(block, n, threshold, recall, [id_col, item_col]), schema)
         for block in _blocks(items, item_col, item_text_col, block_items)
     ]
     return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], schema)
@@ -125,7 +125,7 @@ def contaminated(
 def uncontaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_items: int = 20_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     for block in _blocks(items, item_col, item_text_col, block_items):
-        docs = docs.mapInArrow(_filter(block, n, threshold, recall, text_col), docs.schema)
+        docs = bounded_batches(docs).mapInArrow(_filter(block, n, threshold, recall, text_col), docs.schema)
     return docs
 
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -131,15 +131,16 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 accepted = pa.array([f[0] != UNKNOWN and f[2] >= min_margin for f in found])
                 yield pa.RecordBatch.from_arrays([b.column(0), lang, score, margin, accepted], names=[id_col, "lang_pred", "score", "margin", "accepted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double, margin double, accepted boolean")
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double, margin double, accepted boolean")
 
 
 def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_margin: float = 0.001) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`identify` accepts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [model.classify(t) for t in b.column(b.schema.names.index(text_col)).to_pylist()]
-            yield b.filter(pa.array([f[0] != UNKNOWN and f[2] >= min_margin for f in found], pa.bool_()))
+        for whole in batches:
+            for b in slices(whole, 256):
+                found = [model.classify(t) for t in b.column(b.schema.names.index(text_col)).to_pylist()]
+                yield b.filter(pa.array([f[0] != UNKNOWN and f[2] >= min_margin for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, spread_sql_conf, texts_of, written
+from .common import bounded_batches, mix64, slices, spread_sql_conf, texts_of, written
 from .components import components
 from .shingles import minhash, multipliers, shingle_set
 
@@ -86,7 +86,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, row
                     names=[id_col, "key", "n_shingles", "bands"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, key long, n_shingles int, bands array<long>")
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, key long, n_shingles int, bands array<long>")
 
 
 def _stars(classes: DataFrame) -> DataFrame:

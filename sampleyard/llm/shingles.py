@@ -18,7 +18,7 @@ WORD = re.compile(r"\w+")
 #: Odd multipliers that give each place in a shingle its own weight.
 _PLACE = np.uint64(0x100000001B3)
 #: A worker's word cache is emptied at this many words, so it is bounded whatever the corpus.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 131_072
 
 
 class WordHashes(dict):

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices, written
+from .common import bounded_batches, bounded_sample, slices, written
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features beside the word itself.
 BEGINNINGS = (4, 5, 6, 7)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 131_072
 
 
 def features(word: str, buckets: int) -> list[int]:
@@ -133,7 +133,7 @@ def fit(
                 columns = [pa.array([o[i].tobytes() for o in out], pa.binary()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([b.column(1), *columns], names=["y", "ids", "lengths"])
 
-    features_table = written(rows.mapInArrow(extract, "y int, ids binary, lengths binary"), "toxicity-features")
+    features_table = written(bounded_batches(rows).mapInArrow(extract, "y int, ids binary, lengths binary"), "toxicity-features")
     # row by row: the driver holds the buckets once, as bytes
     got = [(r["y"], bytes(r["ids"]), bytes(r["lengths"])) for r in features_table.toLocalIterator()]
     got.sort(key=lambda r: (zlib.crc32(r[1]), r[0]))  # not the order of arrival
@@ -166,15 +166,16 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
                     names=[id_col, "score", "predicted", "offending"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int, offending array<struct<start:int,end:int,p:double>>")
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int, offending array<struct<start:int,end:int,p:double>>")
 
 
 def clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, that score below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [model.score(model.spans(t or "")) < threshold for t in b.column(b.schema.names.index(text_col)).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for b in slices(whole, 256):
+                keep = [model.score(model.spans(t or "")) < threshold for t in b.column(b.schema.names.index(text_col)).to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -89,7 +89,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 
 def bounded_batches(df: DataFrame, rows: int = 1024, size: str = "8m") -> DataFrame:
-    """``df``, after lowering the session's Arrow batches to ``rows`` rows and ``size`` bytes, where they are larger.
+    """``df``, after setting the session's Arrow batches to ``rows`` rows and ``size`` bytes, where they had more rows.
 
     A batch is held by the JVM and by the Python worker at once, and by several tasks of an executor; with
     long texts the default of 10,000 rows or 64 MB is a large part of an executor's memory.

@@ -88,3 +88,18 @@ def test_articles_come_out_of_their_templates(spark):
     assert (text[100], text[101], text[102], text[103]) == ("", "", "plain words", "alone <here>")
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_extraction.extract(table.limit(0)).count() == 0
+
+
+def texts_of(spark, rows):
+    table = spark.createDataFrame([(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(rows)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(html_extraction.extract(table).collect(), key=lambda r: r["page_id"])]
+
+
+def test_structure_decides_before_names(spark):
+    """Names inside the article cut nothing; varying parts beside it go without a name."""
+    story = "<div class=story><h1>Title {i}</h1><div class='post share-price'>Price {i} rose in the long session of the day {i}.</div><figure><figcaption>Caption {i}</figcaption></figure><header><h2>Part {i}</h2></header><p>Text number {i} goes on for a while, {i} words.</p></div>"
+    rows = [("a.example", f"<body><div class=x1>Menu {i % 5} of six</div>{story.format(i=i)}<div class=x2>Low {i % 5} line</div></body>") for i in range(8)]
+    want = [f"Title {i} Price {i} rose in the long session of the day {i}. Caption {i} Part {i} Text number {i} goes on for a while, {i} words." for i in range(8)]
+    assert texts_of(spark, rows) == want
+    alone = texts_of(spark, [("b.example", "<body><div class='ad box'>Buy</div><div class='post share-price'>Prices</div></body>")])
+    assert alone == ["Prices"]

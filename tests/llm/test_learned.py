@@ -103,3 +103,19 @@ def test_structure_decides_before_names(spark):
     assert texts_of(spark, rows) == want
     alone = texts_of(spark, [("b.example", "<body><div class='ad box'>Buy</div><div class='post share-price'>Prices</div></body>")])
     assert alone == ["Prices"]
+
+
+def test_templates_of_small_hosts_copies_and_optional_parts(spark):
+    def made(i, body, ad="Advert"):
+        return f"<body><div class=top>Site name</div><script>n={i}</script><div class=slot>{ad}</div><div class=story>{body}</div><div class=low>Imprint</div></body>"
+
+    few = [("two.example", made(i, f"<p>Story {i} of two pages.</p>")) for i in range(2)] + [("three.example", made(i, f"<p>Story {i} of three pages.</p>")) for i in range(3)]
+    assert texts_of(spark, few) == ["Story 0 of two pages.", "Story 1 of two pages.", *(f"Story {i} of three pages." for i in range(3))]
+    copied, other = "<p>" + "The same article again and again. " * 12 + "</p>", "<p>Another article, number {i}. " + "It has its own words {i}. " * 12 + "</p>"
+    rows = [("c.example", made(i, copied if i < 32 else other.format(i=i), f"Advert {i}")) for i in range(40)]
+    got = texts_of(spark, rows)
+    assert all("The same article again" in t for t in got[:32]) and all(f"number {i}." in got[i] for i in range(32, 40))
+    table = "<table><tr><td>Seven and eight</td></tr></table>"
+    rows = [("o.example", made(i, f"<p>Story {i} with some more words in it {i}.</p>" + (table if i < 2 else f"<table><tr><td>Own {i}</td></tr></table>" if i < 5 else ""))) for i in range(30)]
+    got = texts_of(spark, rows)
+    assert [t.endswith("Seven and eight") for t in got] == [i < 2 for i in range(30)] and got[4].endswith("Own 4") and not any("Imprint" in t for t in got)

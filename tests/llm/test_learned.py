@@ -119,3 +119,12 @@ def test_templates_of_small_hosts_copies_and_optional_parts(spark):
     rows = [("o.example", made(i, f"<p>Story {i} with some more words in it {i}.</p>" + (table if i < 2 else f"<table><tr><td>Own {i}</td></tr></table>" if i < 5 else ""))) for i in range(30)]
     got = texts_of(spark, rows)
     assert [t.endswith("Seven and eight") for t in got] == [i < 2 for i in range(30)] and got[4].endswith("Own 4") and not any("Imprint" in t for t in got)
+
+
+def test_every_sibling_and_layout_is_aligned(spark):
+    story = "<div><p>Story {i} is told here in words of its own {i}.</p></div>"
+    rows = [("a.example", f"<body><div><p>menu</p></div>{story.format(i=i)}<div><p>footer</p></div></body>") for i in range(9)]
+    # a notice that one page alone lacks, whichever page is the reference, and a second layout
+    rows += [("b.example", f"<body>{'' if i == lacks else '<section>Notice to all</section>'}{story.format(i=i)}</body>") for lacks in (0,) for i in range(9)]
+    rows += [("c.example", f"<body>{'<ul><li>one</li></ul>' if i % 2 else '<dl><dt>other</dt></dl>'}{story.format(i=i)}</body>") for i in range(12)]
+    assert texts_of(spark, rows) == [f"Story {i} is told here in words of its own {i}." for n in (9, 9, 12) for i in range(n)]

@@ -1,6 +1,8 @@
 """Operator 1: benchmark decontamination by size-partitioned MinHash containment search.
 
-Test items are partitioned by size (powers of two of their shingle counts).  For each size class
+Test items of at most ``SHORT`` shingles are looked up exactly: of m shingles at least k must be
+shared, so one of any m - k + 1 is, and these few, the rarest among the items, are indexed.  Longer
+items are partitioned by size (powers of two of their shingle counts).  For each size class
 documents are searched in sliding windows just longer than the class, so that an item's Jaccard
 similarity with the window that holds it stays high however long the document is; the number of
 MinHash functions follows from the target recall at the worst such similarity.  A window is a
@@ -18,6 +20,7 @@ empty tables give an empty table; null ids are kept; other columns pass or are i
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,6 +34,8 @@ from .shingles import multipliers, shingle_hashes, shingle_set
 
 #: Shingles in a block; windows begin at blocks.
 BLOCK = 16
+#: Shingles up to which items are looked up exactly.
+SHORT = 16
 MASK = np.uint64(0xFFFF)
 
 
@@ -42,22 +47,36 @@ def size_class(shingles: int) -> int:
 def functions_needed(threshold: float, recall: float) -> int:
     """MinHash functions for which a window agrees with a just-contained item of its class at least once with ``recall``.
 
-    The worst case is the least item of a class: just over half its size, in a window one block
-    longer than the class.
+    The worst case of a class is its least item, of one shingle over half its size, in a window one block
+    longer than the class; of all classes it is the least, as the block weighs most there.
     """
-    worst = threshold * 0.5 / (2 + (1 - threshold) * 0.5)  # the least class, whose window is two blocks
+    size = 2 * SHORT
+    least = size // 2 + 1
+    worst = threshold * least / (size + BLOCK + (1 - threshold) * least)
     return math.ceil(math.log(1 - recall) / math.log(1 - worst))
 
 
+def needed(size: int, threshold: float) -> int:
+    """Shared shingles with which an item of ``size`` reaches the threshold."""
+    return next((k for k in range(1, size + 1) if k / size >= threshold), size + 1)
+
+
 class ItemIndex:
-    """MinHash values of a block of items by size class, with tables to find windows that share one."""
+    """Rare shingles of the short items of a block, and MinHash values of the others by size class, with tables to find what shares one."""
 
-    def __init__(self, sets: list[np.ndarray], count: int):
+    def __init__(self, sets: list[np.ndarray], count: int, threshold: float):
         self.sets = sets
+        short = [i for i, s in enumerate(sets) if 0 < len(s) <= SHORT]
+        often = Counter(h for i in short for h in sets[i].tolist())
+        rare = [(h, i) for i in short for h in sorted(sets[i].tolist(), key=lambda h: (often[h], h))[: len(sets[i]) - needed(len(sets[i]), threshold) + 1]]
+        rare.sort()
+        self.rare, self.rare_items = np.array([h for h, _ in rare], dtype=np.uint64), np.array([i for _, i in rare], dtype=np.int64)
+        self.rare_quick = np.zeros(int(MASK) + 1, dtype=bool)
+        self.rare_quick[(self.rare >> np.uint64(48)) & MASK] = True
         self.a, self.b = multipliers(count, seed=11)
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for size in sorted({size_class(len(s)) for s in sets if len(s)}):
-            members = np.array([i for i, s in enumerate(sets) if len(s) and size_class(len(s)) == size])
+        for size in sorted({size_class(len(s)) for s in sets if len(s) > SHORT}):
+            members = np.array([i for i, s in enumerate(sets) if len(s) > SHORT and size_class(len(s)) == size])
             lanes = []
             for k in range(count):
                 values = np.array([(sets[i] * self.a[k] + self.b[k]).min() for i in members], dtype=np.uint64)
@@ -70,7 +89,7 @@ class ItemIndex:
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) pairs in which a window and an item agree; documents are hashes in text order."""
         full = [(i, h) for i, h in enumerate(docs) if len(h)]
-        if not full or not self.classes:
+        if not full:
             return set()
         starts, owners, at = [], [], 0
         for i, h in full:
@@ -80,7 +99,13 @@ class ItemIndex:
             at += len(h)
         hashes, starts, owner = np.concatenate([h for _, h in full]), np.concatenate(starts), np.concatenate(owners)
         found: set[tuple[int, int]] = set()
-        for k in range(len(self.a)):
+        if len(self.rare):
+            hit = np.nonzero(self.rare_quick[(hashes >> np.uint64(48)) & MASK])[0]
+            left, right = (np.searchsorted(self.rare, hashes[hit], side) for side in ("left", "right"))
+            whose = np.repeat([i for i, _ in full], [len(h) for _, h in full])[hit]
+            for d, lo, hi in zip(whose[right > left], left[right > left], right[right > left], strict=True):
+                found.update((int(d), int(m)) for m in self.rare_items[lo:hi])
+        for k in range(len(self.a) if self.classes else 0):
             least = np.minimum.reduceat(hashes * self.a[k] + self.b[k], starts)
             width = 1
             for size, lanes in self.classes.items():  # ascending: each window starts from the shorter one's minimum
@@ -141,7 +166,7 @@ def _blocks(items: DataFrame, item_col: str, item_text_col: str, block_items: in
 
 def _index(block, n: int, threshold: float, recall: float) -> tuple[list, ItemIndex]:
     ids = [i for i, _ in block.value]
-    return ids, ItemIndex([shingle_set(t, n) for _, t in block.value], functions_needed(threshold, recall))
+    return ids, ItemIndex([shingle_set(t, n) for _, t in block.value], functions_needed(threshold, recall), threshold)
 
 
 def _verified(texts: list[str], index: ItemIndex, n: int, threshold: float) -> list[tuple[int, int, int, int]]:

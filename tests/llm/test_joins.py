@@ -122,3 +122,18 @@ def test_components_of_a_path_a_hub_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(500, 500), (None, 3)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
+
+
+def test_short_items_at_any_place_of_long_documents():
+    """Items of 5 to 40 words, at many places; those of few shingles are never lost."""
+    rng = random.Random(8)
+    texts = [" ".join(f"s{i}_{k}" for k in range(5 + i % 36)) for i in range(360)]
+    docs = []
+    for t in texts:
+        at = rng.randrange(400)
+        docs.append(" ".join([*(f"n{rng.randrange(9999)}" for _ in range(at)), t, *(f"n{rng.randrange(9999)}" for _ in range(500 - at))]))
+    sets = [decontamination.shingle_set(t, 5) for t in texts]
+    index = decontamination.ItemIndex(sets, decontamination.functions_needed(0.8, 0.9999), 0.8)
+    assert [(d, i) for d, i, _, _ in decontamination._verified(docs, index, 5, 0.8)] == [(i, i) for i in range(360)]
+    partly = [" ".join([*t.split()[: len(t.split()) - (len(s) // 5)], "other", "words"]) for t, s in zip(texts, sets, strict=True)]
+    assert [(d, i) for d, i, _, _ in decontamination._verified(partly, index, 5, 0.8)] == [(i, i) for i in range(360)]

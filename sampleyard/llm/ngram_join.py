@@ -16,8 +16,9 @@
 
 Defined results: a text without words (null, empty) links with nothing and is its own class;
 texts of fewer than ``n`` words have one shingle, all their words; repeated rows are copies and
-link with each other; null ids are kept (a group's id is its least non-null id); an empty table
-gives an empty table; other columns pass or are ignored.
+link with each other; null ids are kept (a group's id is its least non-null id); of each group one
+row stays, also where ids are null or repeated; an empty table gives an empty table; other columns
+pass or are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, mix64, slices, spread_sql_conf, texts_of, written
 from .components import components
@@ -96,8 +98,33 @@ def _stars(classes: DataFrame) -> DataFrame:
     return banded.join(led, "bucket").select("leader", "key").distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(key, shingles binary) of the wanted (rep, key): each is rebuilt from the text of one row of its class."""
+def _repeated(profiled: DataFrame, id_col: str) -> DataFrame:
+    """(__id) of the ids that several rows have, and of null ids."""
+    return profiled.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1 or __id is null").select("__id")
+
+
+def _keyed(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """The rows of ``docs`` with null or repeated ids, and their set's hash as ``__key``: ids do not tell these apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 128):
+                found = (shingle_set(t, n) for t in texts_of(b.column(b.schema.names.index(text_col))))
+                keys = pa.array([set_key(s) if len(s) else None for s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "__key"])
+
+    rows = docs.where(F.col(id_col).isNull())
+    again = repeated.where("__id is not null")
+    if not again.isEmpty():
+        rows = rows.unionByName(docs.join(again.hint("merge"), docs[id_col] == again["__id"], "left_semi"))
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())]))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(key, shingles binary) of the wanted (rep, key): each is rebuilt from the text of one row of its class.
+
+    Where only one row has the id it is found by the id, and else by the set's hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -105,14 +132,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
                 keys, out = [], []
                 for key, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                     found = shingle_set(text, n)
-                    if len(found) and set_key(found) == key:  # another row may have the same id
+                    if len(found) and set_key(found) == key:
                         keys.append(key)
                         out.append(found.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") > 0)
+    plain = wanted
+    if not repeated.isEmpty():
+        plain = wanted.join(repeated, F.col("rep").eqNullSafe(F.col("__id")), "left_anti")
     # ``wanted`` grows with the corpus: one plan at every size
-    return rows.join(wanted.hint("merge"), F.col("__id").eqNullSafe(F.col("rep"))).select("key", "__text").mapInArrow(run, "key long, shingles binary")
+    found = rows.join(plain.hint("merge"), F.col("__id") == F.col("rep")).select("key", "__text")
+    if plain is not wanted:
+        others = wanted.join(repeated, F.col("rep").eqNullSafe(F.col("__id")), "left_semi").select("key")
+        keyed = _keyed(rows, repeated, "__id", "__text", n).where("__key is not null").groupBy("__key").agg(F.min("__text").alias("__text"))
+        found = found.unionByName(keyed.join(others.hint("merge"), F.col("__key") == F.col("key")).select("key", "__text"))
+    return found.mapInArrow(run, "key long, shingles binary")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -224,11 +259,15 @@ def _verify(cells: DataFrame, threshold: float, partitions: int) -> DataFrame:
     )
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(profile table, class table): the latter is (key, rep, weight, group, group_id, class_links)."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profile table, class table, repeated ids): the profile has a row number; the class table is (key, rep, weight, group, group_id, group_key, class_links).
+
+    ``group_key`` is the class of the row that stays: of the group's least id, and of these the least.
+    """
     spark = docs.sparkSession
     bands, rows = banding(threshold, recall)
-    profiled = written(profile(docs, id_col, text_col, n, bands, rows), "ngram-profiles")
+    profiled = written(profile(docs, id_col, text_col, n, bands, rows).withColumn("row", F.monotonically_increasing_id()), "ngram-profiles")
+    repeated = written(_repeated(profiled, id_col), "ngram-repeated")
     classes = written(
         profiled.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
         "ngram-classes",
@@ -236,7 +275,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     stars = written(_stars(classes), "ngram-stars")
     about = classes.select("key", "rep", "weight", "n_shingles")
     members = written(stars.groupBy("key").agg(F.collect_list("leader").alias("leaders")).join(about, "key"), "ngram-members")  # at most `bands` leaders each
-    sets = _sets(docs, members.select("key", "rep"), id_col, text_col, n)
+    sets = _sets(docs, members.select("key", "rep"), repeated, id_col, text_col, n)
     sized = stars.join(members.select("key", "n_shingles"), "key").groupBy("leader").agg(
         F.greatest(F.ceil(F.count("*") / CHUNK_CLASSES), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("m")
     )
@@ -254,36 +293,44 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     grouped = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("key"), F.col("component").alias("group"))
     table = about.select("key", "rep", "weight").join(links, "key", "left").join(grouped, "key", "left").select("key", "rep", "weight", F.coalesce("group", "key").alias("group"), F.coalesce("links", F.lit(0)).alias("class_links"))
     table = written(table, "ngram-groups")
-    firsts = table.groupBy("group").agg(F.min("rep").alias("group_id"))
-    return profiled, table.join(firsts, "group")
+    firsts = table.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("first")).select("group", F.col("first.rep").alias("group_id"), F.col("first.key").alias("group_key"))
+    return profiled, table.join(firsts, "group"), repeated
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id, class_id, n_links, kept, n_shingles).
 
     ``n_links`` counts the other rows whose n-gram sets have Jaccard similarity ``threshold`` or more
-    with this row's; ``class_id`` is the least id reachable by links; ``kept`` marks that row.
+    with this row's; ``class_id`` is the least id reachable by links; ``kept`` marks one row of that id.
     """
-    profiled, table = _groups(docs, id_col, text_col, n, threshold, recall)
-    return profiled.join(table, "key", "left").select(
+    profiled, table, _ = _groups(docs, id_col, text_col, n, threshold, recall)
+    # a kept class may have several rows of the id: the first in the written profile stays
+    heads = table.where("key = group_key").select("key", "group_id")
+    stays = profiled.join(heads, "key").where(F.col(id_col).eqNullSafe(F.col("group_id"))).groupBy("key").agg(F.min("row").alias("kept_row"))
+    return profiled.join(table.join(stays, "key", "left"), "key", "left").select(
         F.col(id_col),
         F.coalesce("group_id", F.col(id_col)).alias("class_id"),
         F.coalesce(F.col("class_links") + F.col("weight") - 1, F.lit(0)).alias("n_links"),
-        F.col(id_col).eqNullSafe(F.coalesce("group_id", F.col(id_col))).alias("kept"),
+        (F.col("key").isNull() | F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False))).alias("kept"),
         "n_shingles",
     )
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without all but one of each group: the row of least id (of equal such rows, one)."""
-    joined = jaccard_join(docs, n, threshold, recall, id_col, text_col)
-    # (id, how many rows have it, how many of them stay): rows with a null id are their own
-    fate = joined.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"), F.sum(F.col("kept").cast("int")).alias("__kept"))
-    fate = written(fate, "ngram-fate")
-
-    def rows_of(wanted: DataFrame) -> DataFrame:
-        return docs.join(wanted.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id"))).select(*[docs[c] for c in docs.columns])
-
-    single, repeated = rows_of(fate.where("__n = 1 and __kept = 1")), fate.where("__n > 1 and __kept > 0")
-    # ids that several rows have are rare: the texts are shuffled again only if there are any
-    return single if repeated.isEmpty() else single.unionByName(rows_of(repeated).dropDuplicates())
+    """The rows of ``docs``, all columns, without all but one of each group: a row of least id (of several such rows, one).
+
+    Rows without words are groups of their own and all stay.
+    """
+    profiled, table, repeated = _groups(docs, id_col, text_col, n, threshold, recall)
+    heads = written(table.where("key = group_key").select(F.col("key").alias("__head"), F.col("group_id").alias("__id")), "ngram-heads")
+    bare = profiled.where("key is null").select(F.lit(None).cast("long").alias("__head"), F.col(id_col).alias("__id"))
+    own = heads.unionByName(bare)
+    if repeated.isEmpty():
+        return docs.join(own.hint("merge"), docs[id_col] == own["__id"]).select(*[docs[c] for c in docs.columns])
+    own = own.join(repeated.withColumnRenamed("__id", "__again"), F.col("__id").eqNullSafe(F.col("__again")), "left_anti")
+    single = docs.join(own.hint("merge"), docs[id_col] == own["__id"]).select(*[docs[c] for c in docs.columns])
+    keyed = _keyed(docs, repeated, id_col, text_col, n)
+    one = F.struct(*docs.columns)
+    met = keyed.join(heads.hint("merge"), (F.col("__key") == F.col("__head")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    met = met.groupBy("__head").agg(F.min_by(one, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    return single.unionByName(met).unionByName(keyed.where("__key is null").select(*docs.columns))

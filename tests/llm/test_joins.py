@@ -137,3 +137,19 @@ def test_short_items_at_any_place_of_long_documents():
     assert [(d, i) for d, i, _, _ in decontamination._verified(docs, index, 5, 0.8)] == [(i, i) for i in range(360)]
     partly = [" ".join([*t.split()[: len(t.split()) - (len(s) // 5)], "other", "words"]) for t, s in zip(texts, sets, strict=True)]
     assert [(d, i) for d, i, _, _ in decontamination._verified(partly, index, 5, 0.8)] == [(i, i) for i in range(360)]
+
+
+def test_one_row_of_null_and_repeated_ids_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, near, other = " ".join(words), " ".join([*words[:-1], "else"]), " ".join(f"o{i}" for i in range(60))
+    nulls = [(None, a, "x"), (None, other, "x"), (7, near, "x"), (None, None, "x")]
+    alone = [(None, f"p{i} " + " ".join(f"v{i % 3}_{k}" for k in range(60)), "x") for i in range(9)]  # three groups of null ids
+    again = [(20, " ".join(f"r{k}" for k in range(60)), "x"), (20, " ".join(f"r{k}" for k in range(1, 60)), "y"), (20, "not like the others at all but of the same id", "x"), (21, " ".join(f"r{k}" for k in range(61)), "x")]
+    copies = [(30, "five words make one shingle", "x"), (30, "Five words make one shingle!", "y")]
+    for rows, want in ((nulls, [None, None, 7]), (alone, [None] * 3), (again, [20, 20]), (copies, [30]), (nulls + alone + again + copies, [None] * 5 + [7, 20, 20, 30])):
+        docs = odd.documents(spark, rows)
+        kept = ngram_join.keep_one(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(want, key=str)
+        marked = [r["doc_id"] for r in ngram_join.jaccard_join(docs).collect() if r["kept"]]
+        assert sorted(marked, key=str) == sorted(want, key=str)

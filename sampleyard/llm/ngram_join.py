@@ -260,20 +260,20 @@ def _verify(cells: DataFrame, threshold: float, partitions: int) -> DataFrame:
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile table, class table, repeated ids): the profile has a row number; the class table is (key, rep, weight, group, group_id, group_key, class_links).
+    """(profile table, class table, repeated ids): the profile has a row number; the class table is (key, rep, rep_row, weight, group, group_id, group_key, group_row, class_links).
 
-    ``group_key`` is the class of the row that stays: of the group's least id, and of these the least.
+    ``group_row`` is the row that stays, ``group_key`` its class: of the group's least id, then the least class and row.
     """
     spark = docs.sparkSession
     bands, rows = banding(threshold, recall)
     profiled = written(profile(docs, id_col, text_col, n, bands, rows).withColumn("row", F.monotonically_increasing_id()), "ngram-profiles")
     repeated = written(_repeated(profiled, id_col), "ngram-repeated")
     classes = written(
-        profiled.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
+        profiled.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "row")).alias("head"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")).withColumn("rep", F.col("head.id")).withColumn("rep_row", F.col("head.row")).drop("head"),
         "ngram-classes",
     )
     stars = written(_stars(classes), "ngram-stars")
-    about = classes.select("key", "rep", "weight", "n_shingles")
+    about = classes.select("key", "rep", "rep_row", "weight", "n_shingles")
     members = written(stars.groupBy("key").agg(F.collect_list("leader").alias("leaders")).join(about, "key"), "ngram-members")  # at most `bands` leaders each
     sets = _sets(docs, members.select("key", "rep"), repeated, id_col, text_col, n)
     sized = stars.join(members.select("key", "n_shingles"), "key").groupBy("leader").agg(
@@ -291,9 +291,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     found = written(_verify(cells, threshold, spread_sql_conf(spark)), "ngram-links")
     links = found.groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("key"), "links")
     grouped = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("key"), F.col("component").alias("group"))
-    table = about.select("key", "rep", "weight").join(links, "key", "left").join(grouped, "key", "left").select("key", "rep", "weight", F.coalesce("group", "key").alias("group"), F.coalesce("links", F.lit(0)).alias("class_links"))
+    table = about.select("key", "rep", "rep_row", "weight").join(links, "key", "left").join(grouped, "key", "left").select("key", "rep", "rep_row", "weight", F.coalesce("group", "key").alias("group"), F.coalesce("links", F.lit(0)).alias("class_links"))
     table = written(table, "ngram-groups")
-    firsts = table.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("first")).select("group", F.col("first.rep").alias("group_id"), F.col("first.key").alias("group_key"))
+    firsts = table.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key", "rep_row")).alias("first")).select("group", F.col("first.rep").alias("group_id"), F.col("first.key").alias("group_key"), F.col("first.rep_row").alias("group_row"))
     return profiled, table.join(firsts, "group"), repeated
 
 
@@ -304,14 +304,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     with this row's; ``class_id`` is the least id reachable by links; ``kept`` marks one row of that id.
     """
     profiled, table, _ = _groups(docs, id_col, text_col, n, threshold, recall)
-    # a kept class may have several rows of the id: the first in the written profile stays
-    heads = table.where("key = group_key").select("key", "group_id")
-    stays = profiled.join(heads, "key").where(F.col(id_col).eqNullSafe(F.col("group_id"))).groupBy("key").agg(F.min("row").alias("kept_row"))
-    return profiled.join(table.join(stays, "key", "left"), "key", "left").select(
+    return profiled.join(table, "key", "left").select(
         F.col(id_col),
         F.coalesce("group_id", F.col(id_col)).alias("class_id"),
         F.coalesce(F.col("class_links") + F.col("weight") - 1, F.lit(0)).alias("n_links"),
-        (F.col("key").isNull() | F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False))).alias("kept"),
+        (F.col("key").isNull() | F.coalesce(F.col("row") == F.col("group_row"), F.lit(False))).alias("kept"),
         "n_shingles",
     )
 

@@ -1,28 +1,26 @@
 """Operator 8: language identification by compression with per-language zstandard dictionaries.
 
-Training text of each language becomes a raw-content dictionary of ``dict_bytes`` bytes.  A text
-is compressed once with each; the language whose dictionary leaves the fewest bytes is chosen.
-Sizes are whole bytes, so short texts tie or differ by chance: below ``short_bytes`` bytes, up to
-one byte of difference is settled by how often the dictionaries hold the text's three-byte runs
-(what the compressor would match), then by the share of training text.  The score turns size differences into
-probabilities (a byte is ``2 ** (8 / temperature)``), and a row is rejected when it has no
-letters or the runner-up is within ``min_margin`` of the best.
-
-Defined results: a null text or one without letters is ``und`` with score 0 and rejected; equal
-texts get equal results; with no labelled text every row is ``und``; an empty table gives an
-empty table; whole texts are compressed, of any length; other columns pass or are ignored.
+Whole training texts of each language become ``parts`` raw-content dictionaries of ``dict_bytes``
+bytes each.  A text's UTF-8 bytes, all of them in lower case, are compressed once with every
+dictionary; the language whose dictionaries leave the fewest bytes together is chosen.  Several
+dictionaries of different texts settle what one would leave to chance, as sizes are whole bytes.  Ties go to the
+language with more training text.  The score turns the size differences, in bytes for a dictionary,
+into probabilities (a byte is ``2 ** (8 / temperature)``), and a row is rejected when it has no letters or the
+runner-up is within ``min_margin`` of the best.
+
+Defined results: a null text or one without letters (Unicode category L) is ``und`` with score 0
+and rejected; equal texts get equal results; with no labelled text every row is ``und``; an empty
+table gives an empty table; other columns pass or are ignored.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,93 +28,97 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, slices
 
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
-def normalised(text: str | None) -> bytes:
-    """The distinct lower-case words of letters, in the order of their first use, between single spaces.
-
-    Repeats say nothing new about the language but would compress away alike under any dictionary.
-    """
-    words = " ".join(dict.fromkeys(_NOT_LETTERS.sub(" ", (text or "").lower()).split()))
-    return f" {words} ".encode() if words else b""
+def encoded(text: str) -> bytes:
+    """All bytes of a text, letters in lower case: what dictionaries hold and what is compressed."""
+    return text.lower().encode("utf-8", "surrogatepass")
 
 
 @dataclass
 class LanguageModel:
-    """Dictionaries in descending order of their language's share."""
+    """Dictionaries of each language, in descending order of the languages' training text."""
 
     languages: list[str]
-    dictionaries: list[bytes]
+    dictionaries: list[list[bytes]]
     level: int = 6
     temperature: float = 8.0
-    short_bytes: int = 512
 
     def __post_init__(self):
-        self._compress = self._runs = None
+        self._compress = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_compress": None, "_runs": None}
+        return {**self.__dict__, "_compress": None}
 
-    def _sizes(self, data: bytes) -> list[int]:
+    def _compressors(self) -> list[list]:
         if self._compress is None:
-            kept = []
-            for raw in self.dictionaries:
+
+            def compressor(raw: bytes):
                 d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=self.level)
-                kept.append(zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-            self._compress = kept
-        return [len(c(data)) for c in self._compress]
+                return zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+            self._compress = [[compressor(raw) for raw in parts] for parts in self.dictionaries]
+        return self._compress
 
-    def _held(self, data: bytes) -> np.ndarray:
-        """Per dictionary, the summed log counts of the text's three-byte runs."""
-        if self._runs is None:
-            self._runs = [Counter(raw[i : i + 3] for i in range(len(raw) - 2)) for raw in self.dictionaries]
-        runs = [data[i : i + 3] for i in range(len(data) - 2)]
-        return np.array([sum(math.log1p(counts[r]) for r in runs) for counts in self._runs])
+    def sizes(self, text: str) -> np.ndarray:
+        """Per language, the mean size of the text's bytes under its dictionaries."""
+        data = encoded(text)
+        return np.array([sum([len(c(data)) for c in parts]) / len(parts) for parts in self._compressors()])
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin): margin is the runner-up's excess over the best, as a share of the runner-up's size."""
-        data = normalised(text)
-        if not data or not self.languages:
+        if not text or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0, 0.0
-        sizes = np.array(self._sizes(data), dtype=np.float64)
-        if len(data) < self.short_bytes:
-            held = self._held(data)
-            sizes = sizes - held / (held.max() + 1)
+        if len(self.languages) == 1:
+            return self.languages[0], 1.0, 1.0
+        sizes = self.sizes(text)
         best = int(sizes.argmin())
         weight = np.exp2(-(sizes - sizes[best]) * 8 / self.temperature)
-        if len(sizes) == 1:
-            return self.languages[0], 1.0, 1.0
         second = np.partition(sizes, 1)[1]
         return self.languages[best], float(1 / weight.sum()), float((second - sizes[best]) / second)
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = 112 * 1024, **settings) -> LanguageModel:
+def dealt(texts: list[bytes], parts: int, dict_bytes: int) -> list[bytes]:
+    """Dictionaries of whole texts: each goes to the emptiest one that has room for it; the shortest text always has room."""
+    held: list[list[bytes]] = [[] for _ in range(parts)]
+    sizes = [0] * parts
+    for t in texts:
+        at = sizes.index(min(sizes))
+        if sizes[at] + len(t) <= dict_bytes:
+            held[at].append(t)
+            sizes[at] += len(t)
+    if not any(sizes) and texts:
+        held[0].append(min(texts, key=len))
+    return [b"\n".join(x) for x in held if x]
+
+
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = 64 * 1024, parts: int = 3, **settings) -> LanguageModel:
     """Dictionaries from rows where ``learn`` holds and the language is not null.
 
-    Per language about ``dict_bytes`` bytes of training text are gathered (rows by a hash of their
-    text, against a threshold from one count per language), whatever the corpus' size.
+    The sample is bounded by ``parts * dict_bytes`` bytes per language, whatever the corpus' size: distinct
+    whole texts in the order of a hash, as many as fit.  Texts longer than a dictionary are taken only
+    (the shortest one) where a language has no others.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(text_col), F.lit(1 << 30)).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("n"), F.pmod(F.xxhash64(text_col), F.lit(1 << 30)).alias("h")
     )
-    shares = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).collect()
-    if not shares:
-        return LanguageModel([], [], **settings)
+    fits = F.col("n") <= dict_bytes
+    shares = rows.groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.when(fits, F.col("n"))).alias("fitting"), F.count(F.when(fits, True)).alias("rows"), F.min(F.struct("n", "h")).alias("shortest")).collect()
     wanted = F.lit(False)
-    for r in shares:  # twice the size, so that the first pass nearly always has enough
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("h") < int(min(1.0, max(2 * dict_bytes / r["n"], 24 / r["rows"])) * (1 << 30))))
+    for r in shares:  # three times what is needed, so that the sample nearly always fills its dictionaries
+        if r["rows"]:
+            cut = int(min(1.0, max(3 * parts * dict_bytes / r["fitting"], 24 / r["rows"])) * (1 << 30))
+            wanted = wanted | ((F.col("lang") == r["lang"]) & fits & (F.col("h") < cut))
+        else:
+            wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("n") == r["shortest"]["n"]) & (F.col("h") == r["shortest"]["h"]))
     texts: dict[str, list[bytes]] = {}
-    for r in rows.where(wanted).orderBy("h", "text").toLocalIterator():
-        texts.setdefault(r["lang"], []).append(normalised(r["text"]))
-    order = sorted((r["lang"] for r in shares if any(texts.get(r["lang"], []))), key=lambda x: (-next(r["n"] for r in shares if r["lang"] == x), x))
-    dictionaries = []
-    for lang in order:
-        part = max(256, 2 * dict_bytes // len(texts[lang]))  # long texts give no more than their part
-        joined = b"".join(t if len(t) <= part else t[len(t) // 2 - part // 2 : len(t) // 2 + part // 2] for t in texts[lang])
-        dictionaries.append(joined[-dict_bytes:])
-    return LanguageModel(order, dictionaries, **settings)
+    for r in rows.where(wanted).select("lang", "h", "text").dropDuplicates().orderBy("h", "text").toLocalIterator():
+        texts.setdefault(r["lang"], []).append(encoded(r["text"]))
+    volume = {r["lang"]: r["n"] for r in shares}
+    order = sorted(texts, key=lambda lang: (-volume[lang], lang))
+    return LanguageModel(order, [dealt(texts[lang], parts, dict_bytes) for lang in order], **settings)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.001) -> DataFrame:

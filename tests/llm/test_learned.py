@@ -46,6 +46,36 @@ def test_languages_of_held_out_documents(spark):
     assert {r["doc_id"] for r in rows} == set(known)
 
 
+def test_languages_by_the_sizes_of_whole_texts(spark):
+    """Sizes are those of all a text's bytes, whatever their number, and decide alone."""
+    import zstandard
+
+    docs = queries.table(spark, odd.MEDIUM, "documents")
+    model = language_id.fit(docs, learn=F.lit(True))
+    assert all(len(d) <= 65536 + 64 for parts in model.dictionaries for d in parts)
+    texts = [r["text"] for r in docs.orderBy(F.desc(F.length("text"))).limit(3).collect()] + [r["text"] for r in docs.where("length(text) < 600").limit(40).collect()]
+    texts += ["Au revoir", "le mot le mot le mot " * 90, texts[0] * 2]
+    for text in texts:
+        brute = []
+        for parts in model.dictionaries:
+            held = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in parts]
+            for d in held:
+                d.precompute_compress(level=model.level)
+            small = [zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_dict_id=False) for d in held]
+            brute.append(sum(len(c.compress(text.lower().encode())) for c in small) / len(small))
+        assert list(model.sizes(text)) == brute
+        assert model.classify(text)[0] == model.languages[brute.index(min(brute))]
+    for bare in ("\u00bd \u00b2 3", "\u2460 \u2167", "", None, "12 !!"):
+        assert model.classify(bare) == ("und", 0.0, 0.0)
+
+
+def test_dictionaries_are_bounded_under_repeated_and_long_texts(spark):
+    rows = [(i, "the same text again and again", "en") for i in range(3000)] + [(5000 + i, f"Satz {i} ist ganz kurz", "de") for i in range(20)] + [(6000, "tres long " * 20_000, "fr"), (6001, "plus long " * 40_000, "fr")]
+    model = language_id.fit(odd.documents(spark, rows), learn=F.lit(True))
+    sizes = {lang: [len(d) for d in parts] for lang, parts in zip(model.languages, model.dictionaries, strict=True)}
+    assert sizes["en"] == [29] and sum(sizes["de"]) > 400 and sizes["fr"] == [200_000]
+
+
 def test_odd_rows_are_scored(spark):
     docs = odd.odd_documents(spark)
     model = quality.fit(spark.createDataFrame([("good words here", 1), ("bad bad bad bad", 0), (None, 1), ("x", None)], "text string, quality int"))

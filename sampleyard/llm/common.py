@@ -1,8 +1,8 @@
 """Helpers shared by the corpus operators: the shared folder, written tables, folds and models.
 
 Every table written here goes to the folder that ``spark.checkpoint.dir`` names, which all
-executors and the driver can reach.  Only where that setting is absent (tests, notebooks)
-does :func:`shared_dir` make a folder of its own.
+executors and the driver can reach.  Only in local mode (tests, notebooks) may that setting be
+absent; then :func:`shared_dir` makes a folder of its own.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where unset, one temporary folder per process."""
+    """The folder of ``spark.checkpoint.dir``; where unset, one temporary folder per process in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = "file://" + tempfile.mkdtemp(prefix="sampleyard-")
         spark.sparkContext.setCheckpointDir(_FALLBACK["dir"])
@@ -60,16 +62,44 @@ def is_fold(doc_id: Column, parts: int, held: int) -> Column:
     return F.coalesce(fold(doc_id, parts) == held, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, key: Column, limit: int) -> DataFrame:
-    """About ``limit`` rows, chosen by a hash of ``key`` against a threshold from one count.
+def digested(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` with the hash and size of a text as ``__hash`` and ``__bytes``: what :func:`bounded_sample` needs.
 
-    Nothing is sorted and no task sees all rows; all rows stay while there are at most ``limit``.
+    Made before texts are joined with labels, they let the counting pass leave the texts where they lie.
     """
-    total = rows.count()
-    if total <= limit:
-        return rows
-    cut = int(limit / total * (1 << 30))
-    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < cut)
+    return rows.withColumn("__hash", F.xxhash64(text_col, F.lit("sample"))).withColumn("__bytes", F.octet_length(text_col))
+
+
+def bounded_sample(labelled: DataFrame, text_col: str, label_col: str, limit: int, limit_bytes: int) -> DataFrame:
+    """(text, y): distinct rows with a label, about ``limit`` of them and ``limit_bytes`` bytes of text at most.
+
+    Rows are chosen by a hash of the text against a threshold from one aggregate over hashes, so that equal
+    rows, however many, count once.  Nothing is sorted and no task sees all rows; while there are few, all stay.
+    """
+    rows = (labelled if "__hash" in labelled.columns else digested(labelled, text_col)).where(F.col(label_col).isNotNull())
+    rows = rows.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"), "__hash", "__bytes")
+    kinds = rows.groupBy("__hash", "y").agg(F.max("__bytes").alias("n"))
+    found = kinds.agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("double")).alias("bytes")).first()
+    share = min(1.0, limit / max(found["rows"], 1), limit_bytes / max(found["bytes"] or 0, 1))
+    if share < 1:
+        rows = rows.where(F.pmod("__hash", F.lit(1 << 30)) < int(share * (1 << 30)))
+    return rows.select("text", "y").dropDuplicates()
+
+
+#: Keys that hold over one row in so many are joined by broadcast; there are at most so many of them.
+HOT = 1000
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str | list[str], total: int, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``totals``, one row for each key with its ``count`` of rows, where few keys may hold most of the ``total`` rows.
+
+    Keys with over ``total / HOT`` rows, at most ``HOT``, are met by broadcast where their rows lie; the
+    others, none of which is large, by an ordinary join.  ``count`` is not returned.
+    """
+    hot = totals.where(F.col(count) > total / HOT)
+    known = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(*[key] if isinstance(key, str) else key)), key, "left_anti").join(totals, key)
+    return known.unionByName(rest).drop(count)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

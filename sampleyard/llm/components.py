@@ -2,9 +2,9 @@
 
 Large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
 Beyond") replace each node's neighbours by the least of them.  The least neighbour comes from an
-ordinary ``min`` aggregate (combined before the shuffle, so a hub costs no more than any node)
-joined back to the edges, which AQE splits where a hub is skewed.  Each round is written to the
-shared folder; nothing is collected but one row of counts.
+ordinary ``min`` aggregate (combined before the shuffle, so a hub costs no more than any node);
+it is joined back to a hub's edges where they lie, as the hubs are few.  Each round is written to
+the shared folder; nothing is collected but one row of counts.
 """
 
 from __future__ import annotations
@@ -12,24 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, written
+from .common import drop_table, join_totals, written
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, m): the least of each left node's neighbours and itself."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) with m, the least of u and all its neighbours."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_totals(edges, least, "u", total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """``edges`` have u > v."""
-    least = _least(edges)
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
+    moved = _with_least(edges, 2 * total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("v"))
+    return moved.union(least).where("u <> v")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -51,8 +52,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = found
-        large = written(_large_star(now).distinct(), "large-star")
-        nxt = written(_small_star(large).distinct(), "small-star")
+        large = written(_large_star(now, found["n"]).distinct(), "large-star")
+        nxt = written(_small_star(large, found["n"]).distinct(), "small-star")
         drop_table(large)
         drop_table(now)
         now = nxt

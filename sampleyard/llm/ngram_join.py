@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, mix64, slices, spread_sql_conf, texts_of, written
+from .common import HOT, bounded_batches, drop_table, join_totals, mix64, slices, spread_sql_conf, texts_of, written
 from .components import components
 from .shingles import minhash, multipliers, shingle_set
 
@@ -91,16 +91,24 @@ def profile(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, row
     return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, key long, n_shingles int, bands array<long>")
 
 
-def _stars(classes: DataFrame) -> DataFrame:
+def _stars(classes: DataFrame, total: int) -> DataFrame:
     """Distinct (leader, key) over all buckets of two classes or more; a leader is in its own star."""
     banded = classes.select("key", F.explode("bands").alias("bucket"))
-    led = banded.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return banded.join(led, "bucket").select("leader", "key").distinct()
+    led = banded.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    return join_totals(banded, led, "bucket", total).select("leader", "key").distinct()
 
 
 def _repeated(profiled: DataFrame, id_col: str) -> DataFrame:
-    """(__id) of the ids that several rows have, and of null ids."""
-    return profiled.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1 or __id is null").select("__id")
+    """(__id, __n) of the ids that several rows have, and of null ids."""
+    return profiled.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1 or __id is null")
+
+
+def _not_often(docs: DataFrame, repeated: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows of the (at most ``HOT``) ids that very many of the repeated rows have: they would meet in one task for nothing."""
+    again = repeated.where("__id is not null")
+    total = again.agg(F.sum("__n")).first()[0]
+    often = again.where(F.col("__n") > (total or 0) / HOT)
+    return docs.join(F.broadcast(often), docs[id_col] == often["__id"], "left_anti") if total else docs
 
 
 def _keyed(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -115,8 +123,10 @@ def _keyed(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, n:
 
     rows = docs.where(F.col(id_col).isNull())
     again = repeated.where("__id is not null")
-    if not again.isEmpty():
-        rows = rows.unionByName(docs.join(again.hint("merge"), docs[id_col] == again["__id"], "left_semi"))
+    total = again.agg(F.sum("__n")).first()[0]
+    if total:
+        met = join_totals(docs, again.withColumnRenamed("__id", id_col), id_col, total, "__n")
+        rows = rows.unionByName(met.select(*docs.columns))
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())]))
 
 
@@ -140,9 +150,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, id_col: str,
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") > 0)
     plain = wanted
     if not repeated.isEmpty():
+        # a class has one row here, so an id has at most its distinct texts
         plain = wanted.join(repeated, F.col("rep").eqNullSafe(F.col("__id")), "left_anti")
     # ``wanted`` grows with the corpus: one plan at every size
-    found = rows.join(plain.hint("merge"), F.col("__id") == F.col("rep")).select("key", "__text")
+    found = _not_often(rows, repeated, "__id").join(plain.hint("merge"), F.col("__id") == F.col("rep")).select("key", "__text")
     if plain is not wanted:
         others = wanted.join(repeated, F.col("rep").eqNullSafe(F.col("__id")), "left_semi").select("key")
         keyed = _keyed(rows, repeated, "__id", "__text", n).where("__key is not null").groupBy("__key").agg(F.min("__text").alias("__text"))
@@ -268,20 +279,24 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     bands, rows = banding(threshold, recall)
     profiled = written(profile(docs, id_col, text_col, n, bands, rows).withColumn("row", F.monotonically_increasing_id()), "ngram-profiles")
     repeated = written(_repeated(profiled, id_col), "ngram-repeated")
+    head = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "row")).alias("head")
     classes = written(
-        profiled.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "row")).alias("head"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")).withColumn("rep", F.col("head.id")).withColumn("rep_row", F.col("head.row")).drop("head"),
+        profiled.where("key is not null").groupBy("key").agg(head, F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        .select("key", F.col("head.id").alias("rep"), F.col("head.row").alias("rep_row"), "weight", "n_shingles", "bands"),
         "ngram-classes",
     )
-    stars = written(_stars(classes), "ngram-stars")
+    distinct = classes.count()
+    stars = written(_stars(classes, distinct * bands), "ngram-stars")
+    starred = stars.count()
     about = classes.select("key", "rep", "rep_row", "weight", "n_shingles")
     members = written(stars.groupBy("key").agg(F.collect_list("leader").alias("leaders")).join(about, "key"), "ngram-members")  # at most `bands` leaders each
     sets = _sets(docs, members.select("key", "rep"), repeated, id_col, text_col, n)
     sized = stars.join(members.select("key", "n_shingles"), "key").groupBy("leader").agg(
-        F.greatest(F.ceil(F.count("*") / CHUNK_CLASSES), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("m")
+        F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / CHUNK_CLASSES), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("m")
     )
     chunk = F.pmod(F.xxhash64("key", "leader"), F.col("m")).cast("int")
     cells = (
-        stars.join(sized, "leader")
+        join_totals(stars, sized, "leader", starred)
         .withColumn("side", chunk)
         .withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
         .select("leader", "key", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
@@ -291,10 +306,15 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     found = written(_verify(cells, threshold, spread_sql_conf(spark)), "ngram-links")
     links = found.groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("key"), "links")
     grouped = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("key"), F.col("component").alias("group"))
-    table = about.select("key", "rep", "rep_row", "weight").join(links, "key", "left").join(grouped, "key", "left").select("key", "rep", "rep_row", "weight", F.coalesce("group", "key").alias("group"), F.coalesce("links", F.lit(0)).alias("class_links"))
-    table = written(table, "ngram-groups")
-    firsts = table.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key", "rep_row")).alias("first")).select("group", F.col("first.rep").alias("group_id"), F.col("first.key").alias("group_key"), F.col("first.rep_row").alias("group_row"))
-    return profiled, table.join(firsts, "group"), repeated
+    table = about.join(links, "key", "left").join(grouped, "key", "left").select("key", "rep", "rep_row", "weight", F.coalesce("group", "key").alias("group"), F.coalesce("links", F.lit(0)).alias("class_links"))
+    table = written(table, "ngram-grouped")
+    drop_table(grouped)
+    first = F.min(F.struct(F.col("rep").isNull(), "rep", "key", "rep_row")).alias("first")
+    firsts = table.groupBy("group").agg(first, F.count("*").alias("n")).select("group", F.col("first.rep").alias("group_id"), F.col("first.key").alias("group_key"), F.col("first.rep_row").alias("group_row"), "n")
+    groups = written(join_totals(table, firsts, "group", distinct), "ngram-groups")
+    for done in (stars, members, found, table, classes):
+        drop_table(done)
+    return profiled, groups, repeated
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,13 +324,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     with this row's; ``class_id`` is the least id reachable by links; ``kept`` marks one row of that id.
     """
     profiled, table, _ = _groups(docs, id_col, text_col, n, threshold, recall)
-    return profiled.join(table, "key", "left").select(
-        F.col(id_col),
-        F.coalesce("group_id", F.col(id_col)).alias("class_id"),
-        F.coalesce(F.col("class_links") + F.col("weight") - 1, F.lit(0)).alias("n_links"),
-        (F.col("key").isNull() | F.coalesce(F.col("row") == F.col("group_row"), F.lit(False))).alias("kept"),
-        "n_shingles",
-    )
+    worded = join_totals(profiled.where("key is not null"), table.withColumn("n", F.col("weight")), "key", profiled.count())
+    worded = worded.select(F.col(id_col), F.col("group_id").alias("class_id"), (F.col("class_links") + F.col("weight") - 1).alias("n_links"), (F.col("row") == F.col("group_row")).alias("kept"), "n_shingles")
+    bare = profiled.where("key is null").select(F.col(id_col), F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "n_shingles")
+    return worded.select(id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"), "n_links", "kept", "n_shingles").unionByName(bare)
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,10 +341,11 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     own = heads.unionByName(bare)
     if repeated.isEmpty():
         return docs.join(own.hint("merge"), docs[id_col] == own["__id"]).select(*[docs[c] for c in docs.columns])
-    own = own.join(repeated.withColumnRenamed("__id", "__again"), F.col("__id").eqNullSafe(F.col("__again")), "left_anti")
-    single = docs.join(own.hint("merge"), docs[id_col] == own["__id"]).select(*[docs[c] for c in docs.columns])
+    own = own.join(repeated.select(F.col("__id").alias("__again")), F.col("__id").eqNullSafe(F.col("__again")), "left_anti")
+    rows = _not_often(docs, repeated, id_col)
+    single = rows.join(own.hint("merge"), rows[id_col] == own["__id"]).select(*[rows[c] for c in docs.columns])
     keyed = _keyed(docs, repeated, id_col, text_col, n)
-    one = F.struct(*docs.columns)
-    met = keyed.join(heads.hint("merge"), (F.col("__key") == F.col("__head")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    met = met.groupBy("__head").agg(F.min_by(one, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias("__row")
+    met = keyed.where("__key is not null").groupBy("__key", F.col(id_col).alias("__own")).agg(one)
+    met = met.join(heads.hint("merge"), (F.col("__key") == F.col("__head")) & F.col("__own").eqNullSafe(F.col("__id"))).select("__row.*")
     return single.unionByName(met).unionByName(keyed.where("__key is null").select(*docs.columns))

@@ -9,8 +9,9 @@ MinHash functions follows from the target recall at the worst such similarity.
 candidate for an item when they agree in any function.  Candidates are verified exactly: the
 share of the item's shingles that occur anywhere in the whole document.
 
-Documents are read once, in place, and nothing of them is shuffled.  Items are sent to the tasks
-in blocks of at most ``block_items``, so what is broadcast is bounded; more items mean more passes.
+Documents are read where they lie, and nothing of them is shuffled.  Items are sent to the tasks in
+blocks of about ``block_items`` distinct items (dealt by hash), one block at a time: each has a pass of
+its own over the documents, after which it is given up, so neither driver nor task holds more than one.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than ``n`` words
 matches only a document of the same words; repeated documents or items each give their rows;
@@ -20,16 +21,18 @@ empty tables give an empty table; null ids are kept; other columns pass or are i
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, slices, texts_of
+from .common import bounded_batches, slices, texts_of, written
 from .shingles import multipliers, shingle_hashes, shingle_set
 
 #: Shingles in a block; windows begin at blocks.
@@ -137,36 +140,61 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """(id, item id, n_shared, n_item, containment) for every document that holds ``threshold`` of an item's shingles."""
-    id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, `{item_col}` {item_type}, n_shared long, n_item long, containment double"
-    out = [
-        bounded_batches(docs).select(id_col, text_col).mapInArrow(_search(block, n, threshold, recall, [id_col, item_col]), schema)
-        for block in _blocks(items, item_col, item_text_col, block_items)
-    ]
-    return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], schema)
+    """(id, item id, n_shared, n_item, containment) for every document that holds ``threshold`` of an item's shingles.
+
+    Ids may be of any type; where both columns have one name the item's is called ``item_<name>``.
+    """
+    found = T.StructType([
+        docs.schema[id_col],
+        T.StructField(item_col if item_col != id_col else f"item_{item_col}", items.schema[item_col].dataType),
+        *(T.StructField(c, T.LongType()) for c in ("n_shared", "n_item")),
+        T.StructField("containment", T.DoubleType()),
+    ])
+    rows = bounded_batches(docs).select(id_col, text_col)
+    out = None
+    for block, last in _blocks(items, item_col, item_text_col, block_items):
+        own = rows.mapInArrow(_search(block, n, threshold, recall, found.names), found)
+        own = own if last else _freed(own, block)
+        out = own if out is None else out.unionByName(own)
+    return docs.sparkSession.createDataFrame([], found) if out is None else out
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_items: int = 20_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    for block in _blocks(items, item_col, item_text_col, block_items):
+    for block, last in _blocks(items, item_col, item_text_col, block_items):
         docs = bounded_batches(docs).mapInArrow(_filter(block, n, threshold, recall, text_col), docs.schema)
+        docs = docs if last else _freed(docs, block)
     return docs
 
 
-def _blocks(items: DataFrame, item_col: str, item_text_col: str, block_items: int) -> list:
-    """Broadcasts of (id, text) lists of about ``block_items`` items each."""
-    rows = items.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    count = rows.count()
-    blocks = max(1, math.ceil(count / block_items)) if count else 0
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(blocks, 1))))
-    parts = (sorted(((r["id"], r["text"]) for r in dealt.where(F.col("block") == k).collect()), key=str) for k in range(blocks))
-    return [items.sparkSession.sparkContext.broadcast(p) for p in parts]
+def _freed(found: DataFrame, block: Broadcast) -> DataFrame:
+    """``found`` as a written table, after which its block of items is given up."""
+    found = written(found, "contamination")
+    block.destroy()
+    return found
+
+
+def _blocks(items: DataFrame, item_col: str, item_text_col: str, block_items: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcasts of tables (id, text, copies) of about ``block_items`` items each, one made at a time, and whether it is the last."""
+    rows = items.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).groupBy("id", "text").agg(F.count("*").alias("copies"))
+    rows = written(rows, "contamination-items")
+    blocks = math.ceil(rows.count() / block_items)
+    for k in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
+        yield items.sparkSession.sparkContext.broadcast(own.toArrow().sort_by("text")), k == blocks - 1
 
 
-def _index(block, n: int, threshold: float, recall: float) -> tuple[list, ItemIndex]:
-    ids = [i for i, _ in block.value]
-    return ids, ItemIndex([shingle_set(t, n) for _, t in block.value], functions_needed(threshold, recall), threshold)
+_KEPT: dict = {}
+
+
+def _index(block: Broadcast, key: tuple) -> tuple[pa.Table, ItemIndex]:
+    """The block's items and their index, made once in a worker for all tasks of a query."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _, n, threshold, recall = key
+        items = block.value
+        _KEPT[key] = items, ItemIndex([shingle_set(t, n) for t in items["text"].to_pylist()], functions_needed(threshold, recall), threshold)
+    return _KEPT[key]
 
 
 def _verified(texts: list[str], index: ItemIndex, n: int, threshold: float) -> list[tuple[int, int, int, int]]:
@@ -180,29 +208,27 @@ def _verified(texts: list[str], index: ItemIndex, n: int, threshold: float) -> l
     return out
 
 
-def _search(block, n: int, threshold: float, recall: float, names: list[str]):
+def _search(block: Broadcast, n: int, threshold: float, recall: float, names: list[str]):
+    key = (uuid.uuid4().hex, n, threshold, recall)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, index = _index(block, n, threshold, recall)
+        items, index = _index(block, key)
+        copies = items["copies"].to_pylist()
         for whole in batches:
             for b in slices(whole, 64):
-                hits = _verified(texts_of(b.column(1)), index, n, threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(pa.array([h[0] for h in hits], pa.int64())),
-                        pa.array([ids[h[1]] for h in hits], pa.int64() if all(isinstance(i, (int, type(None))) for i in ids) else None),
-                        pa.array([h[2] for h in hits], pa.int64()),
-                        pa.array([h[3] for h in hits], pa.int64()),
-                        pa.array([h[2] / h[3] for h in hits], pa.float64()),
-                    ],
-                    names=[*names, "n_shared", "n_item", "containment"],
-                )
+                hits = [h for h in _verified(texts_of(b.column(1)), index, n, threshold) for _ in range(copies[h[1]])]
+                docs, whose, shared, size = (pa.array([h[k] for h in hits], pa.int64()) for k in range(4))
+                ids = items["id"].take(whose).combine_chunks()
+                yield pa.RecordBatch.from_arrays([b.column(0).take(docs), ids, shared, size, pa.array([h[2] / h[3] for h in hits], pa.float64())], names=names)
 
     return run
 
 
-def _filter(block, n: int, threshold: float, recall: float, text_col: str):
+def _filter(block: Broadcast, n: int, threshold: float, recall: float, text_col: str):
+    key = (uuid.uuid4().hex, n, threshold, recall)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, index = _index(block, n, threshold, recall)
+        _, index = _index(block, key)
         for whole in batches:
             for b in slices(whole, 64):
                 hit = {h[0] for h in _verified(texts_of(b.column(b.schema.names.index(text_col))), index, n, threshold)}

@@ -22,9 +22,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices, written
+from .common import bounded_batches, bounded_sample, slices, written
 
 NGRAMS = (3, 4)
 REPEAT = "\x00repeat"
@@ -152,13 +151,13 @@ def _train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bucket
 
 
 def fit(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "quality", limit: int = 6_000, buckets: int = 1 << 17, dim: int = 8, epochs: int = 6, rate: float = 0.05, seed: int = 1
+    labelled: DataFrame, text_col: str = "text", label_col: str = "quality", limit: int = 6_000, limit_bytes: int = 64 << 20, buckets: int = 1 << 17, dim: int = 8, epochs: int = 6, rate: float = 0.05, seed: int = 1
 ) -> QualityModel:
-    """Train on at most about ``limit`` rows of ``labelled`` (text, label), whole texts.
+    """Train on about ``limit`` distinct rows of ``labelled`` (text, label) or ``limit_bytes`` bytes of text at most, whole texts.
 
     Tasks count each document's buckets; only the counts and labels come to the driver.
     """
-    rows = bounded_sample(labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")), F.col("text"), limit)
+    rows = bounded_sample(labelled, text_col, label_col, limit, limit_bytes)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -171,7 +170,7 @@ def fit(
                     shares.append(np.fromiter(bag.values(), np.float32, len(bag)).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], names=["y", "ids", "shares"])
 
-    features_table = written(rows.mapInArrow(extract, "y int, ids binary, shares binary"), "quality-features")
+    features_table = written(bounded_batches(rows).mapInArrow(extract, "y int, ids binary, shares binary"), "quality-features")
     # row by row: the driver holds the counts once, as bytes
     got = [(r["y"], bytes(r["ids"]), bytes(r["shares"])) for r in features_table.toLocalIterator()]
     got.sort(key=lambda r: (zlib.crc32(r[1]), r[0]))  # not the order of arrival
@@ -197,4 +196,4 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                     [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[id_col, "score", "predicted"]
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int")
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int")

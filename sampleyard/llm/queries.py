@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, quality, sharding, token_files, toxicity
-from .common import is_fold
+from .common import digested, is_fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +38,9 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held: int) -> DataFrame:
     """Texts and labels outside the held-out fold."""
-    docs = table(spark, sf_dir, "documents").where(~is_fold(F.col("doc_id"), parts, held)).select("doc_id", "text")
+    docs = digested(table(spark, sf_dir, "documents").where(~is_fold(F.col("doc_id"), parts, held)).select("doc_id", "text"))
     labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull()).select("doc_id", label)
-    return docs.join(labels, "doc_id").select("text", label)
+    return docs.join(labels, "doc_id").drop("doc_id")
 
 
 def _held(scored: DataFrame, parts: int, held: int) -> DataFrame:

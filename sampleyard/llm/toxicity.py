@@ -21,7 +21,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import bounded_batches, bounded_sample, slices, written
 
@@ -118,13 +117,13 @@ def bags(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", limit: int = 8_000, buckets: int = 1 << 18, epochs: int = 12, rate: float = 0.5, decay: float = 1e-5, seed: int = 1
+    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", limit: int = 8_000, limit_bytes: int = 64 << 20, buckets: int = 1 << 18, epochs: int = 12, rate: float = 0.5, decay: float = 1e-5, seed: int = 1
 ) -> ToxicityModel:
-    """Train on at most about ``limit`` rows of ``labelled`` (text, label), whole texts.
+    """Train on about ``limit`` distinct rows of ``labelled`` (text, label) or ``limit_bytes`` bytes of text at most, whole texts.
 
     The sentences' buckets are computed by the tasks; only they and the labels come to the driver.
     """
-    rows = bounded_sample(labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")), F.col("text"), limit)
+    rows = bounded_sample(labelled, text_col, label_col, limit, limit_bytes)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampleyard.llm import byte_bpe, decontamination, language_id, ngram_join, queries, toxicity
-from sampleyard.llm.common import is_fold, written
+from sampleyard.llm.common import digested, is_fold, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.3 or more; learns from labels outside the held-out fold."""
     labels = queries.table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    known = docs.where(~is_fold(F.col("doc_id"), 4, 2)).select("doc_id", "text").join(labels, "doc_id")
-    return toxicity.clean(docs, toxicity.fit(known.select("text", "toxic")))
+    known = digested(docs.where(~is_fold(F.col("doc_id"), 4, 2)).select("doc_id", "text")).join(labels, "doc_id")
+    return toxicity.clean(docs, toxicity.fit(known))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,24 +3,38 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import taxonomy as T
-from .names import literal_map, strings
+from .names import let, literal_map, strings
+
+
+def forms(term: str) -> list[str]:
+    return [term, *T.VARIANTS.get(term, ())]
 
 
 def word_pattern(term: str, prefix: str = "(?U)") -> str:
     """A pattern for a term or any of its surface forms as whole words."""
-    forms = "|".join(re.escape(f).replace(r"\ ", " ").replace(r"\-", "-").replace(r"\&", "&").replace(r"\'", "'") for f in (term, *T.VARIANTS.get(term, ())))
-    return rf"{prefix}\b(?:{forms})\b"
+    every = "|".join(re.escape(f).replace(r"\ ", " ").replace(r"\-", "-").replace(r"\&", "&").replace(r"\'", "'") for f in forms(term))
+    return rf"{prefix}\b(?:{every})\b"
+
+
+def _may_hold(low: Column, term: str) -> Column:
+    """Whether the letters of one of the term's forms occur: a plain search that spares most patterns."""
+    short = [f for f in forms(term) if not any(g != f and g in f for g in forms(term))]
+    return reduce(lambda a, b: a | b, [low.contains(f) for f in short])
 
 
 def match_terms(caption: Column, vocabulary: list[str]) -> Column:
     """Terms that occur, in the vocabulary's order."""
-    low = F.lower(caption)
-    return F.array_compact(F.array(*[F.when(low.rlike(word_pattern(t)), t) for t in vocabulary]))
+
+    def found(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(_may_hold(low, t) & low.rlike(word_pattern(t)), t) for t in vocabulary]))
+
+    return let(F.lower(caption), found)
 
 
 def rank_terms(caption: Column, vocabulary: list[str], by_place: bool = True) -> Column:
@@ -28,17 +42,16 @@ def rank_terms(caption: Column, vocabulary: list[str], by_place: bool = True) ->
 
     ``rank`` is minus the number of occurrences.
     """
-    low = F.lower(caption)
-    found = [
-        F.struct(
-            (-F.regexp_count(low, F.lit(word_pattern(t)))).alias("rank"),
-            (F.regexp_instr(low, F.lit(word_pattern(t))) if by_place else F.lit(0)).alias("place"),
-            F.lit(i).alias("position"),
-            F.lit(t).alias("term"),
-        )
-        for i, t in enumerate(vocabulary)
-    ]
-    return F.array_sort(F.filter(F.array(*found), lambda s: s["rank"] < 0))
+
+    def counted(low: Column, i: int, term: str) -> Column:
+        pattern = F.lit(word_pattern(term))
+        place = F.regexp_instr(low, pattern) if by_place else F.lit(0)
+        return F.when(_may_hold(low, term), F.struct((-F.regexp_count(low, pattern)).alias("rank"), place.alias("place"), F.lit(i).alias("position"), F.lit(term).alias("term")))
+
+    def found(low: Column) -> Column:
+        return F.array_sort(F.filter(F.array(*[counted(low, i, t) for i, t in enumerate(vocabulary)]), lambda s: s["rank"] < 0))
+
+    return let(F.lower(caption), found)
 
 
 def rank_categories(caption: Column, kind: Column) -> Column:
@@ -48,11 +61,17 @@ def rank_categories(caption: Column, kind: Column) -> Column:
 
 def score_genres(caption: Column, source: str = "ace-step") -> Column:
     """Genres by share of mentions among the top three, ARRAY<STRUCT<genre, score, source>>."""
-    top = F.slice(rank_terms(caption, T.GENRES, by_place=False), 1, T.GENRE_CAP)
-    total = F.aggregate(top, F.lit(0), lambda n, s: n - s["rank"])
-    return F.transform(
-        top, lambda s: F.struct(s["term"].alias("genre"), F.round(F.lit(T.GENRE_CAPTION_WEIGHT) * -s["rank"] / total, 3).alias("score"), F.lit(source).alias("source"))
-    )
+
+    def shares(top: Column) -> Column:
+        total = F.aggregate(top, F.lit(0), lambda n, s: n - s["rank"])
+        return let(
+            total,
+            lambda all_of: F.transform(
+                top, lambda s: F.struct(s["term"].alias("genre"), F.round(F.lit(T.GENRE_CAPTION_WEIGHT) * -s["rank"] / all_of, 3).alias("score"), F.lit(source).alias("source"))
+            ),
+        )
+
+    return let(F.slice(rank_terms(caption, T.GENRES, by_place=False), 1, T.GENRE_CAP), shares)
 
 
 def _instrument_table() -> dict[str, str]:
@@ -74,23 +93,37 @@ def category_from_instruments(instruments: Column, kind: Column) -> Column:
     return F.get(F.filter(mapped, lambda c: c.isNotNull()), F.lit(0))
 
 
+def placed(caption: Column, kind: Column) -> Column:
+    """STRUCT<category, instruments, confidence> of a caption; null for a null or empty one."""
+    parts = F.struct(F.get(rank_categories(caption, kind), F.lit(0))["term"].alias("best"), F.slice(match_terms(caption, T.INSTRUMENTS), 1, T.INSTRUMENT_CAP).alias("instruments"))
+
+    def decided(p: Column) -> Column:
+        def verdict(derived: Column) -> Column:
+            return F.struct(
+                F.coalesce(p["best"], derived, F.lit(T.NEUTRAL_CATEGORY)).alias("category"),
+                p["instruments"].alias("instruments"),
+                F.when(p["best"].isNotNull(), T.CAPTION_CONFIDENCE).when(derived.isNotNull(), T.INSTRUMENT_CONFIDENCE).otherwise(T.NEUTRAL_CONFIDENCE).alias("confidence"),
+            )
+
+        return let(category_from_instruments(p["instruments"], kind), verdict)
+
+    return F.when(F.length(caption) > 0, let(parts, decided))
+
+
 def recognise_caption(caption: Column, kind: Column) -> Column:
     """The verdict STRUCT<category, instruments, source, confidence, caption, genres>; null for a null or empty caption."""
-    ranked = rank_categories(caption, kind)
-    best = F.get(ranked, F.lit(0))["term"]
-    instruments = F.slice(match_terms(caption, T.INSTRUMENTS), 1, T.INSTRUMENT_CAP)
-    derived = category_from_instruments(instruments, kind)
-    return F.when(
-        F.length(caption) > 0,
-        F.struct(
-            F.coalesce(best, derived, F.lit(T.NEUTRAL_CATEGORY)).alias("category"),
-            instruments.alias("instruments"),
+
+    def verdict(p: Column) -> Column:
+        return F.struct(
+            p["category"].alias("category"),
+            p["instruments"].alias("instruments"),
             F.lit("ace-step").alias("source"),
-            F.when(best.isNotNull(), T.CAPTION_CONFIDENCE).when(derived.isNotNull(), T.INSTRUMENT_CONFIDENCE).otherwise(T.NEUTRAL_CONFIDENCE).alias("confidence"),
+            p["confidence"].alias("confidence"),
             caption.alias("caption"),
             score_genres(caption).alias("genres"),
-        ),
-    )
+        )
+
+    return F.when(F.length(caption) > 0, let(placed(caption, kind), verdict))
 
 
-__all__ = ["category_from_instruments", "match_terms", "rank_categories", "rank_terms", "recognise_caption", "score_genres", "strings", "word_pattern"]
+__all__ = ["category_from_instruments", "match_terms", "placed", "rank_categories", "rank_terms", "recognise_caption", "score_genres", "strings", "word_pattern"]

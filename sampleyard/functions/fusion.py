@@ -6,13 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import taxonomy as T
-from .names import file_name, literal_map
+from .names import file_name, let, literal_map
 
 GENRE_TYPE = "array<struct<genre:string,score:double,source:string>>"
 
 
 def dedupe_genres(entries: Column) -> Column:
     """One entry per genre, the highest score (the first of equals), best first; equal scores keep the order of first appearance."""
+    return let(entries, _deduped)
+
+
+def _deduped(entries: Column) -> Column:
     names = F.array_distinct(F.transform(entries, lambda e: e["genre"]))
 
     def best(name: Column, order: Column) -> Column:
@@ -32,7 +36,10 @@ def merge(verdicts: Column) -> Column:
     most confident verdict (of equals by precedence of the source); ordered union of instruments,
     keyed union of genres, first caption, highest confidence, sources joined.
     """
-    present = F.filter(verdicts, lambda v: v.isNotNull())
+    return let(F.filter(verdicts, lambda v: v.isNotNull()), _merged)
+
+
+def _merged(present: Column) -> Column:
     named = F.array_distinct(F.transform(present, lambda v: v["category"]))
 
     def vote(category: Column, order: Column) -> Column:
@@ -50,15 +57,18 @@ def merge(verdicts: Column) -> Column:
         F.lit(0),
     )
     captions = F.filter(F.transform(present, lambda v: v["caption"]), lambda c: F.length(c) > 0)
-    merged = F.struct(
-        F.when(top["votes"] <= -2, top["category"]).otherwise(best["category"]).alias("category"),
-        F.array_distinct(F.flatten(F.transform(present, lambda v: v["instruments"]))).alias("instruments"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(present, lambda v: v["source"]))), "+").alias("source"),
-        F.array_max(F.transform(present, lambda v: v["confidence"])).alias("confidence"),
-        F.get(captions, F.lit(0)).alias("caption"),
-        dedupe_genres(F.flatten(F.transform(present, lambda v: v["genres"]))).alias("genres"),
-    )
-    return F.when(F.size(present) == 0, F.lit(None)).when(F.size(present) == 1, F.get(present, F.lit(0))).otherwise(merged)
+
+    def merged(chosen: Column) -> Column:
+        return F.struct(
+            F.when(chosen["votes"] <= -2, chosen["category"]).otherwise(best["category"]).alias("category"),
+            F.array_distinct(F.flatten(F.transform(present, lambda v: v["instruments"]))).alias("instruments"),
+            F.array_join(F.array_sort(F.array_distinct(F.transform(present, lambda v: v["source"]))), "+").alias("source"),
+            F.array_max(F.transform(present, lambda v: v["confidence"])).alias("confidence"),
+            F.get(captions, F.lit(0)).alias("caption"),
+            dedupe_genres(F.flatten(F.transform(present, lambda v: v["genres"]))).alias("genres"),
+        )
+
+    return F.when(F.size(present) == 0, F.lit(None)).when(F.size(present) == 1, F.get(present, F.lit(0))).otherwise(let(top, merged))
 
 
 def fuse(path: Column, kind: Column, duration: Column, name: Column, verdict: Column, backend: str) -> list[Column]:

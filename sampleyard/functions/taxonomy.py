@@ -11,60 +11,164 @@ CATEGORIES = {
 }
 
 # --- fixed values: instruments (order decides which are kept) and genres ------------------------
-INSTRUMENTS = (
-    "kick,snare,clap,snap,rimshot,hihat,open hat,crash,ride,cymbal,tom,conga,bongo,shaker,tambourine,cowbell,woodblock,clave,triangle,djembe,timbale,agogo,cabasa,"
-    "drums,percussion,bass,808,sub,reese,lead,pad,pluck,arp,stab,synth,keys,piano,organ,bell,guitar,strings,violin,cello,brass,trumpet,sax,flute,choir,"
-    "koto,guzheng,zither,sitar,harp,banjo,ukulele,marimba,kalimba,vibraphone,xylophone,glockenspiel,harpsichord,accordion,vocal,singing,spoken,fx,sound design,noise"
-).split(",")
-GENRES = (
-    "house,deep house,tech house,techno,trance,dubstep,drum and bass,breakbeat,garage,trap,lo-fi,synthwave,future bass,hardstyle,jungle,grime,electro,ambient,idm,downtempo,"
-    "hip hop,boom bap,rnb,soul,funk,disco,reggae,dancehall,afrobeat,latin,pop,rock,metal,punk,jazz,blues,country,folk,gospel,cinematic,orchestral,classical"
-).split(",")
+INSTRUMENTS = [
+    "kick",
+    "snare",
+    "clap",
+    "snap",
+    "rimshot",
+    "hihat",
+    "open hat",
+    "crash",
+    "ride",
+    "cymbal",
+    "tom",
+    "conga",
+    "bongo",
+    "shaker",
+    "tambourine",
+    "cowbell",
+    "woodblock",
+    "clave",
+    "triangle",
+    "djembe",
+    "timbale",
+    "agogo",
+    "cabasa",
+    "drums",
+    "percussion",
+    "bass",
+    "808",
+    "sub",
+    "reese",
+    "lead",
+    "pad",
+    "pluck",
+    "arp",
+    "stab",
+    "synth",
+    "keys",
+    "piano",
+    "organ",
+    "bell",
+    "guitar",
+    "strings",
+    "violin",
+    "cello",
+    "brass",
+    "trumpet",
+    "sax",
+    "flute",
+    "choir",
+    "koto",
+    "guzheng",
+    "zither",
+    "sitar",
+    "harp",
+    "banjo",
+    "ukulele",
+    "marimba",
+    "kalimba",
+    "vibraphone",
+    "xylophone",
+    "glockenspiel",
+    "harpsichord",
+    "accordion",
+    "vocal",
+    "singing",
+    "spoken",
+    "fx",
+    "sound design",
+    "noise",
+]
+GENRES = [
+    "house",
+    "deep house",
+    "tech house",
+    "techno",
+    "trance",
+    "dubstep",
+    "drum and bass",
+    "breakbeat",
+    "garage",
+    "trap",
+    "lo-fi",
+    "synthwave",
+    "future bass",
+    "hardstyle",
+    "jungle",
+    "grime",
+    "electro",
+    "ambient",
+    "idm",
+    "downtempo",
+    "hip hop",
+    "boom bap",
+    "rnb",
+    "soul",
+    "funk",
+    "disco",
+    "reggae",
+    "dancehall",
+    "afrobeat",
+    "latin",
+    "pop",
+    "rock",
+    "metal",
+    "punk",
+    "jazz",
+    "blues",
+    "country",
+    "folk",
+    "gospel",
+    "cinematic",
+    "orchestral",
+    "classical",
+]
 
 # --- fixed values: name rules; the first rule with a keyword in the text wins ---------------------
-NAME_RULES = """
-snap: snap
-rim: rim rimshot sidestick side_stick side-stick
-kick: kick bd bassdrum bass_drum bass-drum kik
-snare: snare sd snr
-clap: clap clp
-hat: closedhat closed_hat closed-hat hatclosed hat_closed chh
-hat: openhat open_hat open-hat hatopen hat_open ohh
-hat: hat hh hihat hi-hat hi_hat
-tom: tom
-crash: crash
-ride: ride
-perc: perc shaker tamb cowbell conga bongo clave
-drums: drum drums
-sub: subbass sub_bass sub-bass sub
-reese: reese
-808: 808 eight08
-bass: bass
-riser: riser uplifter uplift
-sweep: sweep downlifter downshifter
-impact: impact boom slam
-drone: drone
-texture: texture tex
-ambience: ambience ambient atmos atmosphere
-foley: foley
-field: field fieldrec
-fx: fx sfx transition noise
-pluck: pluck
-lead: lead
-arp: arp
-chord: chord chords chd
-synth: synth
-pad: pad
-stab: stab
-melody: melody melodic mel
-piano: piano rhodes wurli wurlitzer
-keys: keys key
-guitar: guitar gtr
-strings: strings violin cello viola
-brass: brass trumpet sax trombone horn
-vocal: vocal vox voice acap sing spoken speech acapella
-"""
-CATEGORY_RULES = [(line.split(": ")[0], line.split(": ")[1].split()) for line in NAME_RULES.strip().splitlines()]
+CATEGORY_RULES = [
+    ("snap", ["snap"]),
+    ("rim", ["rim", "rimshot", "sidestick", "side_stick", "side-stick"]),
+    ("kick", ["kick", "bd", "bassdrum", "bass_drum", "bass-drum", "kik"]),
+    ("snare", ["snare", "sd", "snr"]),
+    ("clap", ["clap", "clp"]),
+    ("hat", ["closedhat", "closed_hat", "closed-hat", "hatclosed", "hat_closed", "chh"]),
+    ("hat", ["openhat", "open_hat", "open-hat", "hatopen", "hat_open", "ohh"]),
+    ("hat", ["hat", "hh", "hihat", "hi-hat", "hi_hat"]),
+    ("tom", ["tom"]),
+    ("crash", ["crash"]),
+    ("ride", ["ride"]),
+    ("perc", ["perc", "shaker", "tamb", "cowbell", "conga", "bongo", "clave"]),
+    ("drums", ["drum", "drums"]),
+    ("sub", ["subbass", "sub_bass", "sub-bass", "sub"]),
+    ("reese", ["reese"]),
+    ("808", ["808", "eight08"]),
+    ("bass", ["bass"]),
+    ("riser", ["riser", "uplifter", "uplift"]),
+    ("sweep", ["sweep", "downlifter", "downshifter"]),
+    ("impact", ["impact", "boom", "slam"]),
+    ("drone", ["drone"]),
+    ("texture", ["texture", "tex"]),
+    ("ambience", ["ambience", "ambient", "atmos", "atmosphere"]),
+    ("foley", ["foley"]),
+    ("field", ["field", "fieldrec"]),
+    ("fx", ["fx", "sfx", "transition", "noise"]),
+    ("pluck", ["pluck"]),
+    ("lead", ["lead"]),
+    ("arp", ["arp"]),
+    ("chord", ["chord", "chords", "chd"]),
+    ("synth", ["synth"]),
+    ("pad", ["pad"]),
+    ("stab", ["stab"]),
+    ("melody", ["melody", "melodic", "mel"]),
+    ("piano", ["piano", "rhodes", "wurli", "wurlitzer"]),
+    ("keys", ["keys", "key"]),
+    ("guitar", ["guitar", "gtr"]),
+    ("strings", ["strings", "violin", "cello", "viola"]),
+    ("brass", ["brass", "trumpet", "sax", "trombone", "horn"]),
+    ("vocal", ["vocal", "vox", "voice", "acap", "sing", "spoken", "speech", "acapella"]),
+]
 MELODIC = "stab melody lead pad pluck arp chord synth keys piano guitar strings brass".split()
 DRUM_NAMES = "kick snare clap snap hat tom crash ride rim perc drums".split()
 SELF_NAMES = "bass sub reese 808 guitar strings brass lead synth pad pluck stab keys piano".split()
@@ -80,54 +184,104 @@ MAJOR_PROFILE = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.2
 MINOR_PROFILE = [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
 
 # --- fixed values: surface forms that a caption may use for a term --------------------------------
-SURFACE_FORMS = """
-melodic: melody, melodies
-strings: string
-synth: synthesizer, synthesizers, synthesised, synthesized, synth pad, synth lead
-keys: keyboard, keyboards
-piano: pianos
-organ: organs
-guitar: guitars
-pluck: plucked, plucks
-bell: bells, chime, chimes
-pad: pads
-lead: leads
-stab: stabs, stabbed
-vocal: vocals, voice, voices, vox
-singing: sung, sings, sung vocal, vocal melody, acapella
-spoken: speech, speaking, spoken word, spoken-word, talking, narration, monologue, dialogue
-choir: choral, chorale
-brass: horns, horn section
-drums: drum
-sound design: sound-design, sfx, sound effect, sound effects, sound fx
-noise: hiss, white noise, surface noise, static noise
-hip hop: hip-hop, hiphop
-lo-fi: lofi, low-fi, low fi
-drum and bass: dnb, drum n bass, drum'n'bass, d&b
-rnb: r&b, r and b, rhythm and blues
-boom bap: boombap
-tech house: tech-house
-deep house: deep-house
-future bass: future-bass
-"""
-VARIANTS = {line.split(": ")[0]: line.split(": ")[1].split(", ") for line in SURFACE_FORMS.strip().splitlines()}
+VARIANTS = {
+    "melodic": ["melody", "melodies"],
+    "strings": ["string"],
+    "synth": ["synthesizer", "synthesizers", "synthesised", "synthesized", "synth pad", "synth lead"],
+    "keys": ["keyboard", "keyboards"],
+    "piano": ["pianos"],
+    "organ": ["organs"],
+    "guitar": ["guitars"],
+    "pluck": ["plucked", "plucks"],
+    "bell": ["bells", "chime", "chimes"],
+    "pad": ["pads"],
+    "lead": ["leads"],
+    "stab": ["stabs", "stabbed"],
+    "vocal": ["vocals", "voice", "voices", "vox"],
+    "singing": ["sung", "sings", "sung vocal", "vocal melody", "acapella"],
+    "spoken": ["speech", "speaking", "spoken word", "spoken-word", "talking", "narration", "monologue", "dialogue"],
+    "choir": ["choral", "chorale"],
+    "brass": ["horns", "horn section"],
+    "drums": ["drum"],
+    "sound design": ["sound-design", "sfx", "sound effect", "sound effects", "sound fx"],
+    "noise": ["hiss", "white noise", "surface noise", "static noise"],
+    "hip hop": ["hip-hop", "hiphop"],
+    "lo-fi": ["lofi", "low-fi", "low fi"],
+    "drum and bass": ["dnb", "drum n bass", "drum'n'bass", "d&b"],
+    "rnb": ["r&b", "r and b", "rhythm and blues"],
+    "boom bap": ["boombap"],
+    "tech house": ["tech-house"],
+    "deep house": ["deep-house"],
+    "future bass": ["future-bass"],
+}
 
 # --- fixed values: categories an instrument may stand for, best first -----------------------------
 INSTRUMENT_CATEGORIES = {
-    **{name: ["perc", "drum"] for name in "conga bongo shaker tambourine cowbell woodblock clave triangle djembe timbale agogo cabasa percussion".split()},
-    **{name: ["melodic"] for name in "lead pad pluck arp stab synth keys piano organ guitar strings violin cello brass trumpet sax flute koto guzheng zither sitar harp banjo ukulele harpsichord accordion".split()},
-    **{name: ["perc", "melodic"] for name in "bell marimba kalimba vibraphone xylophone glockenspiel".split()},
-    **{name: ["vocal"] for name in "choir vocal singing spoken".split()},
-    **{name: [name, "perc", "drum"] for name in "clap snap crash ride tom".split()},
-    **{name: [name, "bass"] for name in "808 sub reese".split()},
     "kick": ["kick", "drum"],
     "snare": ["snare", "drum"],
+    "clap": ["clap", "perc", "drum"],
+    "snap": ["snap", "perc", "drum"],
     "rimshot": ["rim", "perc", "drum"],
     "hihat": ["hat", "drum"],
     "open hat": ["hat", "drum"],
+    "crash": ["crash", "perc", "drum"],
+    "ride": ["ride", "perc", "drum"],
     "cymbal": ["hat", "perc", "drum"],
+    "tom": ["tom", "perc", "drum"],
+    "conga": ["perc", "drum"],
+    "bongo": ["perc", "drum"],
+    "shaker": ["perc", "drum"],
+    "tambourine": ["perc", "drum"],
+    "cowbell": ["perc", "drum"],
+    "woodblock": ["perc", "drum"],
+    "clave": ["perc", "drum"],
+    "triangle": ["perc", "drum"],
+    "djembe": ["perc", "drum"],
+    "timbale": ["perc", "drum"],
+    "agogo": ["perc", "drum"],
+    "cabasa": ["perc", "drum"],
     "drums": ["drum", "perc"],
+    "percussion": ["perc", "drum"],
     "bass": ["bass"],
+    "808": ["808", "bass"],
+    "sub": ["sub", "bass"],
+    "reese": ["reese", "bass"],
+    "lead": ["melodic"],
+    "pad": ["melodic"],
+    "pluck": ["melodic"],
+    "arp": ["melodic"],
+    "stab": ["melodic"],
+    "synth": ["melodic"],
+    "keys": ["melodic"],
+    "piano": ["melodic"],
+    "organ": ["melodic"],
+    "bell": ["perc", "melodic"],
+    "guitar": ["melodic"],
+    "strings": ["melodic"],
+    "violin": ["melodic"],
+    "cello": ["melodic"],
+    "brass": ["melodic"],
+    "trumpet": ["melodic"],
+    "sax": ["melodic"],
+    "flute": ["melodic"],
+    "choir": ["vocal"],
+    "koto": ["melodic"],
+    "guzheng": ["melodic"],
+    "zither": ["melodic"],
+    "sitar": ["melodic"],
+    "harp": ["melodic"],
+    "banjo": ["melodic"],
+    "ukulele": ["melodic"],
+    "marimba": ["perc", "melodic"],
+    "kalimba": ["perc", "melodic"],
+    "vibraphone": ["perc", "melodic"],
+    "xylophone": ["perc", "melodic"],
+    "glockenspiel": ["perc", "melodic"],
+    "harpsichord": ["melodic"],
+    "accordion": ["melodic"],
+    "vocal": ["vocal"],
+    "singing": ["vocal"],
+    "spoken": ["vocal"],
     "fx": ["fx"],
     "sound design": ["fx"],
     "noise": ["noise", "fx"],

@@ -104,16 +104,21 @@ def query(tags: DataFrame, *, collection: DataFrame | None = None, order: str =
     return found.limit(limit) if limit is not None and limit >= 0 else found
 
 
-def fresh(files: DataFrame, tags: DataFrame, accept: list[str], rescan: bool = False) -> DataFrame:
-    """``files(path, mtime, ...)`` with ``cached``: known, and edited or unchanged and made by an accepted backend."""
-    known = tags.select("path", F.col("mtime").alias("__mtime"), F.col("backend").alias("__backend"), F.col("edited").alias("__edited"), F.lit(True).alias("__known"))
+def fresh(files: DataFrame, tags: DataFrame, accept: list[str], rescan: bool = False, also: dict[str, str] | None = None) -> DataFrame:
+    """``files(path, mtime, ...)`` with ``cached``: known, and edited or unchanged and made by an accepted backend.
+
+    ``also`` names further columns of ``tags`` that come along by the one join, and what to call them.
+    """
+    known = tags.select("path", *(F.col(c).alias(name) for c, name in (also or {}).items()), F.col("mtime").alias("__mtime"), F.col("backend").alias("__backend"), F.col("edited").alias("__edited"), F.lit(True).alias("__known"))
     same = F.col("mtime").isNotNull() & (F.col("mtime") == F.col("__mtime")) & F.col("__backend").isin(accept)
     cached = F.coalesce(F.col("__known") & (F.coalesce("__edited", F.lit(False)) | F.coalesce(same, F.lit(False))), F.lit(False)) & F.lit(not rescan)
     return files.join(known, "path", "left").withColumn("cached", cached).drop("__mtime", "__edited", "__known").withColumnRenamed("__backend", "cached_backend")
 
 
 def upsert(tags: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` replace those of their path in all columns but ``edited``; one pass over each side."""
+    """Rows of ``new`` replace those of their path in all columns but ``edited``; of several for a path the last by mtime counts."""
+    last = F.struct(F.coalesce("mtime", F.lit(float("-inf"))), F.coalesce("scanned_at", F.lit(0.0)), F.xxhash64(*new.columns)) if {"mtime", "scanned_at"} <= set(new.columns) else F.xxhash64(*new.columns)
+    new = new.groupBy(F.col("path").alias("__path")).agg(F.max_by(F.struct(*new.columns), last).alias("__row")).select("__row.*")
     edits = tags.select("path", F.col("edited").alias("__edited"))
     rest = [c for c in tags.columns if c != "edited"]
     merged = new.join(edits, "path", "left").select(*rest, F.coalesce("__edited", F.lit(False)).alias("edited"))
@@ -143,6 +148,20 @@ def update(tags: DataFrame, path: str, fields: dict, now: float) -> DataFrame:
     return edited.unionByName(fresh_row.join(tags.where(hit).select("path"), "path", "left_anti").select(*tags.columns))
 
 
+def update_all(tags: DataFrame, edits: DataFrame, now: float) -> DataFrame:
+    """The table form of :func:`update`: ``edits(path, <some editable columns>)``, one row a path; nulls leave a value as it is."""
+    fields = [c for c in edits.columns if c != "path"]
+    checked_fields(dict.fromkeys(fields))
+    types = {f.name: f.dataType for f in TAGS_SCHEMA.fields}
+    new = edits.select("path", *(F.col(c).cast(types[c]).alias(f"__{c}") for c in fields), F.lit(True).alias("__hit"))
+    joined = tags.join(new, "path", "full")
+    none = {"instruments": F.array().cast("array<string>"), "genres": F.array().cast(GENRES_DDL), "filename": F.element_at(F.split("path", "/"), -1), "edited": F.lit(False)}
+    stamp = {"edited": F.coalesce("__hit", "edited"), "scanned_at": F.when(F.col("__hit"), F.lit(float(now))).otherwise(F.col("scanned_at"))}
+    plain = lambda c: F.coalesce(F.col(f"__{c}"), F.col(c)) if c in fields else F.col(c)
+    missing = F.col("scanned_at").isNull() & F.col("mtime").isNull() & F.col("edited").isNull()
+    return joined.select(*[stamp[c].alias(c) if c in stamp else (F.coalesce(plain(c), F.when(missing, none[c])) if c in none else plain(c)).alias(c) for c in tags.columns])
+
+
 def delete(tags: DataFrame, paths: DataFrame) -> DataFrame:
     return tags.join(paths.select("path"), "path", "left_anti")
 

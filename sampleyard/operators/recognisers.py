@@ -13,19 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions import captions, rules
+from ..functions import captions, rules, similarity
 from ..functions import taxonomy as T
+from ..sources import config
 from ..sources.errors import BackendError, BadInputError
 
 VERDICT = "struct<category:string,instruments:array<string>,source:string,confidence:double,caption:string,genres:array<struct<genre:string,score:double,source:string>>>"
 Captioner = Callable[[list[str]], list[str | None]]
 
 _BUILDERS: dict[str, Callable[[DataFrame], Column]] = {}
+#: The column that a model's output is in; without it a recogniser has nothing to go by.
+_NEEDS: dict[str, str] = {}
 
 
-def register(name: str, verdict: Callable[[DataFrame], Column]) -> None:
-    """Make a recogniser known: ``verdict(df)`` is its STRUCT over columns of ``df``."""
+def register(name: str, verdict: Callable[[DataFrame], Column], needs: str | None = None) -> None:
+    """Make a recogniser known: ``verdict(df)`` is its STRUCT over columns of ``df``, of which it needs one."""
     _BUILDERS[name] = verdict
+    if needs:
+        _NEEDS[name] = needs
+
+
+def register_embeddings(categories: dict[str, list[list[float]]], instruments: list[list[float]], genres: list[list[float]]) -> None:
+    """Make ``clap`` known: scores of the column ``embedding`` against a model's label embeddings (by kind; instruments; genres)."""
+    register("clap", lambda df: similarity.recognise_embedding(F.col("embedding"), F.col("kind"), categories, instruments, genres), needs="embedding")
 
 
 def backends() -> list[str]:
@@ -38,24 +48,35 @@ def recogniser(name: str) -> Callable[[DataFrame], Column]:
     return _BUILDERS[name]
 
 
-def select(spec: str) -> list[str]:
-    """``auto``: the optional backends that are registered, in run order, and the heuristic; else the one named."""
+def select(spec: str, columns: list[str]) -> list[str]:
+    """``auto``: of the known recognisers, in run order, those whose model's column is there, and the heuristic; else the one named."""
     if spec != "auto":
         recogniser(spec)
+        if _NEEDS.get(spec, spec) not in [*columns, spec]:
+            raise BackendError(f"backend {spec!r} needs a column {_NEEDS[spec]!r}")
         return [spec]
-    return [n for n in T.RUN_ORDER if n in _BUILDERS]
+    return [n for n in T.RUN_ORDER if n in _BUILDERS and (n not in _NEEDS or _NEEDS[n] in columns)]
 
 
 def verdicts(df: DataFrame, spec: str) -> Column:
     """ARRAY of the selected backends' verdicts in run order."""
-    return F.array(*[recogniser(n)(df).cast(VERDICT) for n in select(spec)])
+    return F.array(*[recogniser(n)(df).cast(VERDICT) for n in select(spec, df.columns)])
+
+
+def batch_size() -> int:
+    """Files to a model call: the setting ``captioner.batch``, at least 1; 8 where it is no number."""
+    try:
+        return max(1, int(config.effective()["captioner.batch"]))
+    except ValueError:
+        return 8
 
 
-def with_captions(files: DataFrame, captioner: Callable[[], Captioner], batch: int = 8, sink: Callable[[str, str | None], None] | None = None) -> DataFrame:
-    """Adds ``caption`` to ``files(path, ...)``: model calls in batches, file by file where a batch fails, null where a file does.
+def with_captions(files: DataFrame, captioner: Callable[[], Captioner], batch: int | None = None, sink: Callable[[str, str | None], None] | None = None) -> DataFrame:
+    """Adds ``caption`` to ``files(path, ...)``: model calls in batches (by default of the setting's size), file by file where a batch fails, null where a file does.
 
     ``captioner`` makes the model, once per task; ``sink`` is told each result and may fail.
     """
+    batch = batch_size() if batch is None else batch
     if batch < 1:
         raise BackendError("a batch has at least one file")
     columns = files.columns
@@ -97,4 +118,5 @@ def loop_context(df: DataFrame, verdict: str, caption_again: str) -> Column:
     return F.when(doubtful & again.isNotNull(), rules.loop_context_override(F.col(verdict), again)).otherwise(F.col(verdict))
 
 
+register("ace-step", lambda df: captions.recognise_caption(F.col("caption"), F.col("kind")), needs="caption")
 register("heuristic", lambda df: rules.recognise_features(F.col("features"), F.col("kind")))

@@ -23,12 +23,12 @@ def classify(files: DataFrame, verdicts: Column | None, backend: str) -> DataFra
 
     ``verdicts`` is an ARRAY of verdict STRUCTs in run order (null: names only).  Row-local: no shuffle.
     """
-    named = files.withColumn("__name", names.classify_name(F.col("path")))
-    kind = rules.resolve_kind(F.col("__name")["kind"], F.col("__name")["category"], F.col("__name")["bpm"], F.col("duration"))
     verdict = "struct<category:string,instruments:array<string>,source:string,confidence:double,caption:string,genres:" + fusion.GENRE_TYPE + ">"
     merged = F.lit(None).cast(verdict) if verdicts is None else fusion.merge(verdicts)
-    named = named.withColumn("__kind", kind).withColumn("__verdict", merged)
-    return named.select(*fusion.fuse(F.col("path"), F.col("__kind"), F.col("duration"), F.col("__name"), F.col("__verdict"), backend), "mtime")
+    # a generator computes name and verdict once for all of their fields
+    named = files.select("*", F.inline(F.array(F.struct(names.classify_name(F.col("path")).alias("__name"), merged.alias("__verdict")))))
+    kind = rules.resolve_kind(F.col("__name")["kind"], F.col("__name")["category"], F.col("__name")["bpm"], F.col("duration"))
+    return named.select(*fusion.fuse(F.col("path"), kind, F.col("duration"), F.col("__name"), F.col("__verdict"), backend), "mtime")
 
 
 def scan_status(files: DataFrame, tags: DataFrame, primary: str, second: str | None = None, rescan: bool = False) -> DataFrame:
@@ -38,31 +38,39 @@ def scan_status(files: DataFrame, tags: DataFrame, primary: str, second: str | N
     the second tier.
     """
     accept = [primary] if second is None else [primary, second]
-    known = tags.select("path", F.col("category").alias("__category"), F.col("instruments").alias("__instruments"), F.col("edited").alias("__edited"))
-    found = catalog.fresh(files, tags, accept, rescan).join(known, "path", "left")
-    doubtful = rules.needs_escalation(F.col("__instruments"), F.col("__category"), F.col("path"), F.lit(None).cast("string")) & (F.col("cached_backend") == primary) & ~F.coalesce("__edited", F.lit(False))
+    also = {"category": "__category", "instruments": "__instruments", "edited": "__was_edited"}
+    found = catalog.fresh(files, tags, accept, rescan, also)
+    doubtful = rules.needs_escalation(F.col("__instruments"), F.col("__category"), F.col("path"), F.lit(None).cast("string")) & (F.col("cached_backend") == primary) & ~F.coalesce("__was_edited", F.lit(False))
     again = F.lit(second is not None) & F.coalesce(doubtful, F.lit(False))
     status = F.when(F.col("cached") & again, "escalate").when(F.col("cached"), "cached").otherwise("classify")
-    return found.withColumn("status", status).drop("__category", "__instruments", "__edited", "cached", "cached_backend")
+    return found.withColumn("status", status).drop("__category", "__instruments", "__was_edited", "cached", "cached_backend")
 
 
 def progressive(files: DataFrame, tags: DataFrame, first: Classifier, second: Classifier | None = None, primary: str = "auto", second_name: str | None = None, rescan: bool = False, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(tag rows to store, all files with status).
 
-    ``keep`` persists the first tier's rows before they are used twice (a table write or
-    ``persist``).  Rows the first tier cannot place are not among its rows to store.
+    ``keep`` persists the statuses, and the first tier's rows, before they are used twice (a table
+    write or ``persist``).  Rows the first tier cannot place are not among its rows to store.
     """
     status = scan_status(files, tags, primary, second_name if second else None, rescan)
+    status = keep(status) if keep else status
     one = first(status.where("status = 'classify'").select(files.columns))
     one = keep(one) if keep else one
     if second is None:
         return one, status
     doubtful = rules.needs_escalation(F.col("instruments"), F.col("category"), F.col("path"), F.col("filename"))
-    lost = files.join(one.where(doubtful).select("path"), "path", "left_semi")
+    lost = status.where("status = 'classify'").join(one.where(doubtful).select("path"), "path", "left_semi")
     two = second(status.where("status = 'escalate'").select(files.columns).unionByName(lost.select(files.columns)))
     return one.where(~doubtful).unionByName(two), status
 
 
+def summary(stored: DataFrame, status: DataFrame, second_name: str | None = None) -> DataFrame:
+    """One row of a scan's counts: files classified, cached and escalated (``second_name``'s rows among those to store)."""
+    seen = status.agg(F.count_if(F.col("status") == "classify").alias("classified"), F.count_if(F.col("status") == "cached").alias("cached"))
+    made = stored.agg(F.count_if(F.col("backend") == F.lit(second_name)).alias("escalated"))
+    return seen.join(F.broadcast(made))  # one row each
+
+
 def length_batches(probes: DataFrame, size: int, key: str = "file_id") -> DataFrame:
     """Adds ``batch``: clips of like length together, ``size`` to a batch (unknown lengths count 0).
 
@@ -84,6 +92,28 @@ def length_batches(probes: DataFrame, size: int, key: str = "file_id") -> DataFr
 
 def import_blobs(uploads: DataFrame, stored: DataFrame) -> DataFrame:
     """New blobs of ``uploads(content, name)``: (digest, ext, content), one for each digest and suffix not yet ``stored``."""
-    suffix = F.lower(F.regexp_extract(F.coalesce("name", F.lit("")), r"(\.[^./]+)$", 1))
-    named = uploads.select(F.sha1("content").alias("digest"), F.when(suffix == "", ".wav").otherwise(suffix).alias("ext"), "content")
-    return named.dropDuplicates(["digest", "ext"]).join(stored.select("digest", "ext"), ["digest", "ext"], "left_anti")
+    return addressed(uploads).select("digest", "ext", "content").dropDuplicates(["digest", "ext"]).join(stored.select("digest", "ext"), ["digest", "ext"], "left_anti")
+
+
+def addressed(uploads: DataFrame) -> DataFrame:
+    """``uploads(content, name)`` with digest and suffix of their content's address, and the bare file name."""
+    name = F.coalesce("name", F.lit(""))
+    suffix = F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))
+    return uploads.select(F.sha1("content").alias("digest"), F.when(suffix == "", ".wav").otherwise(suffix).alias("ext"), "content", F.element_at(F.split(name, "/"), -1).alias("filename"))
+
+
+_SIGNS = "!$%()*+,:;<=>?@^"
+
+
+def imported(uploads: DataFrame, folder: str, classifier: Classifier) -> DataFrame:
+    """Tag rows of ``uploads(content, name)`` under their address in ``folder``, one for each address (the last name counts).
+
+    ``classifier`` gets (path, mtime, content); as the path's last part is the upload's own name and the
+    part before it the digest in signs that no rule reads, the name tells what the sound is.
+    """
+    one = addressed(uploads).groupBy("digest", "ext").agg(F.max("filename").alias("filename"), F.first("content").alias("content"))
+    hidden = F.translate("digest", "0123456789abcdef", _SIGNS)
+    made = classifier(one.select(F.concat(hidden, F.lit("/"), "filename").alias("path"), F.lit(0.0).alias("mtime"), "content"))
+    digest, name = F.translate(F.split("path", "/", 2)[0], _SIGNS, "0123456789abcdef"), F.split("path", "/", 2)[1]
+    suffix = F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))
+    return made.withColumn("filename", name).withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), digest, F.when(suffix == "", ".wav").otherwise(suffix)))

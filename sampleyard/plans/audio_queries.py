@@ -28,7 +28,7 @@ def clips(spark: SparkSession, d: str) -> DataFrame:
                 out.append(audio.encode_wav(0.8 * y / max(1e-9, np.abs(y).max()), RATE))
             yield pd.DataFrame({"path": [f"/Clips/{int(i)}.wav" for i in b["file_id"]], "mtime": 0.0, "content": out})
 
-    rows = projected(spark, d, "lib_signal").where("label is not null").select("file_id", F.col("label").cast("int").alias("label"))
+    rows = projected(spark, d, "lib_signal").select("file_id", F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("label"))
     return rows.mapInPandas(render, "path string, mtime double, content binary")
 
 

@@ -250,7 +250,7 @@ def upsert_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "with old as (select * from lib_snapshot where rest < 2), target as (select min(path) as path from old) select path, case when path in (select path from target) then 'kick' else category end as category, "
-    "case when path in (select path from target) then 91.5 else null end as bpm, coalesce(edited or path in (select path from target), false) as edited from old union all select '/new/one.wav', 'kick', 91.5, true"
+    "case when path in (select path from target) then 91.5::double else null end as bpm, coalesce(edited or path in (select path from target), false) as edited from old union all select '/new/one.wav', 'kick', 91.5::double, true"
 )
 def update_marks_edited(spark: SparkSession, d: str) -> DataFrame:
     old = catalog.migrated(_old(spark, d))
@@ -305,7 +305,8 @@ def caption_genres(spark: SparkSession, d: str) -> DataFrame:
     "select file_id, case when caption <> '' then coalesce(best, derived, 'fx') end as category, case when caption <> '' then case when best is not null then 0.7 when derived is not null then 0.5 else 0.3 end end::double as confidence from s"
 )
 def caption_recognition(spark: SparkSession, d: str) -> DataFrame:
-    return _captions(spark, d).select("file_id", captions.recognise_caption(F.col("caption"), F.col("kind")).alias("v")).select("file_id", "v.category", "v.confidence")
+    # a generator computes the verdict once for both of its fields
+    return _captions(spark, d).select("file_id", F.inline(F.array(captions.placed(F.col("caption"), F.col("kind"))))).select("file_id", "category", "confidence")
 
 
 @register(f"{LOW}, r as (select file_id, kind, {duck.matched('low', T.INSTRUMENTS)} as ins from c where caption is not null) select file_id, {duck.from_instruments('kind', 'ins')} as category from r")
@@ -405,14 +406,10 @@ VOTES = (
 )
 
 
-def _merged(spark: SparkSession, d: str) -> DataFrame:
-    votes = projected(spark, d, "lib_votes")
-    return votes.select("file_id", fusion.merge(F.array("v0", "v1", "v2")).alias("m"))
-
-
 @register(f"{VOTES} select file_id, category, confidence, source, caption, array_to_string(instruments, ',') as instruments from merged join inl using (file_id)")
 def merge_votes(spark: SparkSession, d: str) -> DataFrame:
-    shown = _merged(spark, d).where("m is not null").select("file_id", "m.category", "m.confidence", "m.source", "m.caption", "m.instruments")
+    # a generator computes the merged verdict once for all of its fields and leaves rows without one out
+    shown = projected(spark, d, "lib_votes").select("file_id", F.inline(F.array_compact(F.array(fusion.merge(F.array("v0", "v1", "v2"))))))
     # a single verdict is passed on unchanged, repeats and all
     return shown.select("file_id", "category", "confidence", "source", "caption", F.array_join(F.array_distinct("instruments"), ",").alias("instruments"))
 
@@ -462,6 +459,19 @@ def progressive_scan(spark: SparkSession, d: str) -> DataFrame:
     return status.join(made, "path", "left").join(kept, "path", "left").select("path", "status", F.when(F.col("status") == "cached", F.col("__old")).otherwise(F.col("__new")).alias("category"))
 
 
+@register(
+    f"with old as (select * from lib_snapshot where rest < 2), {duck.named()}, known as (select n.*, {FRESH.replace('lib_files.', 'n.')} as cached, old.backend as obackend, old.category as ocategory, old.edited as oedited from named n left join old on n.path = old.path), "
+    f"st as (select *, case when cached and {duck.escalates('cast([] as varchar[])', 'ocategory', 'label')} and obackend = 'auto' and not oedited then 'escalate' when cached then 'cached' else 'classify' end as status from known), "
+    f"one as (select *, {duck.escalates('list_filter(ninstruments, lambda x: ncategory is null or x <> ncategory)', 'ncategory', 'label')} as lost from st) "
+    "select count_if(status = 'classify') as classified, count_if(status = 'cached') as cached, count_if(status = 'escalate' or status = 'classify' and lost) as escalated from one"
+)
+def scan_counts(spark: SparkSession, d: str) -> DataFrame:
+    files = projected(spark, d, "lib_files").select("path", "mtime", "duration")
+    old = _old(spark, d).withColumn("instruments", F.array().cast("array<string>"))
+    stored, status = scan.progressive(files, old, lambda df: scan.classify(df, None, "auto"), lambda df: scan.classify(df, None, "clap"), primary="auto", second_name="clap", keep=checkpointed)
+    return scan.summary(stored, status, "clap")
+
+
 @register("select file_id, cast(floor((row_number() over (order by coalesce(duration, 0), file_id) - 1) / 8) as bigint) as batch from lib_files")
 def length_batches(spark: SparkSession, d: str) -> DataFrame:
     return scan.length_batches(projected(spark, d, "lib_files").select("file_id", "duration"), 8).select("file_id", "batch")
@@ -477,6 +487,18 @@ def import_dedupe_sha1(spark: SparkSession, d: str) -> DataFrame:
     return scan.import_blobs(uploads, stored).groupBy("digest", "ext").agg(F.count("*").alias("n"))
 
 
+@register(
+    "with u as (select sha1(event_type || (event_id % 500)::varchar) as digest, case when event_id % 3 = 0 then '' else 'My kick ' || event_type || '.WAV' end as filename, '.wav' as ext from events), "
+    "one as (select digest, ext, max(filename) as filename from u group by 1, 2) select '/blobs/' || digest || ext as path, filename, case when filename <> '' then 'kick' end as category from one"
+)
+def import_rows(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet")
+    content = F.concat("event_type", (F.col("event_id") % 500).cast("string")).cast("binary")
+    uploads = events.select(content.alias("content"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("My kick "), "event_type", F.lit(".WAV"))).alias("name"))
+    first = lambda df: scan.classify(df.select("path", "mtime", F.lit(None).cast("double").alias("duration")), None, "auto")
+    return scan.imported(uploads, "/blobs", first).select("path", "filename", "category")
+
+
 # --- signals -------------------------------------------------------------------------------------
 
 

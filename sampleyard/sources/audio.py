@@ -9,15 +9,18 @@ approximate, not reproduce, any particular library.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as T
 from ..functions.names import file_name
+from . import config
 
 FEATURES = [
     "spectral_centroid", "spectral_rolloff", "zero_crossing_rate", "log_attack_time", "percussive_ratio",
@@ -50,6 +53,39 @@ def uploads(rows: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("name_hint", F.concat(F.lit("upload-"), F.col("position").cast("string"), F.lit(".wav"))).alias("path"), F.lit(None).cast("double").alias("mtime"), "content")
 
 
+def write_blobs(blobs: DataFrame, folder: str) -> int:
+    """Write ``blobs(digest, ext, content)`` as ``<folder>/<digest><ext>`` where there is no such file yet; how many were written.
+
+    A file appears under its name only when whole, so a task that runs again does no harm.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            made = 0
+            for digest, ext, content in zip(*(b.column(c).to_pylist() for c in ("digest", "ext", "content")), strict=True):
+                path = f"{root}/{digest}{ext}"
+                if fs.get_file_info(path).type == pafs.FileType.NotFound:
+                    partial = f"{path}.{uuid.uuid4().hex}"
+                    with fs.open_output_stream(partial) as out:
+                        out.write(content or b"")
+                    fs.move(partial, path)
+                    made += 1
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], names=["made"])
+
+    return blobs.select("digest", "ext", "content").mapInArrow(write, "made long").agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
+
+
+def append_analytics(records: DataFrame, folder: str | None = None) -> bool:
+    """Append one JSON line for each row, stamped ``ts``, to ``folder`` (by default the setting ``captioner.analytics``); nothing where that is empty."""
+    folder = folder or config.effective()["captioner.analytics"]
+    if not folder:
+        return False
+    records.select(F.round(F.unix_micros(F.current_timestamp()) / 1e6, 3).alias("ts"), "*").write.mode("append").json(folder)
+    return True
+
+
 # --- containers ----------------------------------------------------------------------------------
 
 

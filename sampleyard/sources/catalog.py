@@ -1,24 +1,38 @@
-"""A catalog directory: Parquet snapshots of three tables behind a pointer file.
+"""A catalog directory: Parquet tables in numbered snapshots.
 
-``<dir>/v=<n>/{tags,collections,collection_members}`` and ``<dir>/CURRENT``.  A write makes a new
-snapshot and moves the pointer last, so readers see whole snapshots and a plan never overwrites
-what it reads.  One writer at a time.
+``<dir>/v=<n>/MANIFEST.json`` says in which snapshot's folder each of the three tables lies.  A write
+makes the tables that changed in a new folder and its manifest last, by rename; the snapshot in
+force is the greatest with a manifest.  So readers see whole snapshots, a crash leaves the one
+before, unchanged tables are not written again, and a plan never overwrites what it reads.  One
+writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import catalog as ops
-from .errors import BadInputError
+from ..operators import scan
+from . import audio
+from .errors import BadInputError, SampleyardError
+from .shared import checkpointed
 
 TABLES = {"tags": ops.TAGS_DDL, "collections": ops.COLLECTIONS_DDL, "collection_members": ops.MEMBERS_DDL}
 
 
+def normal_path(path: str) -> str:
+    """A local path made absolute, home and dots resolved; a URI as it is."""
+    return path if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path) else os.path.realpath(os.path.expanduser(path))
+
+
 class Catalog:
     """Reads and writes of one catalog directory (any file system Spark knows)."""
 
@@ -31,40 +45,47 @@ class Catalog:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.directory}/{name}")
 
     def _fs(self):
-        path = self._path("CURRENT")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _snapshots(self) -> list[int]:
+        """Numbers of all snapshot folders, complete or not."""
+        fs, root = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(self.directory)
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
 
     def version(self) -> int:
-        """The current snapshot's number, 0 before the first write."""
+        """The snapshot in force, 0 before the first write."""
         fs = self._fs()
-        if not fs.exists(self._path("CURRENT")):
-            return 0
-        return int(self.spark.read.text(f"{self.directory}/CURRENT").first()[0])
+        return next((n for n in reversed(self._snapshots()) if fs.exists(self._path(f"v={n}/MANIFEST.json"))), 0)
+
+    def _manifest(self, version: int) -> dict[str, int]:
+        if not version:
+            return {}
+        return json.loads(self.spark.read.text(f"{self.directory}/v={version}/MANIFEST.json", wholetext=True).first()[0])
 
     def table(self, name: str) -> DataFrame:
         schema = T.StructType.fromDDL(TABLES[name])
-        version = self.version()
-        if not version:
+        held = self._manifest(self.version()).get(name)
+        if held is None:
             return self.spark.createDataFrame([], schema)
-        return ops.migrated(self.spark.read.parquet(f"{self.directory}/v={version}/{name}"), schema)
+        return ops.migrated(self.spark.read.parquet(f"{self.directory}/v={held}/{name}"), schema)
 
     def commit(self, **changed: DataFrame) -> int:
-        """Write a snapshot with the changed tables and move the pointer to it."""
-        fs, last = self._fs(), self.version()
-        version = last + 1
-        while fs.exists(self._path(f"v={version}")):  # left by a writer that failed
-            version += 1
-        for name in TABLES:
-            df = changed.get(name, None)
-            df = self.table(name) if df is None else df
+        """Write the changed tables, then the manifest of the snapshot that has them."""
+        fs = self._fs()
+        manifest = self._manifest(self.version())
+        version = max(self._snapshots(), default=0) + 1  # a folder left by a writer that failed is not used
+        for name, df in changed.items():
             if name == "tags":
-                df = df.repartitionByRange(max(1, df.rdd.getNumPartitions()), "path").sortWithinPartitions("path") if last == 0 else df.sortWithinPartitions("path")
+                df = df.repartitionByRange("path").sortWithinPartitions("path") if name not in manifest else df.sortWithinPartitions("path")
             df.write.parquet(f"{self.directory}/v={version}/{name}")
-        out = fs.create(self._path("CURRENT.new"), True)
-        out.write(bytearray(f"{version}\n".encode()))
+            manifest[name] = version
+        made = self._path(f"v={version}/MANIFEST.new")
+        out = fs.create(made, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        fs.delete(self._path("CURRENT"), False)
-        fs.rename(self._path("CURRENT.new"), self._path("CURRENT"))
+        if not fs.rename(made, self._path(f"v={version}/MANIFEST.json")):
+            raise SampleyardError(f"snapshot {version} of {self.directory} could not be completed")
         return version
 
     # -- tags --
@@ -78,21 +99,37 @@ class Catalog:
         return ops.query(self.tags, collection=paths, **filters)
 
     def get(self, path: str) -> DataFrame:
-        return self.tags.where(F.col("path") == path).limit(1)
+        return self.tags.where(F.col("path") == normal_path(path)).limit(1)
 
     def upsert(self, new: DataFrame) -> int:
         return self.commit(tags=ops.upsert(self.tags, ops.migrated(new)))
 
-    def update(self, path: str, **fields) -> DataFrame:
-        self.commit(tags=ops.update(self.tags, path, fields, time.time()))
+    def update(self, path: str, /, **fields) -> DataFrame:
+        self.commit(tags=ops.update(self.tags, normal_path(path), fields, time.time()))
         return self.get(path)
 
+    def update_all(self, edits: DataFrame) -> int:
+        """A batch of edits (path, <editable columns>) in one commit."""
+        return self.commit(tags=ops.update_all(self.tags, edits, time.time()))
+
     def delete(self, path: str) -> bool:
         if self.get(path).isEmpty():
             return False
-        self.commit(tags=self.tags.where(F.col("path") != path))
+        self.commit(tags=self.tags.where(F.col("path") != normal_path(path)))
         return True
 
+    def import_uploads(self, uploads: DataFrame, folder: str, classifier: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Keep ``uploads(content, name)`` as files named by content in ``folder`` and upsert their tag rows; returns these.
+
+        A file that is there already is not written again, and the same content comes to the same row.
+        """
+        folder = folder.rstrip("/")
+        uploads = checkpointed(uploads.select("content", "name"))  # read several times
+        audio.write_blobs(scan.addressed(uploads).dropDuplicates(["digest", "ext"]), folder)
+        made = checkpointed(scan.imported(uploads, folder, classifier).withColumn("mtime", F.lit(time.time())).withColumn("scanned_at", F.lit(time.time())))
+        self.upsert(made)
+        return self.tags.join(made.select("path"), "path", "left_semi")
+
     def views(self) -> None:
         """Register the tables as temporary views for free SQL."""
         for name in TABLES:
@@ -112,12 +149,19 @@ class Catalog:
         name = name.strip()
         if not name:
             raise BadInputError("a collection needs a name")
-        if self._id(name) is None:
-            high = max(self.table("collections").agg(F.max("id")).first()[0] or 0, self._high_water())
-            row = self.spark.createDataFrame([(high + 1, name, time.time())], ops.COLLECTIONS_DDL)
-            self.commit(collections=self.table("collections").unionByName(row))
-            self._high_water(high + 1)
-        return {"id": self._id(name), "name": name, "count": 0}
+        own, made = self._made(name)
+        if made is not None:
+            self.commit(collections=made)
+        return {"id": own, "name": name, "count": 0}
+
+    def _made(self, name: str) -> tuple[int, DataFrame | None]:
+        """A collection's id, and the table of collections with it where it is new."""
+        own = self._id(name)
+        if own is not None:
+            return own, None
+        own = max(self.table("collections").agg(F.max("id")).first()[0] or 0, self._high_water()) + 1
+        self._high_water(own)
+        return own, self.table("collections").unionByName(self.spark.createDataFrame([(own, name, time.time())], ops.COLLECTIONS_DDL))
 
     def _high_water(self, value: int | None = None) -> int:
         """The largest id ever given; ids are not used again."""
@@ -149,11 +193,15 @@ class Catalog:
         return True
 
     def _paths(self, own: int, paths: list[str]) -> DataFrame:
-        return self.spark.createDataFrame([(own, p, time.time()) for p in paths], ops.MEMBERS_DDL)
+        return self.spark.createDataFrame([(own, normal_path(p), time.time()) for p in paths], ops.MEMBERS_DDL)
 
     def collection_add(self, name: str, paths: list[str]) -> int:
-        own = self.collection_create(name)["id"]
-        self.commit(collection_members=ops.add_members(self.table("collection_members"), self._paths(own, paths)))
+        name = name.strip()
+        if not name:
+            raise BadInputError("a collection needs a name")
+        own, made = self._made(name)
+        members = ops.add_members(self.table("collection_members"), self._paths(own, paths))
+        self.commit(collection_members=members, **({} if made is None else {"collections": made}))
         return self.table("collection_members").where(F.col("collection_id") == own).count()
 
     def collection_remove(self, name: str, paths: list[str]) -> int:

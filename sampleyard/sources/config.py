@@ -8,8 +8,8 @@ from pathlib import Path
 
 from .errors import BadInputError
 
-DEFAULTS = {"db.enabled": True, "db.path": ""}
-ENVIRONMENT = {"db.enabled": "SAMPLEYARD_DB_ENABLED", "db.path": "SAMPLEYARD_DB"}
+DEFAULTS = {"db.enabled": True, "db.path": "", "captioner.batch": "8", "captioner.analytics": ""}
+ENVIRONMENT = {"db.enabled": "SAMPLEYARD_DB_ENABLED", "db.path": "SAMPLEYARD_DB", "captioner.batch": "SAMPLEYARD_CAPTIONER_BATCH", "captioner.analytics": "SAMPLEYARD_CAPTIONER_ANALYTICS"}
 
 
 def config_path() -> Path:

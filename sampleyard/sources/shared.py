@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there; a folder of its own only where none is named."""
+    """``df`` written to the checkpoint folder and read from there; a folder of its own only where none is named, in local mode."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sampleyard-"))
     return df.checkpoint(eager=True)

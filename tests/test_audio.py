@@ -8,7 +8,7 @@ from sampleyard.functions import rules, signal
 from sampleyard.operators import recognisers, scan
 from sampleyard.sources import audio
 from sampleyard.sources.catalog import Catalog
-from sampleyard.sources.errors import BadInputError
+from sampleyard.sources.errors import BackendError, BadInputError
 from sampleyard.streaming import ingest
 
 RATE = 22_050
@@ -67,7 +67,10 @@ def test_classify_and_render(spark, folder):
 def test_recognisers(spark):
     with pytest.raises(BadInputError):
         recognisers.recogniser("none")
-    assert recognisers.backends() == ["heuristic"] and recognisers.select("auto") == ["heuristic"]
+    assert recognisers.backends() == ["ace-step", "heuristic"] and recognisers.select("auto", ["path"]) == ["heuristic"]
+    assert recognisers.select("auto", ["path", "caption"]) == ["ace-step", "heuristic"]
+    with pytest.raises(BackendError):
+        recognisers.select("ace-step", ["path"])
 
     def captioner():
         def said(paths):

@@ -1,11 +1,14 @@
 """Catalog snapshots, filters, edits, collections, scans and plans."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from sampleyard.operators import catalog as ops
-from sampleyard.operators import scan
-from sampleyard.sources.catalog import Catalog
+from sampleyard.operators import recognisers, scan
+from sampleyard.sources import audio
+from sampleyard.sources.catalog import Catalog, normal_path
 from sampleyard.sources.errors import BadInputError
 
 
@@ -53,6 +56,56 @@ def test_edits_survive_upserts(spark, store):
             store.update("/a/kick.wav", **bad)
 
 
+def test_a_failed_write_leaves_the_snapshot_before(spark, store):
+    before, version = sorted(paths(store.query())), store.version()
+    spark.range(3).write.parquet(f"{store.directory}/v={version + 1}/tags")  # a writer that stopped before its manifest
+    assert store.version() == version and sorted(paths(store.query())) == before
+    store.collection_add("Set", ["/a/kick.wav"])
+    assert store.version() == version + 2 and store._manifest(store.version())["tags"] == version  # tags are not written again
+    assert paths(store.query(collection="Set")) == ["/a/kick.wav"]
+
+
+def test_repeated_paths_and_batches_of_edits(spark, store):
+    store.upsert(rows(spark, {"path": "/r.wav", "category": "hat", "mtime": 1.0}, {"path": "/r.wav", "category": "tom", "mtime": 5.0}, {"path": "/r.wav", "category": "rim", "mtime": None}))
+    assert [r["category"] for r in store.get("/r.wav").collect()] == ["tom"] and store.tags.count() == 4
+    store.update_all(spark.createDataFrame([("/r.wav", "kick", None), ("/new/y.wav", None, 99.0)], "path string, category string, bpm double"))
+    got = {r["path"]: r for r in store.tags.collect()}
+    assert (got["/r.wav"]["category"], got["/r.wav"]["edited"], got["/new/y.wav"]["bpm"], got["/new/y.wav"]["filename"], got["/new/y.wav"]["edited"]) == ("kick", True, 99.0, "y.wav", True)
+    assert got["/new/y.wav"]["instruments"] == [] and not got["/b/bass.wav"]["edited"] and len(got) == 5
+
+
+def test_paths_are_normalised(store, monkeypatch):
+    monkeypatch.setenv("HOME", "/b")
+    assert store.get("~/snare.wav").first()["category"] == "snare" and store.get("/a/../b/./bass.wav").first()["category"] == "bass"
+    assert normal_path("s3://x/a/../b") == "s3://x/a/../b"
+    store.collection_add("Home", ["~/snare.wav"])
+    assert paths(store.query(collection="Home")) == ["/b/snare.wav"]
+    assert store.delete("~/snare.wav") and not store.delete("/b/snare.wav")
+
+
+def test_imports_are_kept_by_content(spark, store, tmp_path):
+    uploads = spark.createDataFrame([(bytearray(b"one"), "My Kick.WAV"), (bytearray(b"one"), "other kick.wav"), (bytearray(b"two"), None)], "content binary, name string")
+    classifier = lambda df: scan.classify(df.select("path", "mtime", F.lit(None).cast("double").alias("duration")), None, "auto")
+    for _ in range(2):
+        got = store.import_uploads(uploads, f"{tmp_path}/blobs", classifier).collect()
+        assert sorted(r["path"].rsplit("/", 1)[1] for r in got) == sorted(f"{hashlib.sha1(c).hexdigest()}.wav" for c in (b"one", b"two"))
+        assert store.tags.count() == 5 and len(list((tmp_path / "blobs").glob("*"))) == 2
+    assert [r["category"] for r in got if "ick" in r["filename"]] == ["kick"]
+    assert (tmp_path / "blobs" / f"{hashlib.sha1(b'two').hexdigest()}.wav").read_bytes() == b"two"
+
+
+def test_analytics_and_batch_setting(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path))
+    run = spark.createDataFrame([("/a.wav", 0.5)], "path string, seconds double")
+    assert not audio.append_analytics(run)
+    monkeypatch.setenv("SAMPLEYARD_CAPTIONER_ANALYTICS", f"file://{tmp_path}/runs")
+    assert audio.append_analytics(run) and audio.append_analytics(run)
+    assert [(r["path"], r["ts"] > 1e9) for r in spark.read.json(f"file://{tmp_path}/runs").collect()] == [("/a.wav", True)] * 2
+    for said, size in (("3", 3), ("0", 1), ("x", 8)):
+        monkeypatch.setenv("SAMPLEYARD_CAPTIONER_BATCH", said)
+        assert recognisers.batch_size() == size
+
+
 def test_collections(store):
     assert store.collection_create(" Set ")["count"] == 0
     assert store.collection_add("Set", ["/a/kick.wav", "/gone.wav", "/a/kick.wav"]) == 2

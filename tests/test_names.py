@@ -69,5 +69,5 @@ def test_empty_and_odd_paths(spark):
 
 
 def test_vocabulary_sizes():
-    assert [len(T.CATEGORIES[k]) for k in ("one-shot", "loop", "recording")] == [24, 13, 9]
+    assert [len(T.CATEGORIES[k]) for k in ("one-shot", "loop", "recording")] == [25, 13, 9]
     assert len(T.INSTRUMENTS) == 68 and len(T.GENRES) == 42 and set(T.INSTRUMENT_CATEGORIES) == set(T.INSTRUMENTS)

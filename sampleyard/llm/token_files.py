@@ -6,9 +6,10 @@ with a footer): record batches of ``batch_rows`` sequences, column ``ids``
 fixed_size_list<uint16 or uint32>[seq_len] and column ``mask`` fixed_size_list<bool>[seq_len]
 (true: a real token; only the end of a file is padded).  Batches are not compressed and, but for
 a file's last, equally long, so a memory-mapped file gives any token, sequence or mask without
-copying or decoding.  A file appears under its name only when complete, by rename, so a task
-that runs twice leaves one good file.  A table of (file, id, start in file, number of tokens) is
-written beside the files; a document's global start adds the tokens of all files before its own.
+copying or decoding.  A file appears under its name only when complete, by rename, and every attempt
+at a task has a name of its own, so nothing is ever replaced.  A table of (file, id, start in file,
+number of tokens) is written beside the files; Spark keeps the rows of one attempt only, and these say which
+files count.  A document's global start adds the tokens of all files before its own.
 
 Defined results: a null or empty text is the end id alone; a null id sorts first; rows with one
 id are ordered by a hash of their text; an empty table makes no files and an empty result;
@@ -210,7 +211,7 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        name = f"part-{part:06d}.arrow"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.arrow"
         writer, at = None, 0
         for whole in batches:
             for b in slices(whole, 256):

@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features beside the word itself.
 BEGINNINGS = (4, 5, 6, 7)
-CACHE_WORDS = 131_072
+CACHE_WORDS = 262_144
 
 
 def features(word: str, buckets: int) -> list[int]:
@@ -43,6 +44,21 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return [s for s in found if s[2]]
 
 
+class _WordWeights(dict):
+    """Word -> summed weights of its features, filled on demand and bounded."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights.tolist()
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        weights = self.weights
+        self[word] = w = sum([weights[f] for f in features(word, len(weights))])
+        return w
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray
@@ -50,26 +66,19 @@ class ToxicityModel:
     base: float
 
     def __post_init__(self):
-        self._words: dict[str, float] = {}
+        self._words = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_words": {}}
-
-    def _weight(self, word: str) -> float:
-        if len(self._words) >= CACHE_WORDS:
-            self._words.clear()
-        self._words[word] = w = float(self.weights[features(word, len(self.weights))].sum())
-        return w
+        return {**self.__dict__, "_words": None}
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, probability) of every sentence."""
-        known, out = self._words, []
+        if self._words is None:
+            self._words = _WordWeights(self.weights)
+        weight, out = self._words.__getitem__, []
         for start, end, words in sentences(text):
-            z = self.bias
-            for w in words:
-                x = known.get(w)
-                z += self._weight(w) if x is None else x
-            out.append((start, end, 1 / (1 + np.exp(-min(max(z, -40.0), 40.0)))))
+            z = sum(map(weight, words), self.bias)
+            out.append((start, end, 1 / (1 + exp(-min(max(z, -40.0), 40.0)))))
         return out
 
     def score(self, spans: list[tuple[int, int, float]]) -> float:

@@ -5,9 +5,9 @@ from __future__ import annotations
 # --- fixed values: kinds and categories -------------------------------------------------------
 KINDS = ["one-shot", "loop", "recording", "unknown"]
 CATEGORIES = {
-    "one-shot": "kick snare clap snap hat tom crash ride rim perc bass 808 sub reese melodic vocal fx riser sweep impact drone texture ambience foley noise".split(),
-    "loop": "drum perc bass sub 808 melodic vocal fx riser texture ambience foley full".split(),
-    "recording": "full vocal instrument drum melodic ambience field foley fx".split(),
+    "one-shot": ["kick", "snare", "clap", "snap", "hat", "tom", "crash", "ride", "rim", "perc", "bass", "808", "sub", "reese", "melodic", "vocal", "fx", "riser", "sweep", "impact", "drone", "texture", "ambience", "foley", "noise"],
+    "loop": ["drum", "perc", "bass", "sub", "808", "melodic", "vocal", "fx", "riser", "texture", "ambience", "foley", "full"],
+    "recording": ["full", "vocal", "instrument", "drum", "melodic", "ambience", "field", "foley", "fx"],
 }
 
 # --- fixed values: instruments (order decides which are kept) and genres ------------------------
@@ -169,10 +169,10 @@ CATEGORY_RULES = [
     ("brass", ["brass", "trumpet", "sax", "trombone", "horn"]),
     ("vocal", ["vocal", "vox", "voice", "acap", "sing", "spoken", "speech", "acapella"]),
 ]
-MELODIC = "stab melody lead pad pluck arp chord synth keys piano guitar strings brass".split()
-DRUM_NAMES = "kick snare clap snap hat tom crash ride rim perc drums".split()
-SELF_NAMES = "bass sub reese 808 guitar strings brass lead synth pad pluck stab keys piano".split()
-FX_NAMES = "fx riser sweep impact drone texture ambience foley field noise".split()
+MELODIC = ["stab", "melody", "lead", "pad", "pluck", "arp", "chord", "synth", "keys", "piano", "guitar", "strings", "brass"]
+DRUM_NAMES = ["kick", "snare", "clap", "snap", "hat", "tom", "crash", "ride", "rim", "perc", "drums"]
+SELF_NAMES = ["bass", "sub", "reese", "808", "guitar", "strings", "brass", "lead", "synth", "pad", "pluck", "stab", "keys", "piano"]
+FX_NAMES = ["fx", "riser", "sweep", "impact", "drone", "texture", "ambience", "foley", "field", "noise"]
 SPOKEN_CUES = ["spoken", "speech", "speaking", "talk", "talking", "narration", "narrator", "dialogue", "dialog", "voicememo", "voice memo", "podcast", "monologue"]
 SINGING_CUES = ["singing", "sing", "sung", "sings", "acapella", "acappella", "acap", "vocal chop"]
 
@@ -289,10 +289,10 @@ INSTRUMENT_CATEGORIES = {
 
 # --- fixed values: filename cues of a clip's warp mode, in order ----------------------------------
 WARP_CUES = {
-    "beats": "drum loop beat perc hat kick snare".split(),
-    "melodic": "bass lead melody arp mono".split(),
-    "harmonic": "pad chord keys synth harm atmo".split(),
-    "vocal": "vox vocal voice acap sing".split(),
+    "beats": ["drum", "loop", "beat", "perc", "hat", "kick", "snare"],
+    "melodic": ["bass", "lead", "melody", "arp", "mono"],
+    "harmonic": ["pad", "chord", "keys", "synth", "harm", "atmo"],
+    "vocal": ["vox", "vocal", "voice", "acap", "sing"],
 }
 WARP_CATEGORY = {"beats": "drum", "melodic": "melodic", "harmonic": "melodic", "vocal": "vocal", "complex": "full"}
 
@@ -304,16 +304,16 @@ INSTRUMENT_CAP, GENRE_CAP, GENRE_CAPTION_WEIGHT = 4, 3, 0.6
 INSTRUMENT_RATIO, GENRE_MIN_PROBABILITY, GENRE_TEMPERATURE, GENRE_MIN_SIMILARITY = 0.5, 0.15, 0.04, 0.22
 HEURISTIC_CONFIDENCE = 0.55
 ONESHOT_SECONDS, RECORDING_SECONDS, BAR_TOLERANCE, BAR_COUNTS = 1.2, 30.0, 0.06, [1, 2, 4, 8, 16]
-KIND_DRUMS = "kick snare clap hat tom crash ride rim perc".split()
+KIND_DRUMS = ["kick", "snare", "clap", "hat", "tom", "crash", "ride", "rim", "perc"]
 CATCHALL = ["fx", "full"]
 GUESSED = ["bass", "sub", "808", "reese", "melodic", "vocal"]
 PRECEDENCE = {"ace-step": 0, "clap": 1, "heuristic": 2}
 RUN_ORDER = ["clap", "ace-step", "heuristic"]
-HEURISTIC_DRUMS = "kick snare clap snap hat tom crash ride rim perc drum".split()
+HEURISTIC_DRUMS = ["kick", "snare", "clap", "snap", "hat", "tom", "crash", "ride", "rim", "perc", "drum"]
 HEURISTIC_SELF = ["bass", "808", "sub", "reese", "vocal"]
 LOOP_CONTEXT = {"seconds": 1.5, "voiced": 0.6, "bpm": 120.0, "bars": 2}
 LOOP_CONTEXT_TONAL = ["bass", "sub", "808", "reese", "melodic"]
-LOOP_CONTEXT_DRUMS = "kick snare clap snap hat tom crash ride rim perc 808".split()
+LOOP_CONTEXT_DRUMS = ["kick", "snare", "clap", "snap", "hat", "tom", "crash", "ride", "rim", "perc", "808"]
 AUDIO_SUFFIXES = ["wav", "aif", "aiff", "flac", "ogg", "mp3"]
 
 

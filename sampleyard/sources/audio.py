@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -281,13 +282,16 @@ def with_features(files: DataFrame) -> DataFrame:
 
 
 def with_durations(files: DataFrame, head: int = 1 << 16) -> DataFrame:
-    """``files(path, content)`` -> (path, duration) from the leading bytes."""
+    """``files(path, content)`` -> (path, duration) from the leading bytes; from all bytes only where a longer file's header lies beyond them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([duration(x or b"") for x in b.column(1).to_pylist()], pa.float64())], names=["path", "duration"])
+    @F.pandas_udf("double")
+    def seconds(content: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else duration(x) for x in content], dtype="float64")
 
-    return files.select("path", F.substring("content", 1, head).alias("head")).mapInArrow(run, "path string, duration double")
+    content, early = F.col("content"), F.col("early")
+    probed = files.select("path", "content", seconds(F.substring(content, 1, head)).alias("early"))
+    beyond = F.when(early.isNull() & (F.octet_length(content) > head), content)
+    return probed.select("path", F.coalesce(early, seconds(beyond)).alias("duration"))
 
 
 def loop_render(files: DataFrame, bpm: float = T.LOOP_CONTEXT["bpm"], bars: int = T.LOOP_CONTEXT["bars"]) -> DataFrame:

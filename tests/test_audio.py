@@ -1,5 +1,7 @@
 """Audio files, features, recognisers and streams."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,35 @@ def test_headers():
     assert rate == 8000 and np.allclose(y, [0, 0.5, -0.5], atol=1e-3)
 
 
+def test_headers_beyond_the_leading_bytes(spark):
+    def chunk(tag, body, order="<"):
+        return tag + struct.pack(f"{order}I", len(body)) + body
+
+    wave = audio.encode_wav(tone(440, 0.5), RATE)
+    late = b"RIFF" + struct.pack("<I", 0) + b"WAVE" + chunk(b"JUNK", bytes(100_000)) + wave[12:]
+    sound = chunk(b"SSND", bytes(8 + 2 * 8000 * 6), ">")
+    rate = struct.pack(">HQ", 16383 + 12, 8000 << 51)  # 8000 as an 80-bit float
+    common = chunk(b"COMM", struct.pack(">hIh", 1, 8000 * 6, 16) + rate, ">")
+    aiff = b"FORM" + struct.pack(">I", 0) + b"AIFF" + sound + common
+    rows = [("late", late), ("aiff", aiff), ("early", wave), ("long", bytes(200_000)), ("null", None)]
+    got = dict(audio.with_durations(spark.createDataFrame(rows, "path string, content binary")).collect())
+    assert got == {"late": 0.5, "aiff": 6.0, "early": 0.5, "long": None, "null": None}
+
+
+def test_features_of_known_signals():
+    clicks = np.zeros(RATE * 4)
+    clicks[:: RATE // 2] = 1.0  # 120 beats a minute
+    steady, struck = audio.analyse(tone(441, 2.0), RATE), audio.analyse(clicks, RATE)
+    assert abs(steady["spectral_centroid"] - 441) < 30 and abs(steady["spectral_rolloff"] - 441) < 30
+    assert abs(steady["zero_crossing_rate"] - 2 * 441 / RATE) < 1e-3
+    assert steady["percussive_ratio"] < 0.2 < 0.8 < struck["percussive_ratio"]
+    assert abs(struck["tempo"] - 120) < 5 and abs(struck["transient_density"] - 2) < 0.6
+    late = np.concatenate([np.zeros(RATE // 10), [1.0], np.zeros(RATE // 10)])
+    assert abs(audio.analyse(late, RATE)["log_attack_time"] + 1) < 1e-3
+    assert steady["voiced_ratio"] > 0.9 and audio.analyse(np.random.default_rng(0).standard_normal(RATE), RATE)["voiced_ratio"] < 0.2
+    assert audio.analyse(np.zeros(0), RATE)["log_attack_time"] == -3.0
+
+
 def test_classify_and_render(spark, folder):
     found = audio.with_features(audio.read_files(spark, str(folder))).withColumn("kind", F.lit("one-shot"))
     tags = {r["filename"]: r for r in scan.classify(found, recognisers.verdicts(found, "auto"), "auto").collect()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, embedding_dedup, html_extraction, language_id, ngram_join, quality, sharding, token_files, toxicity
+from . import byte_bpe, centroids, decontamination, duck, embedding_dedup, html_extraction, language_id, ngram_join, phrases, quality, sentence_pieces, sharding, token_files, toxicity
 from .common import digested, is_fold
 
 
@@ -81,10 +81,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(index)
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentence_pieces.digests(sentence_pieces.encode(table(spark, sf_dir, "documents"), model), model)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_centroids": duck.centroids(), "op13_phrases": duck.phrases()}

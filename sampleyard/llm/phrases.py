@@ -235,8 +235,10 @@ def phrase_counts(texts: DataFrame, words: DataFrame, min_count: int, max_words:
         def blocks() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate(waiting) if waiting else np.empty((0, max_words + 1), np.uint32)
             waiting.clear()
+            if not len(keys):
+                return
             keys, counts = runs(keys, np.ones(len(keys), np.int64))
-            part = np.searchsorted(held.value, packed(keys), side="right") if len(keys) else np.empty(0, int)
+            part = np.searchsorted(held.value, packed(keys), side="right")
             starts = np.flatnonzero(np.diff(part, prepend=-1))
             for a, z in zip(starts, [*starts[1:], len(keys)], strict=True):
                 columns = [np.ascontiguousarray(keys[a:z].T).tobytes(), counts[a:z].tobytes()]  # by columns: sorted ones compress well

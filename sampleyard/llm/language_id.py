@@ -81,7 +81,7 @@ class LanguageModel:
 
 
 def dealt(texts: list[bytes], parts: int, dict_bytes: int) -> list[bytes]:
-    """Dictionaries of whole texts: each goes to the emptiest one that has room for it; the shortest text always has room."""
+    """Dictionaries of whole texts: each goes to the emptiest one that has room for it; where none has, the first has the shortest text's beginning."""
     held: list[list[bytes]] = [[] for _ in range(parts)]
     sizes = [0] * parts
     for t in texts:
@@ -90,7 +90,7 @@ def dealt(texts: list[bytes], parts: int, dict_bytes: int) -> list[bytes]:
             held[at].append(t)
             sizes[at] += len(t)
     if not any(sizes) and texts:
-        held[0].append(min(texts, key=len))
+        held[0].append(min(texts, key=len)[:dict_bytes])
     return [b"\n".join(x) for x in held if x]
 
 
@@ -98,18 +98,23 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     """Dictionaries from rows where ``learn`` holds and the language is not null.
 
     The sample is bounded by ``parts * dict_bytes`` bytes per language, whatever the corpus' size: distinct
-    whole texts in the order of a hash, as many as fit.  Texts longer than a dictionary are taken only
-    (the shortest one) where a language has no others.
+    whole texts in the order of a hash, as many as fit.  A text counts once, however often it is repeated,
+    and every language keeps one text at least, so none is lost.  Where a language has only texts longer than
+    a dictionary, the first ``dict_bytes`` bytes of its shortest one are learned.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("n"), F.pmod(F.xxhash64(text_col), F.lit(1 << 30)).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).cast("long").alias("n"), F.pmod(F.xxhash64(text_col), F.lit(1 << 40)).alias("h")
     )
     fits = F.col("n") <= dict_bytes
-    shares = rows.groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.when(fits, F.col("n"))).alias("fitting"), F.count(F.when(fits, True)).alias("rows"), F.min(F.struct("n", "h")).alias("shortest")).collect()
+    shares = (
+        rows.groupBy("lang", "h", "n").agg(F.lit(1).alias("one"))  # distinct texts, by hash and size
+        .groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.when(fits, F.col("n"))).alias("fitting"), F.count(F.when(fits, True)).alias("texts"), F.min(F.when(fits, F.col("h"))).alias("first"), F.min(F.struct("n", "h")).alias("shortest"))
+        .collect()
+    )
     wanted = F.lit(False)
     for r in shares:  # three times what is needed, so that the sample nearly always fills its dictionaries
-        if r["rows"]:
-            cut = int(min(1.0, max(3 * parts * dict_bytes / r["fitting"], 24 / r["rows"])) * (1 << 30))
+        if r["texts"]:
+            cut = max(int(min(1.0, max(3 * parts * dict_bytes / r["fitting"], 24 / r["texts"])) * (1 << 40)), r["first"] + 1)
             wanted = wanted | ((F.col("lang") == r["lang"]) & fits & (F.col("h") < cut))
         else:
             wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("n") == r["shortest"]["n"]) & (F.col("h") == r["shortest"]["h"]))

@@ -79,7 +79,21 @@ def test_dictionaries_are_bounded_under_repeated_and_long_texts(spark):
     rows = [(i, "the same text again and again", "en") for i in range(3000)] + [(5000 + i, f"Satz {i} ist ganz kurz", "de") for i in range(20)] + [(6000, "tres long " * 20_000, "fr"), (6001, "plus long " * 40_000, "fr")]
     model = language_id.fit(odd.documents(spark, rows), learn=F.lit(True))
     sizes = {lang: [len(d) for d in parts] for lang, parts in zip(model.languages, model.dictionaries, strict=True)}
-    assert sizes["en"] == [29] and sum(sizes["de"]) > 400 and sizes["fr"] == [200_000]
+    assert sizes["en"] == [29] and sum(sizes["de"]) > 400 and sizes["fr"] == [65_536]
+
+
+@pytest.mark.parametrize("copies", [40_000, 400_000])
+def test_no_language_vanishes_under_one_repeated_text(spark, copies):
+    """One text is over 99.8 % of the table and of its language: all languages are learned, and its other texts too."""
+    words = {"en": "the house stands near water and wind", "de": "das haus steht nahe wasser und wind", "fr": "la maison se trouve pres de eau et vent"}
+    rows = [(i, f"{words[lang]} {n} {words[lang][::-1]}", lang) for lang, n_texts in (("en", 5), ("de", 50), ("fr", 1)) for i, n in enumerate(range(n_texts))]
+    docs = odd.documents(spark, rows).select("doc_id", "text", "lang")
+    repeated = spark.range(copies).select(F.col("id").alias("doc_id"), F.lit("one english text that is said over and over again").alias("text"), F.lit("en").alias("lang"))
+    for seed in range(3):
+        model = language_id.fit(docs.unionByName(repeated).withColumn("text", F.concat("text", F.lit(f" {seed}"))), learn=F.lit(True))
+        assert sorted(model.languages) == ["de", "en", "fr"]
+        assert sum(d.count(words["en"].encode()) for d in model.dictionaries[model.languages.index("en")]) == 5
+        assert [model.classify(f"{w} once more")[0] for w in words.values()] == list(words)
 
 
 def test_samples_are_bounded_under_repeated_texts(spark):

@@ -72,8 +72,9 @@ class PieceEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.apart = drops_spaces(spec)
+        # strings of added tokens in a text are single ids to the library; texts that may hold one are left to it
+        self.marks = tuple({t["content"][:2] for t in json.loads(spec).get("added_tokens", [])})
+        self.apart = drops_spaces(spec) and all(m.lower() == m.upper() for m in self.marks)
         self.dtype, self.pieces, self.tokens = dtype, {}, {}
 
     def _pre_token(self, token: str) -> bytes:
@@ -105,6 +106,9 @@ class PieceEncoder:
         self.model, self.normalizer, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         known, out = self.pieces, []
         for text in texts:
+            if any([m in text for m in self.marks]):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+                continue
             split = text.replace("\n", " ").split(" ")
             try:
                 out.append(b"".join([known[p] for p in split]))

@@ -79,6 +79,13 @@ def test_shards_of_odd_rows(spark):
     docs = odd.odd_documents(spark)
     rows = sharding.assign(docs, shards=5).collect()
     assert sorted(r["row_number"] for r in rows) == list(range(docs.count()))
+    raw = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]  # repeats, ties of ids and null texts included
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
+    want = sorted(((i, len(t) + 1, zlib.crc32(t)) for i, t in raw), key=key)
+    assert [(r["doc_id"], r["size"], r["text_crc32"]) for r in sorted(rows, key=lambda r: r["row_number"])] == want
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows if r["size"] == 1} == {(None, 1, 0), (3, 1, 0), (4, 1, 0)}
+    shard, slot = sharding.place(np.arange(len(rows)), len(rows), 5, seed=42)
+    assert {r["row_number"]: (r["shard"], r["slot"]) for r in rows} == {k: (int(a), int(b)) for k, (a, b) in enumerate(zip(shard, slot, strict=True))}
     assert sharding.assign(docs.limit(0)).count() == 0
 
 
@@ -86,7 +93,6 @@ def test_token_files_hold_the_librarys_ids(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     docs = sorted((r["doc_id"], r["text"] or "") for r in queries.table(spark, odd.SMALL, "documents").collect())
     start, wanted = 0, []
     for i, text in docs:
@@ -97,11 +103,20 @@ def test_token_files_hold_the_librarys_ids(spark):
     assert got == wanted
 
 
+def test_strings_of_special_tokens_are_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["<|endoftext|>", "one <|endoftext|> two<|startoftext|>three", "<|EndOfText|> <| endoftext|> <|", "a" * 300 + "<|endoftext|>\n<|endoftext|>"]
+    index = token_files.write_token_files(odd.documents(spark, [(i, x, None) for i, x in enumerate(texts)]), P.path("word_bpe_49k.json"))
+    got = {r["doc_id"]: r["ids"] for r in token_files.read_documents(index).collect()}
+    assert got[0] == [49407, 1] and got == {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+
+
 def test_token_files_of_odd_rows_and_random_access(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     docs = odd.odd_documents(spark).union(odd.documents(spark, [(50 + i, x, None) for i, x in enumerate(HARD)]))
     index = token_files.write_token_files(docs, P.path("word_bpe_49k.json"), seq_len=32, batch_rows=4)
     got = token_files.read_documents(index).collect()

@@ -13,24 +13,8 @@ from pyspark.sql import functions as F
 
 from . import taxonomy as T
 
-_TEMPO, _GAP, _JOINT = r"(\d{2,3}(?:\.\d+)?)", r"\s*[-_]?\s*", r"[\s_-]?"
-#: A tempo beside the letters bpm, on either side.
-EXPLICIT_BPM = rf"(?i)(?:{_TEMPO}{_GAP}bpm|bpm{_GAP}{_TEMPO})"
-#: A number of two or three digits on its own.
-BARE_NUMBER = r"(?<!\d)(\d{2,3})(?!\d)"
-_MODE = r"(?:[-_ ]?(maj(?:or|\d*)|min(?:or)?|m\b))?"
-#: A note letter with its sign and mode; and one whose sharp is spelt with an s.
-KEY = rf"(?U)(?<![A-Za-z])([A-G][b#]?){_MODE}(?![A-Za-z0-9])"
-KEY_SHARP_S = rf"(?U)(?<![A-Za-z0-9])([A-G])s{_MODE}(?![A-Za-z0-9])"
-
-
-def _whole(*words: str) -> str:
-    """Any of the words, no letter on either side."""
-    return rf"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"
-
-
-ONE_SHOT = _whole(f"one{_JOINT}shots?", "hit", "stab")
-RECORDING = _whole(f"(?:field{_JOINT})?rec(?:ording)?", f"voice{_JOINT}memo", f"full{_JOINT}(?:mix|song)", "jam", r"take\d*", "bounce", "master")
+#: As the engine's patterns spell them: case left out of account for tempos, Unicode word ends for keys.
+EXPLICIT_BPM, KEY, KEY_SHARP_S = f"(?i){T.EXPLICIT_BPM}", f"(?U){T.KEY}", f"(?U){T.KEY_SHARP_S}"
 
 
 def literal_map(values: dict) -> Column:
@@ -62,14 +46,15 @@ def fragments(path: Column) -> Column:
     return F.filter(F.concat(folders, F.array(stem(F.element_at(parts, -1)))), lambda x: x != "")
 
 
-def parse_kind(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(low.contains("loop"), "loop").when(low.rlike(ONE_SHOT), "one-shot").when(low.rlike(RECORDING), "recording")
+def parse_kind(text: Column, low: Column | None = None) -> Column:
+    """``low``: the text in lower case, where it is at hand."""
+    low = F.lower(text) if low is None else low
+    return F.when(low.contains("loop"), "loop").when(low.rlike(T.ONE_SHOT), "one-shot").when(low.rlike(T.RECORDING), "recording")
 
 
-def parse_category(text: Column) -> Column:
+def parse_category(text: Column, low: Column | None = None) -> Column:
     """The fine label of the first rule with a keyword anywhere in the text."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     chain = None
     for label, keywords in T.CATEGORY_RULES:
         hit = reduce(lambda a, b: a | b, [low.contains(k) for k in keywords])
@@ -81,7 +66,7 @@ def parse_bpm(text: Column) -> Column:
     """An explicit tempo of 40..220, else a bare number of 60..200; of each pattern the first match counts."""
     group = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
     named = F.coalesce(group(EXPLICIT_BPM, 1), group(EXPLICIT_BPM, 2)).cast("double")
-    bare = group(BARE_NUMBER, 1).cast("double")
+    bare = group(T.BARE_NUMBER, 1).cast("double")
     return F.when(named.between(40, 220), named).when(bare.between(60, 200), bare)
 
 
@@ -111,9 +96,13 @@ def coarse(label: Column) -> Column:
     return F.when(label.isin(T.MELODIC), "melodic").otherwise(label)
 
 
-def instruments_of(label: Column, frs: Column) -> Column:
-    """Instrument tags of a fine label; a vocal's subtype comes from cues anywhere in the path."""
-    low = F.regexp_replace(F.lower(F.array_join(frs, " ")), r"[_\-.]+", " ")
+def cue_text(frs: Column) -> Column:
+    """The fragments as one lower-case text, joints made spaces: where a vocal's cues are looked for."""
+    return F.regexp_replace(F.lower(F.array_join(frs, " ")), r"[_\-.]+", " ")
+
+
+def instruments_of(label: Column, low: Column) -> Column:
+    """Instrument tags of a fine label; a vocal's subtype comes from cues anywhere in the path's :func:`cue_text`."""
     said = lambda cues: reduce(lambda a, b: a | b, [low.contains(c) for c in cues])
     return (
         F.when(label.isin("drums", "perc"), strings(["drums"]))
@@ -132,8 +121,8 @@ def name_parts(frs: Column) -> Column:
     near = F.reverse(frs)
     return F.struct(
         frs.alias("fragments"),
-        nearest(F.transform(near, parse_kind)).alias("kind"),
-        nearest(F.transform(near, parse_category)).alias("label"),
+        nearest(F.transform(near, lambda x: parse_kind(x))).alias("kind"),
+        nearest(F.transform(near, lambda x: parse_category(x))).alias("label"),
         nearest(F.transform(near, parse_bpm)).alias("bpm"),
         F.transform(near, parse_key).alias("keys"),
     )
@@ -147,17 +136,22 @@ def from_parts(parts: Column) -> Column:
 
 
 def _verdict(parts: Column, key: Column) -> Column:
+    return verdict(parts["kind"], parts["label"], parts["bpm"], key, cue_text(parts["fragments"]))
+
+
+def verdict(kind: Column, label: Column, bpm: Column, key: Column, low: Column) -> Column:
+    """The name pass' STRUCT from what was found, and the path's :func:`cue_text`."""
     flags = F.concat(
-        *[parts[c].isNotNull().cast("int").cast("string") for c in ("kind", "label", "bpm")],
+        *[found.isNotNull().cast("int").cast("string") for found in (kind, label, bpm)],
         F.when(key.isNull(), "0.0").when(key["confidence"] == T.KEY_SCALE_CONFIDENCE, "0.9").otherwise("0.6"),
     )
     return F.struct(
-        parts["kind"].alias("kind"),
-        coarse(parts["label"]).alias("category"),
+        kind.alias("kind"),
+        coarse(label).alias("category"),
         key["key"].alias("key"),
         key["scale"].alias("scale"),
-        parts["bpm"].alias("bpm"),
-        instruments_of(parts["label"], parts["fragments"]).alias("instruments"),
+        bpm.alias("bpm"),
+        instruments_of(label, low).alias("instruments"),
         literal_map(T.name_confidences())[flags].alias("confidence"),
         F.lit("name").alias("source"),
     )
@@ -184,10 +178,10 @@ def bpm_from_filename(filename: Column) -> Column:
     """Explicit tempo of any size, else a bare number of 40..220."""
     low = F.lower(stem(file_name(filename)))
     group = lambda pattern, k: F.nullif(F.regexp_extract(low, pattern, k), F.lit("")).cast("double")
-    bare = group(r"(?<![\d.])(\d{2,3})(?![\d.])", 1)
+    bare = group(T.BARE_NUMBER_IN_FILENAME, 1)
     return F.coalesce(group(EXPLICIT_BPM, 1), group(EXPLICIT_BPM, 2), F.when(bare.between(40, 220), bare))
 
 
 def kind_from_filename(filename: Column) -> Column:
     low = F.lower(stem(file_name(filename)))
-    return F.when(low.contains("loop"), "loop").when(low.rlike(_whole(f"one{_JOINT}shot", "hit", "stab")), "one-shot")
+    return F.when(low.contains("loop"), "loop").when(low.rlike(T.ONE_SHOT_IN_FILENAME), "one-shot")

@@ -28,15 +28,15 @@ def classify_oneshot(f: Column) -> Column:
     """Category of a one-shot from its feature STRUCT; the first rule that holds decides."""
     centroid, rolloff, zcr = f["spectral_centroid"], f["spectral_rolloff"], f["zero_crossing_rate"]
     voiced, stability = f["voiced_ratio"], f["pitch_stability"]
-    fast, percussive = f["log_attack_time"] <= -1.5, f["percussive_ratio"] >= 0.6
-    noisy = zcr >= 0.15
+    fast, percussive = f["log_attack_time"] <= T.FAST_ATTACK, f["percussive_ratio"] >= T.PERCUSSIVE
+    noisy = zcr >= T.NOISY
     return (
-        F.when((centroid >= 4000) & (rolloff >= 7000) & noisy, "hat")
-        .when((zcr < 0.03) & (centroid <= 2500), F.when(fast | percussive, "kick").otherwise("bass"))
-        .when(percussive & noisy & fast, F.when(centroid >= 2000, "clap").otherwise("snare"))
-        .when((voiced > 0.5) & centroid.between(300, 3500) & (stability >= 0.1) & ~percussive, "vocal")
-        .when((voiced > 0.5) & (stability < 0.05), "melodic")
-        .when(centroid <= 400, "bass")
+        F.when((centroid >= T.HAT_CENTROID) & (rolloff >= T.HAT_ROLLOFF) & noisy, "hat")
+        .when((zcr < T.LOW_CROSSINGS) & (centroid <= T.LOW_CENTROID), F.when(fast | percussive, "kick").otherwise("bass"))
+        .when(percussive & noisy & fast, F.when(centroid >= T.CLAP_CENTROID, "clap").otherwise("snare"))
+        .when((voiced > T.VOICED) & centroid.between(*T.VOCAL_CENTROID) & (stability >= T.VOCAL_STABILITY) & ~percussive, "vocal")
+        .when((voiced > T.VOICED) & (stability < T.STEADY), "melodic")
+        .when(centroid <= T.BASS_CENTROID, "bass")
         .when(percussive, "perc")
         .otherwise("fx")
     )
@@ -45,10 +45,10 @@ def classify_oneshot(f: Column) -> Column:
 def warp_mode(f: Column) -> Column:
     voiced, stability = f["voiced_ratio"], f["pitch_stability"]
     return (
-        F.when((f["transient_density"] > 2.5) & (f["percussive_ratio"] > 0.5), "beats")
-        .when((voiced > 0.5) & (f["formant_strength"] > 0.6), "vocal")
-        .when((voiced > 0.4) & (stability < 0.05), "melodic")
-        .when((voiced > 0.3) & (stability >= 0.05), "harmonic")
+        F.when((f["transient_density"] > T.WARP_DENSITY) & (f["percussive_ratio"] > T.WARP_PERCUSSIVE), "beats")
+        .when((voiced > T.WARP_VOCAL) & (f["formant_strength"] > T.WARP_FORMANT), "vocal")
+        .when((voiced > T.WARP_MELODIC) & (stability < T.STEADY), "melodic")
+        .when((voiced > T.WARP_HARMONIC) & (stability >= T.STEADY), "harmonic")
         .otherwise("complex")
     )
 
@@ -84,7 +84,7 @@ def recognise_features(f: Column, kind: Column) -> Column:
 
 def needs_escalation(instruments: Column, category: Column, path: Column, filename: Column) -> Column:
     """Whether a verdict is not to be trusted: no instruments, and no category, a catch-all one, or a pitched one the name does not confirm."""
-    named = nearest(F.transform(F.reverse(fragments(F.coalesce(F.nullif(path, F.lit("")), filename, F.lit("")))), parse_category))
+    named = nearest(F.transform(F.reverse(fragments(F.coalesce(F.nullif(path, F.lit("")), filename, F.lit("")))), lambda x: parse_category(x)))
     doubtful = category.isNull() | (category == "") | category.isin(T.CATCHALL) | (category.isin(T.GUESSED) & named.isNull())
     return (F.coalesce(F.size(instruments), F.lit(0)) <= 0) & F.coalesce(doubtful, F.lit(True))
 

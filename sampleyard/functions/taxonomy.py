@@ -317,6 +317,24 @@ LOOP_CONTEXT_DRUMS = ["kick", "snare", "clap", "snap", "hat", "tom", "crash", "r
 AUDIO_SUFFIXES = ["wav", "aif", "aiff", "flac", "ogg", "mp3"]
 
 
+# --- fixed values: patterns of names (results depend on every letter of them) -------------------
+EXPLICIT_BPM = r"(?:(\d{2,3}(?:\.\d+)?)\s*[-_]?\s*bpm|bpm\s*[-_]?\s*(\d{2,3}(?:\.\d+)?))"
+BARE_NUMBER = r"(?<![0-9])(\d{2,3})(?![0-9])"
+BARE_NUMBER_IN_FILENAME = r"(?<![\d.])(\d{2,3})(?![\d.])"
+KEY = r"(?<![A-Za-z])([A-G][b#]?)(?:[-_ ]?(major|maj\d*|minor|min(?:or)?|m(?=\b)))?(?![A-Za-z0-9])"
+KEY_SHARP_S = r"(?<![A-Za-z0-9])([A-G])s(?:[-_ ]?(major|maj\d*|minor|min(?:or)?|m(?=\b)))?(?![A-Za-z0-9])"
+ONE_SHOT = r"(?<![a-z])(?:one[\s_-]?shots?|oneshots?|hit|stab)(?![a-z])"
+ONE_SHOT_IN_FILENAME = r"(?<![a-z])(?:one[\s_-]?shot|hit|stab)(?![a-z])"
+RECORDING = r"(?<![a-z])(?:recording|rec|field[\s_-]?rec(?:ording)?|voice[\s_-]?memo|jam|take\d*|bounce|full[\s_-]?mix|full[\s_-]?song|master)(?![a-z])"
+
+# --- fixed values: thresholds of the decision lists on features ---------------------------------
+FAST_ATTACK, PERCUSSIVE, NOISY, VOICED = -1.5, 0.6, 0.15, 0.5
+HAT_CENTROID, HAT_ROLLOFF = 4000, 7000
+LOW_CROSSINGS, LOW_CENTROID, BASS_CENTROID, CLAP_CENTROID = 0.03, 2500, 400, 2000
+VOCAL_CENTROID, VOCAL_STABILITY, STEADY = (300, 3500), 0.1, 0.05
+WARP_DENSITY, WARP_PERCUSSIVE, WARP_VOCAL, WARP_FORMANT, WARP_MELODIC, WARP_HARMONIC = 2.5, 0.5, 0.5, 0.6, 0.4, 0.3
+
+
 def categories_for(kind: str) -> list[str]:
     """The category vocabulary of a kind; an unknown kind has that of one-shots."""
     return CATEGORIES.get(kind, CATEGORIES["one-shot"])

@@ -16,17 +16,21 @@ from ..sources.shared import checkpointed
 from . import catalog
 
 Classifier = Callable[[DataFrame], DataFrame]
+#: Where files carry the name pass' STRUCT already (``path_names.with_names``).
+NAME = "__name"
 
 
 def classify(files: DataFrame, verdicts: Column | None, backend: str) -> DataFrame:
     """Tag columns of ``files(path, duration, mtime, ...)``: name pass, kind, verdicts merged and fused.
 
-    ``verdicts`` is an ARRAY of verdict STRUCTs in run order (null: names only).  Row-local: no shuffle.
+    ``verdicts`` is an ARRAY of verdict STRUCTs in run order (null: names only).  Row-local: no shuffle.  A column
+    :data:`NAME` of ``files`` saves the name pass.
     """
     verdict = "struct<category:string,instruments:array<string>,source:string,confidence:double,caption:string,genres:" + fusion.GENRE_TYPE + ">"
     merged = F.lit(None).cast(verdict) if verdicts is None else fusion.merge(verdicts)
     # a generator computes name and verdict once for all of their fields
-    named = files.select("*", F.inline(F.array(F.struct(names.classify_name(F.col("path")).alias("__name"), merged.alias("__verdict")))))
+    name = [] if NAME in files.columns else [names.classify_name(F.col("path")).alias(NAME)]
+    named = files.select("*", F.inline(F.array(F.struct(*name, merged.alias("__verdict")))))
     kind = rules.resolve_kind(F.col("__name")["kind"], F.col("__name")["category"], F.col("__name")["bpm"], F.col("duration"))
     return named.select(*fusion.fuse(F.col("path"), kind, F.col("duration"), F.col("__name"), F.col("__verdict"), backend), "mtime")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import taxonomy as T
 
 
@@ -26,13 +28,16 @@ def has_any(text: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains({text}, {q(w)})" for w in words) + ")"
 
 
-ONE_SHOT = r"(^|[^a-z])(one[\s_-]?shots?|oneshots?|hit|stab)($|[^a-z])"
-RECORDING = r"(^|[^a-z])(recording|rec|field[\s_-]?rec(ording)?|voice[\s_-]?memo|jam|take[0-9]*|bounce|full[\s_-]?mix|full[\s_-]?song|master)($|[^a-z])"
-EXPLICIT_BPM = r"(?i)([0-9]{2,3}(\.[0-9]+)?)\s*[-_]?\s*bpm|bpm\s*[-_]?\s*([0-9]{2,3}(\.[0-9]+)?)"
-BARE = r"(^|[^0-9])([0-9]{2,3})($|[^0-9])"
-_SCALES = r"(?:[-_ ]?(major|maj[0-9]*|minor|min)(?:$|[^A-Za-z0-9])|[-_ ]?(m)(?:$|[^A-Za-z0-9_])|(?:$|[^A-Za-z0-9]))"
-KEY = rf"(^|[^A-Za-z])([A-G][b#]?){_SCALES}"
-KEY_SHARP_S = rf"(^|[^A-Za-z0-9])([A-G])s{_SCALES}"
+def re2(pattern: str) -> str:
+    """A fixed pattern for an engine without look-around: what stands beside a match becomes part of it, so groups move up by one."""
+    beside = re.sub(r"\(\?<!\[([^]]*)\]\)", r"(^|[^\1])", pattern)
+    beside = re.sub(r"\(\?!\[([^]]*)\]\)", r"($|[^\1])", beside)
+    return beside.replace(r"(?=\b)", r"\b")
+
+
+ONE_SHOT, RECORDING, ONE_SHOT_IN_FILENAME = re2(T.ONE_SHOT), re2(T.RECORDING), re2(T.ONE_SHOT_IN_FILENAME)
+EXPLICIT_BPM, BARE, BARE_IN_FILENAME = f"(?i){T.EXPLICIT_BPM}", re2(T.BARE_NUMBER), re2(T.BARE_NUMBER_IN_FILENAME)
+KEY, KEY_SHARP_S = re2(T.KEY), re2(T.KEY_SHARP_S)
 
 
 def kind_of(x: str) -> str:
@@ -44,14 +49,14 @@ def label_of(x: str) -> str:
 
 
 def bpm_of(x: str) -> str:
-    named = f"try_cast(coalesce(nullif(regexp_extract({x}, {q(EXPLICIT_BPM)}, 1), ''), nullif(regexp_extract({x}, {q(EXPLICIT_BPM)}, 3), '')) as double)"
+    named = f"try_cast(coalesce(nullif(regexp_extract({x}, {q(EXPLICIT_BPM)}, 1), ''), nullif(regexp_extract({x}, {q(EXPLICIT_BPM)}, 2), '')) as double)"
     bare = f"try_cast(nullif(regexp_extract({x}, {q(BARE)}, 2), '') as double)"
     return f"case when {named} between 40 and 220 then {named} when {bare} between 60 and 200 then {bare} end"
 
 
 def key_of(x: str) -> str:
     def made(pattern: str, note: str) -> str:
-        scale = f"lower(coalesce(nullif(regexp_extract({x}, {q(pattern)}, 3), ''), regexp_extract({x}, {q(pattern)}, 4)))"
+        scale = f"lower(regexp_extract({x}, {q(pattern)}, 3))"
         return f"{{'key': {note}, 'scale': case when starts_with({scale}, 'maj') then 'major' when starts_with({scale}, 'm') then 'minor' end, 'confidence': case when {scale} <> '' then 0.9::double else 0.6::double end}}"
 
     plain, sharp = f"regexp_extract({x}, {q(KEY)}, 2)", f"regexp_extract({x}, {q(KEY_SHARP_S)}, 2)"
@@ -139,16 +144,22 @@ def from_instruments(kind: str, instruments: str) -> str:
 
 def oneshot(p: str = "") -> str:
     c, r, z, a, pr, v, s = (f"{p}{x}" for x in ("spectral_centroid", "spectral_rolloff", "zero_crossing_rate", "log_attack_time", "percussive_ratio", "voiced_ratio", "pitch_stability"))
+    low, high = T.VOCAL_CENTROID
     return (
-        f"case when {c} >= 4000 and {r} >= 7000 and {z} >= 0.15 then 'hat' when {z} < 0.03 and {c} <= 2500 then case when {a} <= -1.5 or {pr} >= 0.6 then 'kick' else 'bass' end "
-        f"when {pr} >= 0.6 and {z} >= 0.15 and {a} <= -1.5 then case when {c} >= 2000 then 'clap' else 'snare' end when {v} > 0.5 and {c} between 300 and 3500 and {s} >= 0.1 and not {pr} >= 0.6 then 'vocal' "
-        f"when {v} > 0.5 and {s} < 0.05 then 'melodic' when {c} <= 400 then 'bass' when {pr} >= 0.6 then 'perc' else 'fx' end"
+        f"case when {c} >= {T.HAT_CENTROID} and {r} >= {T.HAT_ROLLOFF} and {z} >= {T.NOISY} then 'hat' "
+        f"when {z} < {T.LOW_CROSSINGS} and {c} <= {T.LOW_CENTROID} then case when {a} <= {T.FAST_ATTACK} or {pr} >= {T.PERCUSSIVE} then 'kick' else 'bass' end "
+        f"when {pr} >= {T.PERCUSSIVE} and {z} >= {T.NOISY} and {a} <= {T.FAST_ATTACK} then case when {c} >= {T.CLAP_CENTROID} then 'clap' else 'snare' end "
+        f"when {v} > {T.VOICED} and {c} between {low} and {high} and {s} >= {T.VOCAL_STABILITY} and not {pr} >= {T.PERCUSSIVE} then 'vocal' "
+        f"when {v} > {T.VOICED} and {s} < {T.STEADY} then 'melodic' when {c} <= {T.BASS_CENTROID} then 'bass' when {pr} >= {T.PERCUSSIVE} then 'perc' else 'fx' end"
     )
 
 
 def warp(p: str = "") -> str:
     t, pr, v, f, s = (f"{p}{x}" for x in ("transient_density", "percussive_ratio", "voiced_ratio", "formant_strength", "pitch_stability"))
-    return f"case when {t} > 2.5 and {pr} > 0.5 then 'beats' when {v} > 0.5 and {f} > 0.6 then 'vocal' when {v} > 0.4 and {s} < 0.05 then 'melodic' when {v} > 0.3 and {s} >= 0.05 then 'harmonic' else 'complex' end"
+    return (
+        f"case when {t} > {T.WARP_DENSITY} and {pr} > {T.WARP_PERCUSSIVE} then 'beats' when {v} > {T.WARP_VOCAL} and {f} > {T.WARP_FORMANT} then 'vocal' "
+        f"when {v} > {T.WARP_MELODIC} and {s} < {T.STEADY} then 'melodic' when {v} > {T.WARP_HARMONIC} and {s} >= {T.STEADY} then 'harmonic' else 'complex' end"
+    )
 
 
 def escalates(instruments: str, category: str, label: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import captions, fusion, names, rules, signal, similarity
 from ..functions import taxonomy as T
-from ..operators import catalog, scan
+from ..operators import catalog, path_names, scan
 from ..sources.shared import checkpointed
 from . import duck
 from .projections import LABELS, projected, with_projections
@@ -29,7 +29,7 @@ def register(sql: str | None = None):
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
-    return projected(spark, d, "lib_files").withColumn("n", names.classify_name(F.col("path")))
+    return path_names.with_names(projected(spark, d, "lib_files"), name="n")
 
 
 NAMED = "with " + duck.named()
@@ -44,12 +44,12 @@ def name_full(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"{NAMED} select nkind as kind, count(*) as n from named group by 1")
 def name_kind(spark: SparkSession, d: str) -> DataFrame:
-    return projected(spark, d, "lib_files").select(names.nearest(F.transform(F.reverse(names.fragments(F.col("path"))), names.parse_kind)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return projected(spark, d, "lib_files").select(names.nearest(F.transform(F.reverse(names.fragments(F.col("path"))), lambda x: names.parse_kind(x))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @register(f"{NAMED} select label, ncategory as category, count(*) as n from named group by 1, 2")
 def name_category(spark: SparkSession, d: str) -> DataFrame:
-    label = names.nearest(F.transform(F.reverse(names.fragments(F.col("path"))), names.parse_category))
+    label = names.nearest(F.transform(F.reverse(names.fragments(F.col("path"))), lambda x: names.parse_category(x)))
     return projected(spark, d, "lib_files").select(label.alias("label")).groupBy("label").agg(F.count("*").alias("n")).select("label", names.coarse(F.col("label")).alias("category"), "n")
 
 
@@ -76,9 +76,9 @@ def name_confidence(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "select file_id, case when contains(s, 'drum') or contains(s, 'loop') or contains(s, 'beat') or contains(s, 'perc') or contains(s, 'hat') or contains(s, 'kick') or contains(s, 'snare') then 'beats' "
     f"when {duck.has_any('s', T.WARP_CUES['melodic'])} then 'melodic' when {duck.has_any('s', T.WARP_CUES['harmonic'])} then 'harmonic' when {duck.has_any('s', T.WARP_CUES['vocal'])} then 'vocal' end as warp, "
-    f"coalesce(try_cast(nullif(regexp_extract(s, {duck.q(duck.EXPLICIT_BPM)}, 1), '') as double), try_cast(nullif(regexp_extract(s, {duck.q(duck.EXPLICIT_BPM)}, 3), '') as double), "
-    "case when try_cast(nullif(regexp_extract(s, '(^|[^0-9.])([0-9]{2,3})($|[^0-9.])', 2), '') as double) between 40 and 220 then try_cast(regexp_extract(s, '(^|[^0-9.])([0-9]{2,3})($|[^0-9.])', 2) as double) end) as bpm, "
-    "case when contains(s, 'loop') then 'loop' when regexp_matches(s, '(^|[^a-z])(one[\\s_-]?shot|hit|stab)($|[^a-z])') then 'one-shot' end as kind "
+    f"coalesce(try_cast(nullif(regexp_extract(s, {duck.q(duck.EXPLICIT_BPM)}, 1), '') as double), try_cast(nullif(regexp_extract(s, {duck.q(duck.EXPLICIT_BPM)}, 2), '') as double), "
+    f"case when try_cast(nullif(regexp_extract(s, {duck.q(duck.BARE_IN_FILENAME)}, 2), '') as double) between 40 and 220 then try_cast(regexp_extract(s, {duck.q(duck.BARE_IN_FILENAME)}, 2) as double) end) as bpm, "
+    f"case when contains(s, 'loop') then 'loop' when regexp_matches(s, {duck.q(duck.ONE_SHOT_IN_FILENAME)}) then 'one-shot' end as kind "
     "from (select file_id, lower(regexp_replace(string_split(path, '/')[len(string_split(path, '/'))], '^(.+)\\.[^.]+$', '\\1')) as s from lib_files)"
 )
 def filename_cues(spark: SparkSession, d: str) -> DataFrame:
@@ -429,7 +429,7 @@ def dedupe_genres(spark: SparkSession, d: str) -> DataFrame:
     "greatest(nconfidence, coalesce(mconfidence, 0)) as confidence, mcaption as caption, 'auto' as backend from fused"
 )
 def fuse_tags(spark: SparkSession, d: str) -> DataFrame:
-    files = projected(spark, d, "lib_files").join(projected(spark, d, "lib_votes"), "file_id")
+    files = path_names.with_names(projected(spark, d, "lib_files"), name=scan.NAME).join(projected(spark, d, "lib_votes"), "file_id")
     made = scan.classify(files, F.array("v0", "v1", "v2"), "auto")
     return made.select("path", "kind", "category", F.array_join("instruments", ",").alias("instruments"), "key", "scale", "bpm", "confidence", "caption", "backend")
 

@@ -71,3 +71,52 @@ def test_empty_and_odd_paths(spark):
 def test_vocabulary_sizes():
     assert [len(T.CATEGORIES[k]) for k in ("one-shot", "loop", "recording")] == [25, 13, 9]
     assert len(T.INSTRUMENTS) == 68 and len(T.GENRES) == 42 and set(T.INSTRUMENT_CATEGORIES) == set(T.INSTRUMENTS)
+
+
+def test_paths_by_their_parts_are_as_one_by_one(spark):
+    """Folders parsed once give what the row-local pass gives, for nulls, roots, bare names and columns of clashing names too."""
+    from sampleyard.operators import path_names
+    from sampleyard.plans.projections import projected
+
+    odd = [None, "", "/", "kick.wav", "/kick.wav", "//a//124bpm//Cm/lead.wav", "/F#m Loops/Ds pad/", "loops/x", "/one shots/90bpm/Am/40bpm_C.wav", "/vocals/talk/vox_Cmin.wav", "/Loop/take2", "/.hidden", "/a.b/c.d.wav"]
+    files = spark.createDataFrame([(p, "k", 1.0, "f", "low") for p in odd + odd], "path string, kind string, bpm double, folder string, name string")
+    files = files.unionByName(projected(spark, "/root/testdata/sf0.001", "lib_files").limit(400).select("path", F.lit("k").alias("kind"), F.lit(1.0).alias("bpm"), F.lit("f").alias("folder"), F.lit("low").alias("name")))
+    got = path_names.with_names(files, name="said").collect()
+    want = files.withColumn("said", names.classify_name(F.col("path"))).collect()
+    key = lambda r: (r["path"] is not None, r["path"] or "")
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) == len(odd) * 2 + 400
+    assert path_names.with_names(files.limit(0)).count() == 0
+
+
+def test_a_folder_is_parsed_once(spark):
+    """The parts that are parsed are the distinct folders' distinct ones, however many files they hold."""
+    from sampleyard.operators import path_names
+
+    files = spark.range(5000).select(F.concat(F.lit("/Packs/House Loops/"), F.col("id").cast("string"), F.lit(".wav")).alias("path"))
+    folders = files.select(F.regexp_replace("path", "[^/]*$", "").alias("folder")).distinct()
+    assert [(r["folder"], r["folder_kind"], r["folder_label"]) for r in path_names.folder_cues(folders).collect()] == [("/Packs/House Loops/", "loop", None)]
+
+
+#: Cases of the name pass with their expected kind, category, key, scale and tempo.
+GOLDEN = [
+    ("/Samples/House Loops/Cm 124bpm/bassline.wav", "loop", "bass", "C", "minor", 124.0),
+    ("/Samples/One Shots/kick_01.wav", "one-shot", "kick", None, None, None),
+    ("/x/808_120.wav", None, "808", None, None, None),
+    ("/x/Cm_pad.wav", None, "melodic", None, None, None),
+    ("/x/Cmin_pad.wav", None, "melodic", "C", "minor", None),
+    ("/x/Cmaj7 chord.wav", None, "melodic", "C", "major", None),
+    ("/x/128_Ds_lead.wav", None, "melodic", "D#", None, 128.0),
+    ("/x/Es 90.wav", None, None, "F", None, 90.0),
+    ("/x/E# 90.wav", None, None, "E#", None, 90.0),
+    ("/x/Bb min vox.wav", None, "vocal", "A#", "minor", None),
+    ("/x/voice-memo 12.wav", "recording", "vocal", None, None, None),
+    ("/x/full_mix_take2.wav", "recording", None, None, None, None),
+    ("/x/bpm 230 drumloop 100.wav", "loop", "drums", None, None, None),
+    ("/90/x 40bpm.wav", None, None, None, None, 40.0),
+]
+
+
+@pytest.mark.parametrize("path, kind, category, key, scale, bpm", GOLDEN)
+def test_golden_names(spark, path, kind, category, key, scale, bpm):
+    r = spark.range(1).select(names.classify_name(F.lit(path)).alias("n")).select("n.*").first()
+    assert (r["kind"], r["category"], r["key"], r["scale"], r["bpm"]) == (kind, category, key, scale, bpm)

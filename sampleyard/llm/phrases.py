@@ -25,6 +25,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,7 +231,7 @@ def phrase_counts(texts: DataFrame, words: DataFrame, min_count: int, max_words:
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
-        held_keys = 0
+        held_keys, squeeze = 0, zstandard.ZstdCompressor(level=1).compress
 
         def blocks() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate(waiting) if waiting else np.empty((0, max_words + 1), np.uint32)
@@ -241,7 +242,9 @@ def phrase_counts(texts: DataFrame, words: DataFrame, min_count: int, max_words:
             part = np.searchsorted(held.value, packed(keys), side="right")
             starts = np.flatnonzero(np.diff(part, prepend=-1))
             for a, z in zip(starts, [*starts[1:], len(keys)], strict=True):
-                columns = [np.ascontiguousarray(keys[a:z].T).tobytes(), counts[a:z].tobytes()]  # by columns: sorted ones compress well
+                # by columns, each as differences: sorted ones have many equal and small ones
+                steps = np.diff(keys[a:z].T, axis=1, prepend=np.uint32(0))
+                columns = [squeeze(np.ascontiguousarray(steps).tobytes()), squeeze(counts[a:z].tobytes())]
                 yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)], names=["part", "keys", "counts"])
 
         for b in batches:
@@ -254,7 +257,7 @@ def phrase_counts(texts: DataFrame, words: DataFrame, min_count: int, max_words:
         yield from blocks()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, waiting = None, []
+        part, waiting, unsqueeze = None, [], zstandard.ZstdDecompressor().decompress
 
         def counted() -> Iterator[pa.RecordBatch]:
             if waiting:
@@ -269,7 +272,8 @@ def phrase_counts(texts: DataFrame, words: DataFrame, min_count: int, max_words:
                 if own != part:
                     yield from counted()
                     part = own
-                waiting.append((np.frombuffer(raw, np.uint32).reshape(max_words + 1, -1).T, np.frombuffer(n, np.int64)))
+                steps = np.frombuffer(unsqueeze(raw), np.uint32).reshape(max_words + 1, -1)
+                waiting.append((np.cumsum(steps, axis=1, dtype=np.uint32).T, np.frombuffer(unsqueeze(n), np.int64)))
         yield from counted()
 
     shipped = texts.mapInArrow(ship, "part int, keys binary, counts binary").repartition(max(1, -(-ranges // RANGES)), "part").sortWithinPartitions("part")

@@ -118,6 +118,7 @@ def projections(d: Dialect) -> dict[str, tuple[str, str]]:
             f"{path_sql(d, 'event_id')} as path, case when event_id % 4 = 1 then {d.epoch('ts')} + 1 when event_id % 8 = 2 then null else {d.epoch('ts')} end as mtime, "
             f"{d.pick(['auto', 'heuristic', 'clap'], 'event_id')} as backend, event_id % 10 = 0 as edited, {d.pick(CATEGORIES, 'event_id + 1')} as category, event_id % 3 as rest",
         ),
+        "lib_series": ("events", "user_id as clip, ts, event_id, value"),
         "lib_collections": ("customer", "c_mktsegment as name"),
         "lib_members": ("orders", f"o_custkey, o_orderkey, {path_sql(d, 'o_orderkey')} as path"),
     }

@@ -11,7 +11,7 @@ from ..functions import captions, fusion, names, rules, signal, similarity
 from ..functions import taxonomy as T
 from ..operators import catalog, path_names, scan
 from ..sources.shared import checkpointed
-from . import duck
+from . import duck, frame_queries
 from .projections import LABELS, projected, with_projections
 
 QUERIES: dict = {}
@@ -557,8 +557,8 @@ def signal_four_on_floor(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     from . import audio_queries
 
-    return dict(QUERIES) | audio_queries.queries()
+    return QUERIES | frame_queries.QUERIES | audio_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | frame_queries.ORACLES

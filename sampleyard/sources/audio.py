@@ -1,7 +1,8 @@
 """Audio files as DataFrames: listing, header durations, decoding and features.
 
-Listing never reads content.  Features decode a file once per task in an Arrow batch, compute
-everything in numpy and return one STRUCT; an unreadable file gives null.  The signal methods
+Listing never reads content.  For features a file is decoded once; its frames, and their spectra and pitches
+by a helper that sees one frame, are rows, and the features are windows and aggregates over them
+(:mod:`sampleyard.operators.frames`); an unreadable file gives null.  The signal methods
 follow public definitions (short-time spectra, YIN pitch, median-filter separation); they
 approximate, not reproduce, any particular library.
 """
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as T
 from ..functions.names import file_name
+from ..operators import frames
 from . import config
+from .shared import checkpointed
 
 FEATURES = [
     "spectral_centroid", "spectral_rolloff", "zero_crossing_rate", "log_attack_time", "percussive_ratio",
@@ -183,102 +186,89 @@ def encode_wav(y: np.ndarray, rate: int) -> bytes:
 # --- features ------------------------------------------------------------------------------------
 
 
-def _frames(y: np.ndarray) -> np.ndarray:
-    padded = np.pad(y, (0, max(0, FRAME - len(y))))
-    count = 1 + (len(padded) - FRAME) // HOP
-    return np.lib.stride_tricks.sliding_window_view(padded, FRAME)[:: HOP][:count]
-
-
-def _running_median(x: np.ndarray, width: int, axis: int) -> np.ndarray:
-    half = width // 2
-    padding = [(half, half) if a == axis else (0, 0) for a in range(x.ndim)]
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, padding, mode="reflect" if x.shape[axis] > half else "edge"), width, axis=axis), axis=-1)
-
-
-def _pitches(frames: np.ndarray) -> np.ndarray:
+def pitches(frames: np.ndarray) -> np.ndarray:
     """YIN pitch of each frame between C2 and C7, NaN where there is none."""
     low, high = int(PITCH_RATE / 2093.0), min(FRAME // 2 - 1, int(PITCH_RATE / 65.4))
-    out = np.full(len(frames), np.nan)
-    for k, frame in enumerate(frames):
-        if np.abs(frame).max() < 1e-6:
-            continue
-        spectrum = np.fft.rfft(frame, 2 * FRAME)
-        correlation = np.fft.irfft(spectrum * np.conj(spectrum))[: high + 1]
-        power = np.concatenate([[0], np.cumsum(frame**2)])
-        lags = np.arange(high + 1)
-        difference = power[FRAME - lags] + power[FRAME] - power[lags] - 2 * correlation
-        mean = difference[1:] * np.arange(1, high + 1) / np.maximum(np.cumsum(difference[1:]), 1e-12)
-        under = np.nonzero(mean[low - 1 :] < 0.15)[0]
-        if len(under):
-            at = under[0] + low - 1
-            while at + 1 < len(mean) and mean[at + 1] < mean[at]:
-                at += 1
-            out[k] = PITCH_RATE / (at + 1)
-    return out
-
-
-def analyse(y: np.ndarray, rate: float) -> dict:
-    """All features of one signal."""
-    seconds = len(y) / rate
-    if not len(y):
-        return {f: 0.0 for f in FEATURES} | {"log_attack_time": -3.0, "pitch_stability": 1.0, "chroma": [0.0] * 12}
-    frames = _frames(y) * np.hanning(FRAME)
-    spectrum = np.abs(np.fft.rfft(frames, axis=1))
-    hertz = np.fft.rfftfreq(FRAME, 1 / rate)
-    total = np.maximum(spectrum.sum(axis=1), 1e-12)
-    summed = np.cumsum(spectrum, axis=1)
-    sign = np.signbit(y)
-    # harmonic parts are smooth in time, percussive ones in frequency
-    along, across = _running_median(spectrum, 17, 0), _running_median(spectrum, 17, 1)
-    soft = across**2 / np.maximum(across**2 + along**2, 1e-12)
-    percussive, harmonic = ((spectrum * soft) ** 2).sum(), ((spectrum * (1 - soft)) ** 2).sum()
-    rise = np.maximum(0, np.diff(np.log1p(100 * spectrum), axis=0)).mean(axis=1) if len(spectrum) > 1 else np.zeros(1)
-    peaks = [k for k in range(len(rise)) if rise[k] == rise[max(0, k - 3) : k + 4].max() and rise[k] > rise[max(0, k - 10) : k + 11].mean() + 0.07 * max(rise.max(), 1e-9)]
-    pitch = _pitches(_frames(y))
-    voiced = pitch[~np.isnan(pitch)]
-    centred = rise - rise.mean()
-    lags = np.correlate(centred, centred, "full")[len(centred) - 1 :]
-    beats = 60.0 * rate / HOP / np.maximum(np.arange(len(lags)), 1)
-    prior = np.where((beats >= 30) & (beats <= 300), np.exp(-0.5 * np.log2(beats / 120.0) ** 2), 0.0)
-    pitch_class = np.where(hertz > 27, np.round(12 * np.log2(np.maximum(hertz, 1) / 440.0) + 69), -1).astype(int) % 12
-    chroma = np.array([spectrum[:, (pitch_class == k) & (hertz > 27) & (hertz < 5000)].sum(axis=1).mean() for k in range(12)])
-    bands = np.array_split(np.sort(spectrum[:, hertz < 8000], axis=1), 7, axis=1)
-    contrast = np.array([np.log(np.maximum(b[:, -1], 1e-9)) - np.log(np.maximum(b[:, 0], 1e-9)) for b in bands])
-    peak = np.abs(y)
-    return {
-        "spectral_centroid": float(((spectrum * hertz).sum(axis=1) / total).mean()),
-        "spectral_rolloff": float(hertz[(summed >= 0.85 * total[:, None]).argmax(axis=1)].mean()),
-        "zero_crossing_rate": float((sign[1:] != sign[:-1]).sum() / len(y)),
-        "log_attack_time": float(np.log10(max(int(peak.argmax()) / rate, 1e-4))),
-        "percussive_ratio": float(percussive / (percussive + harmonic)) if percussive + harmonic > 0 else 0.0,
-        "voiced_ratio": float(len(voiced) / len(pitch)) if len(pitch) else 0.0,
-        "pitch_stability": float(voiced.std() / voiced.mean()) if len(voiced) > 1 and voiced.mean() > 0 else 1.0,
-        "transient_density": len(peaks) / seconds if seconds > 0 and rise.max() > 0 else 0.0,
-        "formant_strength": float(contrast.var(axis=1).mean()),
-        "tempo": float(beats[int((lags * prior).argmax())]) if len(lags) > 1 and lags[0] > 0 else 0.0,
-        "chroma": chroma.tolist(),
-    }
-
-
-def with_features(files: DataFrame) -> DataFrame:
-    """``files(path, mtime, content)`` -> (path, mtime, duration, features STRUCT); one decode per file."""
+    spectrum = np.fft.rfft(frames, 2 * FRAME, axis=1)
+    correlation = np.fft.irfft(np.abs(spectrum) ** 2, axis=1)[:, : high + 1]
+    power = np.concatenate([np.zeros((len(frames), 1)), np.cumsum(frames**2, axis=1)], axis=1)
+    lags = np.arange(high + 1)
+    difference = power[:, FRAME - lags] + power[:, FRAME, None] - power[:, lags] - 2 * correlation
+    mean = difference[:, 1:] * np.arange(1, high + 1) / np.maximum(np.cumsum(difference[:, 1:], axis=1), 1e-12)
+    under = mean[:, low - 1 :] < 0.15
+    first = under.argmax(axis=1) + low - 1
+    # from the first lag that is low enough down to where the curve rises again
+    rising = np.concatenate([mean[:, 1:] >= mean[:, :-1], np.ones((len(frames), 1), bool)], axis=1)
+    at = (rising & (np.arange(high) >= first[:, None])).argmax(axis=1)
+    return np.where(under.any(axis=1) & (np.abs(frames).max(axis=1) >= 1e-6), PITCH_RATE / (at + 1), np.nan)
+
+
+def signals_of(files: DataFrame) -> DataFrame:
+    """``files(path, mtime, content)`` -> (path, mtime, duration, rate, y): decoded mono signals, null where there is none; one decode per file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.struct([(f, pa.float64()) for f in FEATURES] + [("chroma", pa.list_(pa.float64()))])
         for b in batches:
             for at in range(0, b.num_rows, 16):
                 part = b.slice(at, 16)
-                seconds, found = [], []
-                for raw in part.column(2).to_pylist():
-                    seconds.append(duration(raw or b""))
-                    signal = decode(raw or b"")
-                    try:
-                        found.append(None if signal is None else analyse(*signal))
-                    except (ValueError, FloatingPointError):
-                        found.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(seconds, pa.float64()), pa.array(found, kinds)], names=["path", "mtime", "duration", "features"])
-
-    return files.select("path", "mtime", "content").mapInArrow(run, f"path string, mtime double, duration double, features struct<{', '.join(p.replace(' ', ':', 1) for p in FEATURES_DDL.split(', '))}>")
+                raw = [x or b"" for x in part.column(2).to_pylist()]
+                found = [decode(x) or (None, None) for x in raw]
+                columns = [pa.array([duration(x) for x in raw], pa.float64()), pa.array([r for _, r in found], pa.float64()), pa.array([y for y, _ in found], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["path", "mtime", "duration", "rate", "y"])
+
+    return files.select("path", "mtime", "content").mapInArrow(run, "path string, mtime double, duration double, rate double, y array<double>")
+
+
+def waveforms(signals: DataFrame) -> DataFrame:
+    """(clip, rate, seconds, zero_crossing_rate, log_attack_time) of ``signals(clip, rate, y)``."""
+    keep = f"clip {signals.schema['clip'].dataType.simpleString()}, rate double, seconds double, zero_crossing_rate double, log_attack_time double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seconds, crossings, attacks = [], [], []
+            for rate, y in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                y = y.values.to_numpy(zero_copy_only=False)
+                sign, size = np.signbit(y), np.abs(y)
+                seconds.append(len(y) / rate)
+                crossings.append(float((sign[1:] != sign[:-1]).sum() / len(y)) if len(y) else 0.0)
+                attacks.append(float(np.log10(max(int(size.argmax()) / rate, 1e-4))) if len(y) else -3.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.float64()) for x in (seconds, crossings, attacks))], names=["clip", "rate", "seconds", "zero_crossing_rate", "log_attack_time"])
+
+    return signals.where(F.col("y").isNotNull()).select("clip", "rate", "y").mapInArrow(run, keep)
+
+
+def signal_features(signals: DataFrame) -> DataFrame:
+    """(clip, features STRUCT) of ``signals(clip, rate, y)``, by rows of frames and bins; an empty signal has its defined values.
+
+    ``signals`` is read more than once, so it should be a table or checkpointed.
+    """
+    step = F.col("step")
+    cut = frames.frames_of_signals(signals.where(F.col("y").isNotNull()).select("clip", (F.col("rate") / FRAME).alias("step"), "y"), FRAME, HOP)
+    spectra = checkpointed(frames.spectra(cut, FRAME, pitches, "pitch"))  # used by each of the features below
+    bins, clips = frames.bins(spectra.drop("pitch")), waveforms(signals)
+    rises = frames.rises(bins)
+    peaks = frames.onsets(rises).groupBy("clip").agg(F.count_if("peak").alias("peaks"), F.max("rise").alias("top"))
+    tempo = frames.tempos(rises.join(clips.select("clip", "rate"), "clip"), F.col("rate") / HOP)
+    voice = F.when(~F.isnan("pitch"), F.col("pitch"))
+    steady = F.when((F.count(voice) > 1) & (F.avg(voice) > 0), F.stddev_pop(voice) / F.avg(voice)).otherwise(1.0)
+    pitch = spectra.groupBy("clip").agg((F.count(voice) / F.count("*")).alias("voiced_ratio"), steady.alias("pitch_stability"))
+    colour = frames.chroma(bins, step).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("pitch_class", "energy")))["energy"].alias("chroma"))
+    shape = frames.shapes(bins, step).withColumnsRenamed({"centroid": "spectral_centroid", "rolloff": "spectral_rolloff"})
+    split = frames.percussive(bins).withColumnRenamed("ratio", "percussive_ratio")
+    contrast = frames.contrasts(bins, step).withColumnRenamed("contrast", "formant_strength")
+    found = clips
+    for part in (shape, split, pitch, peaks, contrast, tempo, colour):  # one row a clip each
+        found = found.join(part, "clip", "left")
+    density = F.when((F.col("seconds") > 0) & (F.col("top") > 0), F.col("peaks") / F.col("seconds"))
+    none = {"pitch_stability": 1.0}
+    values = found.withColumn("transient_density", density)
+    made = [F.coalesce(F.col(f), F.lit(none.get(f, 0.0))).alias(f) for f in FEATURES]
+    return values.select("clip", F.struct(*made, F.coalesce("chroma", F.array_repeat(F.lit(0.0), F.lit(12))).alias("chroma")).alias("features"))
+
+
+def with_features(files: DataFrame) -> DataFrame:
+    """``files(path, mtime, content)`` -> (path, mtime, duration, features STRUCT); one decode per file, null features where there is no signal."""
+    signals = checkpointed(signals_of(files).withColumn("clip", F.monotonically_increasing_id()))
+    return signals.select("clip", "path", "mtime", "duration").join(signal_features(signals.select("clip", "rate", "y")), "clip", "left").drop("clip")
 
 
 def with_durations(files: DataFrame, head: int = 1 << 16) -> DataFrame:

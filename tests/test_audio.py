@@ -71,18 +71,44 @@ def test_headers_beyond_the_leading_bytes(spark):
     assert got == {"late": 0.5, "aiff": 6.0, "early": 0.5, "long": None, "null": None}
 
 
-def test_features_of_known_signals():
+def test_features_of_known_signals(spark):
     clicks = np.zeros(RATE * 4)
     clicks[:: RATE // 2] = 1.0  # 120 beats a minute
-    steady, struck = audio.analyse(tone(441, 2.0), RATE), audio.analyse(clicks, RATE)
+    late = np.concatenate([np.zeros(RATE // 10), [1.0], np.zeros(RATE // 10)])
+    noise = np.random.default_rng(0).standard_normal(RATE)
+    made = {"steady": tone(441, 2.0), "struck": clicks, "late": late, "noise": noise, "none": np.zeros(0), "silent": np.zeros(RATE)}
+    signals = spark.createDataFrame([(name, float(RATE), y.tolist()) for name, y in made.items()] + [("unread", None, None)], "clip string, rate double, y array<double>")
+    got = {r["clip"]: r["features"] for r in audio.signal_features(signals).collect()}
+    steady, struck = got["steady"], got["struck"]
+    assert set(got) == set(made)
     assert abs(steady["spectral_centroid"] - 441) < 30 and abs(steady["spectral_rolloff"] - 441) < 30
     assert abs(steady["zero_crossing_rate"] - 2 * 441 / RATE) < 1e-3
     assert steady["percussive_ratio"] < 0.2 < 0.8 < struck["percussive_ratio"]
     assert abs(struck["tempo"] - 120) < 5 and abs(struck["transient_density"] - 2) < 0.6
-    late = np.concatenate([np.zeros(RATE // 10), [1.0], np.zeros(RATE // 10)])
-    assert abs(audio.analyse(late, RATE)["log_attack_time"] + 1) < 1e-3
-    assert steady["voiced_ratio"] > 0.9 and audio.analyse(np.random.default_rng(0).standard_normal(RATE), RATE)["voiced_ratio"] < 0.2
-    assert audio.analyse(np.zeros(0), RATE)["log_attack_time"] == -3.0
+    assert abs(got["late"]["log_attack_time"] + 1) < 1e-3
+    assert steady["voiced_ratio"] > 0.9 and got["noise"]["voiced_ratio"] < 0.2
+    assert got["none"]["log_attack_time"] == -3.0 and got["none"]["pitch_stability"] == 1.0 and got["none"]["chroma"] == [0.0] * 12
+    assert got["silent"]["tempo"] == got["silent"]["transient_density"] == got["silent"]["spectral_rolloff"] == 0.0
+    # of a known spectrum, by hand
+    y = np.array(made["struck"][:6000])
+    cut = np.lib.stride_tricks.sliding_window_view(y, audio.FRAME)[:: audio.HOP]
+    m = np.abs(np.fft.rfft(cut * np.hanning(audio.FRAME), axis=1))
+    hertz = np.fft.rfftfreq(audio.FRAME, 1 / RATE)
+    one = audio.signal_features(spark.createDataFrame([(1, float(RATE), y.tolist())], "clip int, rate double, y array<double>")).first()["features"]
+    total = np.maximum(m.sum(axis=1), 1e-12)
+    assert one["spectral_centroid"] == pytest.approx(((m * hertz).sum(axis=1) / total).mean())
+    heard = m.sum(axis=1) > 0
+    rolled = np.where(heard, hertz[(np.cumsum(m, axis=1) >= 0.85 * total[:, None]).argmax(axis=1)], 0).mean()
+    assert one["spectral_rolloff"] == pytest.approx(rolled, abs=20)
+    classes = np.floor(12 * np.log2(np.maximum(hertz, 1) / 440.0) + 69.5).astype(int) % 12
+    inside = (hertz > 27) & (hertz < 5000)
+    assert one["chroma"] == pytest.approx([m[:, inside & (classes == k)].sum(axis=1).mean() for k in range(12)])
+
+
+def test_pitches_frame_by_frame():
+    t = np.arange(audio.FRAME) / audio.PITCH_RATE
+    found = audio.pitches(np.array([np.sin(2 * np.pi * 220 * t), np.zeros(audio.FRAME), np.sin(2 * np.pi * 441 * t), np.random.default_rng(1).standard_normal(audio.FRAME)]))
+    assert abs(found[0] - 220) < 2 and abs(found[2] - 441) < 5 and np.isnan(found[[1, 3]]).all()
 
 
 def test_classify_and_render(spark, folder):

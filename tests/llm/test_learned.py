@@ -235,6 +235,38 @@ def test_captions_and_odd_names_in_an_article_stay(spark):
     assert texts_of(spark, rows) == [f"Head {i} Shared words {i} are part of it. Caption {i} More of the article, number {i}, in a div. Map {i}" for i in range(4)]
 
 
+MANY = "It goes on at length about the matter of number {i}, with one more sentence. " * 6
+FORMS = {
+    # a short lead and close beside the story, without and within one article element
+    "lead": ("<div class=lead>Story {i} opens with a few words.</div><div class=story>{many}</div><div class=end>So ended story {i}.</div>", "Story {i} opens with a few words. {many} So ended story {i}."),
+    "within": ("<article><div class=lead>Story {i} opens</div><div class=story>{many}</div><div class=end>so it ended {i}</div></article>", "Story {i} opens {many} so it ended {i}"),
+    # varying adverts, forms and comments inside the article
+    "inside": (
+        "<article><h1>Head {i}</h1><p>{many}</p><div class=ad>Buy thing {i} now.</div><p>More of {i}.</p><form><label>Mail {i}</label><input></form><section class=comments><p>Reader {i} says so.</p></section></article>",
+        "Head {i} {many} More of {i}.",
+    ),
+    # comments longer than the article, named so or told by the article element alone
+    "longer": ("<main><article><p>Short story {i}.</p><p>It has two parts, {i}.</p></article><div class=comments>{talk}</div></main>", "Short story {i}. It has two parts, {i}."),
+    "nameless": ("<main><article><p>Short story {i}, told in one long enough sentence.</p><p>It has two parts, {i}.</p></article><div class=q7><a href=/r>{talk}</a></div></main>", "Short story {i}, told in one long enough sentence. It has two parts, {i}."),
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_forms_of_pages(spark, form):
+    body, want = FORMS[form]
+    fill = lambda t, i: t.format(i=i, many=MANY.format(i=i).strip(), talk="".join(f"<p>Reader {i * k} has an opinion on {i} and says it.</p>" for k in range(2, 10)))
+    pages = [(f"{form}.example", fill(f"<body><nav><a href=/>Home</a></nav>{body}<footer>Imprint of the site</footer></body>", i)) for i in range(12)]
+    assert texts_of(spark, pages) == [" ".join(fill(want, i).split()) for i in range(12)]
+
+
+def test_sentences_that_come_back_on_other_hosts_are_adverts(spark):
+    """Beside the content, a sentence of a page's own stays; one that another host has as well goes."""
+    made = lambda host, i, words: (host, f"<body><div class=a>{words}</div><div class=b><h1>Head {i}</h1><p>{MANY.format(i=i)}</p></div></body>")
+    pages = [made("one.example", i, f"Buy thing {i} now.") for i in range(4)] + [made("two.example", 10 + i, f"Buy thing {i} now.") for i in range(4)] + [made("three.example", 20 + i, f"Lead of {i} here.") for i in range(4)]
+    got = texts_of(spark, pages)
+    assert all(t.startswith("Head") for t in got[:8]) and [t.split(" Head")[0] for t in got[8:]] == [f"Lead of {i} here." for i in range(4)]
+
+
 def test_malformed_deep_and_long_pages(spark):
     deep = "<div>" * 5000 + "deep words" + "</div>" * 5000
     siblings = "".join(f"<p>a{i}</p><div>b{i}</div>" for i in range(10_000))

@@ -5,6 +5,7 @@ They take tables and return tables; :mod:`sampleyard.sources.catalog` keeps them
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -148,11 +149,20 @@ def update(tags: DataFrame, path: str, fields: dict, now: float) -> DataFrame:
     return edited.unionByName(fresh_row.join(tags.where(hit).select("path"), "path", "left_anti").select(*tags.columns))
 
 
+def normalised(rows: DataFrame, normal: Callable[[str], str]) -> DataFrame:
+    """``rows`` with each path as ``normal`` makes it; null ones are left out."""
+    return rows.where(F.col("path").isNotNull()).withColumn("path", F.udf(lambda p: normal(p), "string")("path"))
+
+
 def update_all(tags: DataFrame, edits: DataFrame, now: float) -> DataFrame:
-    """The table form of :func:`update`: ``edits(path, <some editable columns>)``, one row a path; nulls leave a value as it is."""
+    """The table form of :func:`update`: ``edits(path, <some editable columns>)``; nulls leave a value as it is.
+
+    Edits of one path are one: of each column the greatest value that is given.
+    """
     fields = [c for c in edits.columns if c != "path"]
     checked_fields(dict.fromkeys(fields))
     types = {f.name: f.dataType for f in TAGS_SCHEMA.fields}
+    edits = edits.where(F.col("path").isNotNull()).groupBy("path").agg(*(F.max(c).alias(c) for c in fields))
     new = edits.select("path", *(F.col(c).cast(types[c]).alias(f"__{c}") for c in fields), F.lit(True).alias("__hit"))
     joined = tags.join(new, "path", "full")
     none = {"instruments": F.array().cast("array<string>"), "genres": F.array().cast(GENRES_DDL), "filename": F.element_at(F.split("path", "/"), -1), "edited": F.lit(False)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import captions, fusion, names, rules, signal, similarity
 from ..functions import taxonomy as T
-from ..operators import catalog, path_names, scan
+from ..operators import catalog, path_names, postings, scan
 from ..sources.shared import checkpointed
 from . import duck, frame_queries
 from .projections import LABELS, projected, with_projections
@@ -142,6 +142,31 @@ def catalog_filter_combined(spark: SparkSession, d: str) -> DataFrame:
     return _shown(catalog.query(_tags(spark, d), **catalog.query_string_filters({"kind": "one-shot", "backend": "auto", "bpm_min": "90", "path_like": "packs", "edited": "no"})))
 
 
+def _postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tags = _tags(spark, d)
+    return checkpointed(postings.terms_of(tags)), checkpointed(postings.grams_of(tags))
+
+
+@register("select distinct path from lib_tags where (',' || array_to_string(instruments, ',') || ',') ilike '%,d_ums,ki%,%'")
+def posting_instrument(spark: SparkSession, d: str) -> DataFrame:
+    return postings.with_instrument(_postings(spark, d)[0], "D_ums,ki%")
+
+
+@register("select distinct path from lib_tags where genres_json ilike '%\"genre\":\"techno\"%'")
+def posting_genre(spark: SparkSession, d: str) -> DataFrame:
+    return postings.with_genre(_postings(spark, d)[0], "Techno")
+
+
+@register("select distinct path from lib_tags where path ilike '%Loops/k_ck%1_0%'")
+def posting_path_like(spark: SparkSession, d: str) -> DataFrame:
+    return postings.with_path_like(_postings(spark, d)[1], "Loops/k_ck%1_0")
+
+
+@register("select distinct path from lib_tags where path ilike '%Samples/_ouse%' and (',' || array_to_string(instruments, ',') || ',') ilike '%,drums,%' and genres_json ilike '%\"genre\":\"house\"%'")
+def posting_combined(spark: SparkSession, d: str) -> DataFrame:
+    return postings.matching(*_postings(spark, d), instrument="drums", genre="House", path_like="Samples/_ouse")
+
+
 @register(f"select path, category, bpm from lib_tags where category <> '' order by bpm asc nulls first, path limit 50")
 def catalog_order_limit(spark: SparkSession, d: str) -> DataFrame:
     return catalog.query(_tags(spark, d).where("category <> ''"), order="bpm", limit=50).select("path", "category", "bpm")

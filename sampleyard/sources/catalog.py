@@ -77,7 +77,7 @@ class Catalog:
         version = max(self._snapshots(), default=0) + 1  # a folder left by a writer that failed is not used
         for name, df in changed.items():
             if name == "tags":
-                df = df.repartitionByRange("path").sortWithinPartitions("path") if name not in manifest else df.sortWithinPartitions("path")
+                df = df.repartitionByRange("path").sortWithinPartitions("path")  # so that files and row groups have ranges of paths of their own
             df.write.parquet(f"{self.directory}/v={version}/{name}")
             manifest[name] = version
         made = self._path(f"v={version}/MANIFEST.new")
@@ -110,7 +110,7 @@ class Catalog:
 
     def update_all(self, edits: DataFrame) -> int:
         """A batch of edits (path, <editable columns>) in one commit."""
-        return self.commit(tags=ops.update_all(self.tags, edits, time.time()))
+        return self.commit(tags=ops.update_all(self.tags, ops.normalised(edits, normal_path), time.time()))
 
     def delete(self, path: str) -> bool:
         if self.get(path).isEmpty():

@@ -65,3 +65,43 @@ def centroids(count: int = 8, rounds: int = 10, dims: int = 64) -> str:
 SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
   sha256(array_to_string(list_transform(o.v, lambda x: x::VARCHAR), ',')) AS centroid_sha256
 FROM {last} JOIN kept USING (row) JOIN c{rounds} o USING (c)"""
+
+
+def _shingled(table: str, key: str, n: int) -> str:
+    """CTE body of (row, key, g): the distinct shingles of each text; of one with fewer words all of them together."""
+    runs = f"list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i : i + {n - 1}], ' ')))"
+    return rf"""SELECT row, {key}, unnest(CASE WHEN len(w) >= {n} THEN {runs} WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS g
+  FROM (SELECT row_number() OVER () AS row, {key}, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM {table})"""
+
+
+def contaminated(n: int = 5, threshold: float = 0.8) -> str:
+    """Operator 1: shingles of documents and items joined and counted, without windows or hashes."""
+    return f"""WITH d AS MATERIALIZED ({_shingled("documents", "doc_id", n)}),
+i AS MATERIALIZED ({_shingled("benchmark", "item_id", n)}),
+sizes AS (SELECT row, count(*) AS n_item FROM i GROUP BY row),
+met AS (SELECT d.row AS doc, i.row AS item, any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, count(*) AS n_shared FROM d JOIN i USING (g) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n_item, n_shared::DOUBLE / n_item AS containment FROM met JOIN sizes ON row = item WHERE n_shared >= {threshold} * n_item"""
+
+
+def jaccard_join(n: int = 5, threshold: float = 0.8) -> str:
+    """Operator 3: every pair of documents that share a shingle, its exact Jaccard similarity, and components."""
+    return f"""WITH RECURSIVE s AS MATERIALIZED ({_shingled("documents", "doc_id", n)}),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE n >= {threshold} * (x.size + y.size - n)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+counted AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept, coalesce(size, 0) AS n_shingles
+FROM least LEFT JOIN counted USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
+def near_duplicates(threshold: float = 0.93) -> str:
+    """Operator 4: cosines of all pairs of one label in doubles, and components."""
+    usable = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+    return f"""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e, len(embedding) AS dims FROM embeddings WHERE label IS NOT NULL AND {usable}),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.dims = b.dims AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {threshold}),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN counted USING (vec_id)"""

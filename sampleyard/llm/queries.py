@@ -100,4 +100,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_centroids": duck.centroids(), "op13_phrases": duck.phrases()}
+    return {
+        "op1_decontamination": duck.contaminated(),
+        "op3_ngram_join": duck.jaccard_join(),
+        "op4_embedding_dedup": duck.near_duplicates(),
+        "op12_centroids": duck.centroids(),
+        "op13_phrases": duck.phrases(),
+    }

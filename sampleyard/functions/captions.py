@@ -59,19 +59,20 @@ def rank_categories(caption: Column, kind: Column) -> Column:
     return F.when(kind == "loop", by_kind["loop"]).when(kind == "recording", by_kind["recording"]).otherwise(by_kind["one-shot"])
 
 
-def score_genres(caption: Column, source: str = "ace-step") -> Column:
-    """Genres by share of mentions among the top three, ARRAY<STRUCT<genre, score, source>>."""
+def genre_shares(top: Column, source: str = "ace-step") -> Column:
+    """ARRAY<STRUCT<genre, score, source>> of counted genres, by their share of mentions."""
+    total = F.aggregate(top, F.lit(0), lambda n, s: n - s["rank"])
+    return let(
+        total,
+        lambda all_of: F.transform(
+            top, lambda s: F.struct(s["term"].alias("genre"), F.round(F.lit(T.GENRE_CAPTION_WEIGHT) * -s["rank"] / all_of, 3).alias("score"), F.lit(source).alias("source"))
+        ),
+    )
 
-    def shares(top: Column) -> Column:
-        total = F.aggregate(top, F.lit(0), lambda n, s: n - s["rank"])
-        return let(
-            total,
-            lambda all_of: F.transform(
-                top, lambda s: F.struct(s["term"].alias("genre"), F.round(F.lit(T.GENRE_CAPTION_WEIGHT) * -s["rank"] / all_of, 3).alias("score"), F.lit(source).alias("source"))
-            ),
-        )
 
-    return let(F.slice(rank_terms(caption, T.GENRES, by_place=False), 1, T.GENRE_CAP), shares)
+def score_genres(caption: Column, source: str = "ace-step") -> Column:
+    """Genres by share of mentions among the top three, ARRAY<STRUCT<genre, score, source>>."""
+    return let(F.slice(rank_terms(caption, T.GENRES, by_place=False), 1, T.GENRE_CAP), lambda top: genre_shares(top, source))
 
 
 def _instrument_table() -> dict[str, str]:
@@ -97,33 +98,37 @@ def placed(caption: Column, kind: Column) -> Column:
     """STRUCT<category, instruments, confidence> of a caption; null for a null or empty one."""
     parts = F.struct(F.get(rank_categories(caption, kind), F.lit(0))["term"].alias("best"), F.slice(match_terms(caption, T.INSTRUMENTS), 1, T.INSTRUMENT_CAP).alias("instruments"))
 
-    def decided(p: Column) -> Column:
-        def verdict(derived: Column) -> Column:
-            return F.struct(
-                F.coalesce(p["best"], derived, F.lit(T.NEUTRAL_CATEGORY)).alias("category"),
-                p["instruments"].alias("instruments"),
-                F.when(p["best"].isNotNull(), T.CAPTION_CONFIDENCE).when(derived.isNotNull(), T.INSTRUMENT_CONFIDENCE).otherwise(T.NEUTRAL_CONFIDENCE).alias("confidence"),
-            )
+    def chosen(p: Column) -> Column:
+        return let(category_from_instruments(p["instruments"], kind), lambda derived: decided(p["best"], p["instruments"], derived))
 
-        return let(category_from_instruments(p["instruments"], kind), verdict)
+    return F.when(F.length(caption) > 0, let(parts, chosen))
 
-    return F.when(F.length(caption) > 0, let(parts, decided))
+
+def decided(best: Column, instruments: Column, derived: Column) -> Column:
+    """STRUCT<category, instruments, confidence>: the best category that is said, else the one the instruments stand for, else the neutral one."""
+    return F.struct(
+        F.coalesce(best, derived, F.lit(T.NEUTRAL_CATEGORY)).alias("category"),
+        instruments.alias("instruments"),
+        F.when(best.isNotNull(), T.CAPTION_CONFIDENCE).when(derived.isNotNull(), T.INSTRUMENT_CONFIDENCE).otherwise(T.NEUTRAL_CONFIDENCE).alias("confidence"),
+    )
+
+
+def verdict_of(caption: Column, placed: Column, genres: Column) -> Column:
+    """The verdict STRUCT of a caption from what :func:`decided` made of it."""
+    return F.struct(
+        placed["category"].alias("category"),
+        placed["instruments"].alias("instruments"),
+        F.lit("ace-step").alias("source"),
+        placed["confidence"].alias("confidence"),
+        caption.alias("caption"),
+        genres.alias("genres"),
+    )
 
 
 def recognise_caption(caption: Column, kind: Column) -> Column:
     """The verdict STRUCT<category, instruments, source, confidence, caption, genres>; null for a null or empty caption."""
 
-    def verdict(p: Column) -> Column:
-        return F.struct(
-            p["category"].alias("category"),
-            p["instruments"].alias("instruments"),
-            F.lit("ace-step").alias("source"),
-            p["confidence"].alias("confidence"),
-            caption.alias("caption"),
-            score_genres(caption).alias("genres"),
-        )
-
-    return F.when(F.length(caption) > 0, let(placed(caption, kind), verdict))
+    return F.when(F.length(caption) > 0, let(placed(caption, kind), lambda p: verdict_of(caption, p, score_genres(caption))))
 
 
-__all__ = ["category_from_instruments", "match_terms", "placed", "rank_categories", "rank_terms", "recognise_caption", "score_genres", "strings", "word_pattern"]
+__all__ = ["category_from_instruments", "decided", "genre_shares", "match_terms", "placed", "rank_categories", "rank_terms", "recognise_caption", "score_genres", "strings", "verdict_of", "word_pattern"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import captions, fusion, names, rules, signal, similarity
 from ..functions import taxonomy as T
-from ..operators import catalog, path_names, postings, scan
+from ..operators import caption_index, catalog, path_names, postings, scan
 from ..sources.shared import checkpointed
 from . import duck, frame_queries
 from .projections import LABELS, projected, with_projections
@@ -306,15 +306,15 @@ LOW = "with c as (select *, lower(caption) as low from lib_captions)"
 
 @register(f"{LOW} select file_id, kind, array_to_string(list_transform({duck.ranked_by_kind('kind', 'low')}, lambda s: s.term || ':' || cast(-s.rank as varchar)), ' ') as ranking from c where caption is not null")
 def caption_category_rank(spark: SparkSession, d: str) -> DataFrame:
-    ranked = captions.rank_categories(F.col("caption"), F.col("kind"))
-    shown = F.transform(ranked, lambda s: F.concat(s["term"], F.lit(":"), (-s["rank"]).cast("string")))
-    return _captions(spark, d).where("caption is not null").select("file_id", "kind", F.array_join(shown, " ").alias("ranking"))
+    found = caption_index.with_terms(_captions(spark, d).where("caption is not null"))
+    shown = F.transform("ranking", lambda s: F.concat(s["term"], F.lit(":"), (-s["rank"]).cast("string")))
+    return found.select("file_id", "kind", F.array_join(shown, " ").alias("ranking"))
 
 
 @register(f"{LOW} select file_id, array_to_string({duck.matched('low', T.INSTRUMENTS)}[1:4], ',') as instruments from c where caption is not null")
 def caption_instruments(spark: SparkSession, d: str) -> DataFrame:
-    found = F.slice(captions.match_terms(F.col("caption"), T.INSTRUMENTS), 1, T.INSTRUMENT_CAP)
-    return _captions(spark, d).where("caption is not null").select("file_id", F.array_join(found, ",").alias("instruments"))
+    found = caption_index.with_terms(_captions(spark, d).where("caption is not null"))
+    return found.select("file_id", F.array_join(F.slice("instruments", 1, T.INSTRUMENT_CAP), ",").alias("instruments"))
 
 
 GENRES_OF = f"{LOW}, g as (select file_id, {duck.ranked('low', T.GENRES, by_place=False)}[1:3] as top from c where caption is not null)"
@@ -322,7 +322,8 @@ GENRES_OF = f"{LOW}, g as (select file_id, {duck.ranked('low', T.GENRES, by_plac
 
 @register(f"{GENRES_OF} select file_id, s.term as genre, round(0.6::double * -s.rank / total, 3) as score from (select file_id, unnest(top) as s, list_sum(list_transform(top, lambda z: -z.rank)) as total from g)")
 def caption_genres(spark: SparkSession, d: str) -> DataFrame:
-    return _captions(spark, d).where("caption is not null").select("file_id", F.explode(captions.score_genres(F.col("caption"))).alias("g")).select("file_id", "g.genre", "g.score")
+    found = caption_index.with_terms(_captions(spark, d).where("caption is not null"))
+    return found.select("file_id", F.explode(captions.genre_shares(F.col("genre_counts"))).alias("g")).select("file_id", "g.genre", "g.score")
 
 
 @register(
@@ -330,14 +331,13 @@ def caption_genres(spark: SparkSession, d: str) -> DataFrame:
     "select file_id, case when caption <> '' then coalesce(best, derived, 'fx') end as category, case when caption <> '' then case when best is not null then 0.7 when derived is not null then 0.5 else 0.3 end end::double as confidence from s"
 )
 def caption_recognition(spark: SparkSession, d: str) -> DataFrame:
-    # a generator computes the verdict once for both of its fields
-    return _captions(spark, d).select("file_id", F.inline(F.array(captions.placed(F.col("caption"), F.col("kind"))))).select("file_id", "category", "confidence")
+    return caption_index.with_verdicts(_captions(spark, d)).select("file_id", "verdict.category", "verdict.confidence")
 
 
 @register(f"{LOW}, r as (select file_id, kind, {duck.matched('low', T.INSTRUMENTS)} as ins from c where caption is not null) select file_id, {duck.from_instruments('kind', 'ins')} as category from r")
 def instrument_to_category(spark: SparkSession, d: str) -> DataFrame:
-    found = captions.match_terms(F.col("caption"), T.INSTRUMENTS)
-    return _captions(spark, d).where("caption is not null").select("file_id", captions.category_from_instruments(found, F.col("kind")).alias("category"))
+    found = caption_index.with_terms(_captions(spark, d).where("caption is not null"))
+    return found.select("file_id", captions.category_from_instruments(F.col("instruments"), F.col("kind")).alias("category"))
 
 
 # --- similarities --------------------------------------------------------------------------------

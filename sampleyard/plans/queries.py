@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import captions, fusion, names, rules, signal, similarity
 from ..functions import taxonomy as T
 from ..operators import caption_index, catalog, path_names, postings, scan
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, shared_folder
+from ..streaming import ingest
 from . import duck, frame_queries
 from .projections import LABELS, projected, with_projections
 
@@ -497,6 +499,19 @@ def scan_counts(spark: SparkSession, d: str) -> DataFrame:
     return scan.summary(stored, status, "clap")
 
 
+@register("select path, mtime from lib_files union select path, mtime + 1 as mtime from lib_files where file_id % 5 = 0")
+def stream_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Three listings, the second with a fifth of the files changed, the third as the second: what comes through the stream, batch by batch."""
+    files = projected(spark, d, "lib_files").select("path", "mtime", F.lit(0).cast("long").alias("length"), "file_id")
+    folder = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    later = files.withColumn("mtime", F.when(F.col("file_id") % 5 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")))
+    for listing in (files, later, later):
+        ingest.announce(listing, f"{folder}/log")
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    ingest.changes(spark, f"{folder}/log", files_per_batch=1).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("path", "mtime")
+
+
 @register("select file_id, cast(floor((row_number() over (order by coalesce(duration, 0), file_id) - 1) / 8) as bigint) as batch from lib_files")
 def length_batches(spark: SparkSession, d: str) -> DataFrame:
     return scan.length_batches(projected(spark, d, "lib_files").select("file_id", "duration"), 8).select("file_id", "batch")

@@ -9,6 +9,7 @@ approximate, not reproduce, any particular library.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,29 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return found.where(suffix.isin(T.AUDIO_SUFFIXES) & ~file_name(F.col("path")).startswith("._")).select("path", F.col("modificationTime").cast("double").alias("mtime"), "content")
 
 
+def load(files: DataFrame) -> DataFrame:
+    """``files(path, mtime)`` with ``content``, each file read in the task that has its row; files that cannot be read are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, mtime in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    with _opened(path) as f:
+                        content = f.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([mtime], pa.float64()), pa.array([content], pa.binary())], names=["path", "mtime", "content"])
+
+    return files.select("path", "mtime").mapInArrow(run, "path string, mtime double, content binary")
+
+
+def _opened(path: str) -> pa.NativeFile:
+    """A file of any file system that pyarrow knows; Spark writes local ones as ``file:/...``."""
+    local = re.match(r"file:/+", path)
+    fs, own = (pafs.LocalFileSystem(), "/" + path[local.end() :]) if local else (pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path))
+    return fs.open_input_file(own)
+
+
 def uploads(rows: DataFrame) -> DataFrame:
     """``rows(content, name_hint, position)`` as files: the name is the hint or ``upload-<position>.wav``."""
     return rows.select(F.coalesce("name_hint", F.concat(F.lit("upload-"), F.col("position").cast("string"), F.lit(".wav"))).alias("path"), F.lit(None).cast("double").alias("mtime"), "content")

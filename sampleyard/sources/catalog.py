@@ -70,10 +70,14 @@ class Catalog:
             return self.spark.createDataFrame([], schema)
         return ops.migrated(self.spark.read.parquet(f"{self.directory}/v={held}/{name}"), schema)
 
-    def commit(self, **changed: DataFrame) -> int:
-        """Write the changed tables, then the manifest of the snapshot that has them."""
+    def streamed(self, stream: str) -> int:
+        """The last batch of a stream that a commit has, -1 before the first."""
+        return self._manifest(self.version()).get(f"stream {stream}", -1)
+
+    def commit(self, stream: tuple[str, int] | None = None, **changed: DataFrame) -> int:
+        """Write the changed tables, then the manifest of the snapshot that has them, and the number of the stream's batch they come from."""
         fs = self._fs()
-        manifest = self._manifest(self.version())
+        manifest = self._manifest(self.version()) | ({f"stream {stream[0]}": stream[1]} if stream else {})
         version = max(self._snapshots(), default=0) + 1  # a folder left by a writer that failed is not used
         for name, df in changed.items():
             if name == "tags":
@@ -101,8 +105,8 @@ class Catalog:
     def get(self, path: str) -> DataFrame:
         return self.tags.where(F.col("path") == normal_path(path)).limit(1)
 
-    def upsert(self, new: DataFrame) -> int:
-        return self.commit(tags=ops.upsert(self.tags, ops.migrated(new)))
+    def upsert(self, new: DataFrame, stream: tuple[str, int] | None = None) -> int:
+        return self.commit(stream, tags=ops.upsert(self.tags, ops.migrated(new)))
 
     def update(self, path: str, /, **fields) -> DataFrame:
         self.commit(tags=ops.update(self.tags, normal_path(path), fields, time.time()))

@@ -163,10 +163,11 @@ class ShardedCatalog(Catalog):
 
     # -- edits --
 
-    def upsert(self, new: DataFrame) -> int:
+    def upsert(self, new: DataFrame, stream: tuple[str, int] | None = None) -> int:
+        """Rows of ``new``; a batch of a stream that stopped before its number was stored is merged again, which changes nothing."""
         new = checkpointed(ops.migrated(new).where(F.col("path").isNotNull()))  # read for its shards and for its rows
         self._rewrite(new, lambda held: ops.upsert(held, new))
-        return self.version()
+        return self.commit(stream) if stream else self.version()
 
     def update(self, path: str, /, **fields) -> DataFrame:
         ops.checked_fields(fields)

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there; a folder of its own only where none is named, in local mode."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a folder of its own only where none is named, in local mode."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sampleyard-"))
+        named = "file://" + tempfile.mkdtemp(prefix="sampleyard-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

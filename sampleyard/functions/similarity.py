@@ -1,11 +1,14 @@
 """Zero-shot scoring: embeddings against label embeddings, and labels picked from similarities.
 
-The label matrix is a model parameter bounded by the vocabulary, so it goes into the plan as a
-literal; no join and no shuffle is needed to score a library of any size.
+The label matrix is a model parameter bounded by the vocabulary.  It travels with the tasks, which multiply it
+with an Arrow batch of embeddings at a time; the plan holds one call whatever the embeddings' width.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,13 +16,30 @@ from . import taxonomy as T
 from .names import let, strings
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def products(embeddings: pa.Array, labels: np.ndarray) -> pa.Array:
+    """A list of dot products with each label for every embedding; null where it is null, holds a null or has another width."""
+    lists = embeddings if isinstance(embeddings, pa.ListArray) else embeddings.cast(pa.list_(embeddings.type.value_type))
+    known = pc.fill_null(pc.equal(pc.list_value_length(lists), labels.shape[1]), False)
+    kept = lists.filter(known)
+    values = kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, labels.shape[1])
+    scores = values @ labels.T
+    holes = np.isnan(values).any(axis=1) & np.array([None in v for v in kept.to_pylist()], bool) if kept.flatten().null_count else np.zeros(len(scores), bool)
+    there = np.zeros(len(lists), bool)
+    there[np.flatnonzero(known.to_numpy(zero_copy_only=False))] = ~holes
+    ends = np.concatenate([[0], np.cumsum(np.where(there, labels.shape[0], 0))]).astype(np.int32)
+    flat = pa.array(scores[~holes].ravel(), pa.float64())
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(~there))
 
 
 def similarities(embedding: Column, labels: list[list[float]]) -> Column:
     """ARRAY<DOUBLE> of dot products with each label's embedding."""
-    return F.array(*[dot(embedding, F.array(*[F.lit(float(x)) for x in v])) for v in labels])
+    matrix = np.array(labels, dtype=np.float64)
+
+    @F.arrow_udf("array<double>")
+    def scores(embeddings: pa.Array) -> pa.Array:
+        return products(embeddings, matrix)
+
+    return scores(embedding)
 
 
 def ranked(scores: Column, names: list[str]) -> Column:

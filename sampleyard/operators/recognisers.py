@@ -17,6 +17,7 @@ from ..functions import captions, rules, similarity
 from ..functions import taxonomy as T
 from ..sources import config
 from ..sources.errors import BackendError, BadInputError
+from . import scan
 
 VERDICT = "struct<category:string,instruments:array<string>,source:string,confidence:double,caption:string,genres:array<struct<genre:string,score:double,source:string>>>"
 Captioner = Callable[[list[str]], list[str | None]]
@@ -71,44 +72,71 @@ def batch_size() -> int:
         return 8
 
 
-def with_captions(files: DataFrame, captioner: Callable[[], Captioner], batch: int | None = None, sink: Callable[[str, str | None], None] | None = None) -> DataFrame:
-    """Adds ``caption`` to ``files(path, ...)``: model calls in batches (by default of the setting's size), file by file where a batch fails, null where a file does.
-
-    ``captioner`` makes the model, once per task; ``sink`` is told each result and may fail.
+def said_of(model: Captioner, paths: list[str]) -> list[str | None]:
+    """A caption for each path by one model call; where it fails, of either half by itself, and null where a single file does."""
+    try:
+        said = list(model(paths))
+        if len(said) != len(paths):
+            raise BackendError(f"{len(said)} captions of {len(paths)} files")
+        return said
+    except Exception:  # noqa: BLE001 - a model may fail in any way
+        if len(paths) == 1:
+            return [None]
+        half = len(paths) // 2
+        return said_of(model, paths[:half]) + said_of(model, paths[half:])
+
+
+def with_captions(files: DataFrame, captioner: Callable[[], Captioner], batch: int | None = None, sink: Callable[[str, str | None], None] | None = None, seconds: float = 240.0) -> DataFrame:
+    """Adds ``caption`` to ``files(path, ...)``: model calls in batches (by default of the setting's size), by halves where a batch fails, null where a file does.
+
+    Where the files have a ``duration``, a batch holds clips of like length from all over the table, and ``seconds`` padded
+    seconds at most; else files as they come.  ``captioner`` makes the model, once per task; ``sink`` is told each
+    result and may fail.
     """
     batch = batch_size() if batch is None else batch
     if batch < 1:
         raise BackendError("a batch has at least one file")
+    if "caption" in files.columns:
+        raise BadInputError("the files have captions already")
     columns = files.columns
+    packs = "duration" in columns
+    rows = files
+    if packs:
+        packed = scan.packed_batches(files, seconds, batch)
+        pack = F.struct((-F.col("length")).alias("length"), "batch")  # the longest first: a task does not end on them
+        rows = packed.select(*columns, pack.alias("__pack")).repartition("__pack").sortWithinPartitions("__pack")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = captioner()
-        for b in batches:
-            out: list[str | None] = []
-            paths = b.column(b.schema.names.index("path")).to_pylist()
-            for at in range(0, len(paths), batch):
-                part = paths[at : at + batch]
+
+        def answered(part: pa.RecordBatch) -> pa.RecordBatch:
+            paths = part.column(columns.index("path")).to_pylist()
+            out = said_of(model, paths)
+            for p, c in zip(paths, out, strict=True) if sink else ():
                 try:
-                    said = list(model(part))
-                except Exception:  # noqa: BLE001 - a model may fail in any way; then each file for itself
-                    said = []
-                    for p in part:
-                        try:
-                            said += model([p])
-                        except Exception:  # noqa: BLE001
-                            said.append(None)
-                out += said
-            if sink:
-                for p, c in zip(paths, out, strict=True):
-                    try:
-                        sink(p, c)
-                    except Exception:  # noqa: BLE001, S110 - progress must not stop the work
-                        pass
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*columns, "caption"])
-
-    if "caption" in columns:
-        raise BadInputError("the files have captions already")
-    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("caption", StringType())]))
+                    sink(p, c)
+                except Exception:  # noqa: BLE001, S110 - progress must not stop the work
+                    pass
+            return pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(out, pa.string())], names=[*columns, "caption"])
+
+        waiting: list[pa.RecordBatch] = []  # of one pack, which may go on in the next Arrow batch
+        for b in batches:
+            keys = b.column(len(columns)).to_pylist() if packs else [at // batch for at in range(b.num_rows)]
+            starts = [at for at in range(b.num_rows) if at == 0 or keys[at] != keys[at - 1]]
+            for at, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                part = b.slice(at, end - at)
+                if waiting and (not packs or waiting[0].column(len(columns))[0].as_py() != keys[at]):
+                    yield answered(_one(waiting))
+                    waiting = []
+                waiting.append(part)
+        if waiting:
+            yield answered(_one(waiting))
+
+    return rows.mapInArrow(run, StructType([*files.schema.fields, StructField("caption", StringType())]))
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def loop_context(df: DataFrame, verdict: str, caption_again: str) -> Column:

@@ -480,10 +480,9 @@ def progressive_scan(spark: SparkSession, d: str) -> DataFrame:
     old = _old(spark, d).withColumn("instruments", F.array().cast("array<string>"))
     first = lambda df: scan.classify(df, None, "auto")
     second = lambda df: scan.classify(df, None, "clap").withColumn("category", F.lit("second"))
-    stored, status = scan.progressive(files, old, first, second, primary="auto", second_name="clap", keep=checkpointed)
+    stored, status = scan.progressive(files, old, first, second, primary="auto", second_name="clap", keep=checkpointed, carry={"category": "__old"})
     made = stored.select("path", F.col("category").alias("__new"))
-    kept = old.select("path", F.col("category").alias("__old"))
-    return status.join(made, "path", "left").join(kept, "path", "left").select("path", "status", F.when(F.col("status") == "cached", F.col("__old")).otherwise(F.col("__new")).alias("category"))
+    return status.join(made, "path", "left").select("path", "status", F.when(F.col("status") == "cached", F.col("__old")).otherwise(F.col("__new")).alias("category"))
 
 
 @register(
@@ -495,8 +494,9 @@ def progressive_scan(spark: SparkSession, d: str) -> DataFrame:
 def scan_counts(spark: SparkSession, d: str) -> DataFrame:
     files = projected(spark, d, "lib_files").select("path", "mtime", "duration")
     old = _old(spark, d).withColumn("instruments", F.array().cast("array<string>"))
-    stored, status = scan.progressive(files, old, lambda df: scan.classify(df, None, "auto"), lambda df: scan.classify(df, None, "clap"), primary="auto", second_name="clap", keep=checkpointed)
-    return scan.summary(stored, status, "clap")
+    counts = scan.ScanCounts()  # filled by the writes of the scan itself
+    scan.progressive(files, old, lambda df: scan.classify(df, None, "auto"), lambda df: scan.classify(df, None, "clap"), primary="auto", second_name="clap", keep=checkpointed, counts=counts)
+    return scan.summary(spark, counts)
 
 
 @register("select path, mtime from lib_files union select path, mtime + 1 as mtime from lib_files where file_id % 5 = 0")
@@ -517,6 +517,21 @@ def length_batches(spark: SparkSession, d: str) -> DataFrame:
     return scan.length_batches(projected(spark, d, "lib_files").select("file_id", "duration"), 8).select("file_id", "batch")
 
 
+@register(
+    "with c as (select *, greatest(coalesce(duration, 1), 1) as known from lib_files), k as (select *, cast(ceil(log2(known) * 4 - 1e-9::double) as int) as class from c), "
+    "l as (select *, pow(2, class / 4.0::double) as length, row_number() over (partition by class order by known, file_id) - 1 as place from k), "
+    "b as (select *, floor(place / greatest(1, least(8, floor(60.0::double / length + 1e-9::double))))::bigint as batch from l) "
+    "select round(length, 6) as length, batch, count(*) as clips, round(count(*) * length, 6) as padded, round(count(*) * length - sum(known), 6) as padding from b group by class, length, batch"
+)
+def padded_batches(spark: SparkSession, d: str) -> DataFrame:
+    """What model batches of at most 8 clips and 60 padded seconds hold, and how much of it is padding."""
+    files = projected(spark, d, "lib_files").select("file_id", "duration")
+    known = F.greatest(F.coalesce("duration", F.lit(1.0)), F.lit(1.0))
+    by_batch = scan.packed_batches(files, 60.0, 8, "file_id").groupBy("length", "batch").agg(F.count("*").alias("clips"), F.sum(known).alias("known"))
+    padded = F.col("clips") * F.col("length")
+    return by_batch.select(F.round("length", 6).alias("length"), "batch", "clips", F.round(padded, 6).alias("padded"), F.round(padded - F.col("known"), 6).alias("padding"))
+
+
 @register("select digest, ext, count(*) as n from (select distinct sha1(event_type || (event_id % 500)::varchar) as digest, case when event_id % 3 = 0 then '.wav' else '.mp3' end as ext from events) where digest not in (select sha1('click' || i::varchar) from range(0, 100) t(i)) group by 1, 2")
 def import_dedupe_sha1(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet")

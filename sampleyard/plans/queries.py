@@ -245,10 +245,12 @@ def collection_cascade(spark: SparkSession, d: str) -> DataFrame:
     return catalog.collection_counts(collections, members).select("name", F.col("count").alias("n"))
 
 
-@register("select distinct c as category from (select unnest(cast([" + duck.items(T.all_categories()) + "] as varchar[])) as c)")
+@register("select c as category, count(path) as n from (select distinct unnest(cast([" + duck.items(T.all_categories()) + "] as varchar[])) as c) left join lib_tags on category = c group by c")
 def category_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Every category of any kind, with the number of tag rows that have it."""
     every = F.array_sort(F.array_distinct(F.flatten(F.array(*[names.strings(v) for v in T.CATEGORIES.values()]))))
-    return spark.range(1).select(F.explode(every).alias("category"))
+    used = projected(spark, d, "lib_tags").groupBy("category").agg(F.count("*").alias("used"))
+    return spark.range(1).select(F.explode(every).alias("category")).join(used, "category", "left").select("category", F.coalesce("used", F.lit(0)).alias("n"))
 
 
 # --- catalog writes ------------------------------------------------------------------------------

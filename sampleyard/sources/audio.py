@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -153,24 +153,139 @@ def _aiff(data: bytes) -> tuple[int, float, int, int, int, int] | None:
     return (*form, *sound) if form else None
 
 
-def duration(data: bytes) -> float | None:
-    """Seconds by the header of WAVE, AIFF or FLAC data; None where there is no rate or another format."""
-    try:
-        if data[:4] == b"RIFF" and data[8:12] == b"WAVE" and (w := _riff(data)):
-            _, channels, rate, bits, _, size = w
+class Ranged:
+    """Reads parts of a file of ``size`` bytes by ``read(at, count)``, and counts what it read."""
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self._read, self.size, self.bytes = read, size, 0
+
+    def at(self, start: int, count: int) -> bytes:
+        got = self._read(start, count) if start < self.size else b""
+        self.bytes += len(got)
+        return got
+
+
+#: Bytes looked at behind a header: for the first frame of mp3 data and for the last page of ogg data.
+_SPAN = 1 << 16
+# Fixed values of MPEG audio headers: kbit/s of version 1 and 2 for layers 1 to 3, hertz by version, samples a frame.
+_KBITS = {
+    (1, 1): [32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448],
+    (1, 2): [32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384],
+    (1, 3): [32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320],
+    (2, 1): [32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256],
+    (2, 2): [8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
+    (2, 3): [8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
+}
+_MPEG_RATES = {3: [44_100, 48_000, 32_000], 2: [22_050, 24_000, 16_000], 0: [11_025, 12_000, 8_000]}
+_FRAME_SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
+
+
+def _chunks(f: Ranged, order: str) -> Iterator[tuple[bytes, int, int]]:
+    """(tag, place of the body, its size) of the chunks of a RIFF or AIFF file; bodies are passed over."""
+    at = 12
+    while len(head := f.at(at, 8)) == 8:
+        size = struct.unpack(f"{order}I", head[4:])[0]
+        yield head[:4], at + 8, size
+        at += 8 + size + size % 2
+
+
+def _wave_seconds(f: Ranged) -> float | None:
+    width = rate = 0
+    for tag, at, size in _chunks(f, "<"):
+        if tag == b"fmt ":
+            _, channels, rate, _, _, bits = struct.unpack("<HHIIHH", f.at(at, 16))
             width = channels * ((bits + 7) // 8)
-            return size / width / rate if rate and width else None
-        if data[:4] == b"FORM" and data[8:12] in (b"AIFF", b"AIFC") and (a := _aiff(data)):
-            return a[3] / a[1] if a[1] else None
-        if data[:4] == b"fLaC":
-            packed = int.from_bytes(data[18:26], "big")
-            rate, frames = packed >> 44, packed & ((1 << 36) - 1)
-            return frames / rate if rate else None
-    except (struct.error, ZeroDivisionError, IndexError):
-        pass
+        elif tag == b"data" and width and rate:
+            return size / width / rate
     return None
 
 
+def _aiff_seconds(f: Ranged) -> float | None:
+    for tag, at, _ in _chunks(f, ">"):
+        if tag == b"COMM":
+            body = f.at(at, 18)
+            rate = _extended(body[8:18])
+            return struct.unpack(">I", body[2:6])[0] / rate if rate else None
+    return None
+
+
+def _flac_seconds(f: Ranged) -> float | None:
+    packed = int.from_bytes(f.at(18, 8), "big")
+    rate, frames = packed >> 44, packed & ((1 << 36) - 1)
+    return frames / rate if rate else None
+
+
+def _ogg_seconds(f: Ranged) -> float | None:
+    """The position that the last page says, over the rate of the first page's header."""
+    head, tail = f.at(0, 128), f.at(max(0, f.size - _SPAN), _SPAN)
+    last = tail.rfind(b"OggS")
+    place = struct.unpack("<q", tail[last + 6 : last + 14])[0] if last >= 0 else -1
+    if place < 0:
+        return None
+    if (at := head.find(b"\x01vorbis")) >= 0:
+        rate = struct.unpack("<I", head[at + 12 : at + 16])[0]
+        return place / rate if rate else None
+    if (at := head.find(b"OpusHead")) >= 0:  # always 48,000, after what is to be skipped
+        return max(0, place - struct.unpack("<H", head[at + 10 : at + 12])[0]) / 48_000
+    return None
+
+
+def _mpeg_header(raw: bytes) -> tuple[int, int, int, int, int] | None:
+    """(version 1 or 2, layer, bits a second, rate, samples a frame) of a frame's four bytes."""
+    if len(raw) < 4 or raw[0] != 0xFF or raw[1] & 0xE0 != 0xE0:
+        return None
+    version, layer, step, rate = raw[1] >> 3 & 3, 4 - (raw[1] >> 1 & 3), raw[2] >> 4, raw[2] >> 2 & 3
+    if version == 1 or layer == 4 or step in (0, 15) or rate == 3:
+        return None
+    kind = (1 if version == 3 else 2, layer)
+    return (*kind, 1000 * _KBITS[kind][step - 1], _MPEG_RATES[version][rate], _FRAME_SAMPLES[kind])
+
+
+def _mpeg_seconds(f: Ranged) -> float | None:
+    """By the frame count of a Xing, Info or VBRI header in the first frame, else by its bit rate."""
+    tag = f.at(0, 10)
+    start = 10 + sum((b & 0x7F) << 7 * k for k, b in enumerate(reversed(tag[6:10]))) if tag[:3] == b"ID3" else 0
+    data = f.at(start, _SPAN)
+    for at in (m.start() for m in re.finditer(b"\xff[\xe2-\xff]", data)):
+        found = _mpeg_header(data[at : at + 4])
+        if not found:
+            continue
+        _, layer, bits, rate, samples = found
+        size = (12 * bits // rate) * 4 if layer == 1 else samples // 8 * bits // rate  # without padding
+        if at + size + 1 < len(data) and not any(_mpeg_header(data[at + size + pad : at + size + pad + 4]) for pad in (0, 1, 4)):
+            continue  # no frame follows: not a frame's beginning
+        frame = data[at : at + 192]
+        for mark in (b"Xing", b"Info"):
+            if (k := frame.find(mark)) >= 0 and frame[k + 7] & 1:
+                return struct.unpack(">I", frame[k + 8 : k + 12])[0] * samples / rate
+        if (k := frame.find(b"VBRI")) >= 0:
+            return struct.unpack(">I", frame[k + 14 : k + 18])[0] * samples / rate
+        return (f.size - start - at) * 8 / bits
+    return None
+
+
+def seconds_of(f: Ranged) -> float | None:
+    """Seconds by the headers of WAVE, AIFF, FLAC, ogg (vorbis, opus) or mp3 data; None where there is no rate or another format."""
+    try:
+        head = f.at(0, 12)
+        if head[:4] == b"RIFF" and head[8:] == b"WAVE":
+            return _wave_seconds(f)
+        if head[:4] == b"FORM" and head[8:] in (b"AIFF", b"AIFC"):
+            return _aiff_seconds(f)
+        if head[:4] == b"fLaC":
+            return _flac_seconds(f)
+        if head[:4] == b"OggS":
+            return _ogg_seconds(f)
+        return _mpeg_seconds(f) if head[:3] == b"ID3" or _mpeg_header(head[:4]) else None
+    except (struct.error, ZeroDivisionError, IndexError, OverflowError):
+        return None
+
+
+def duration(data: bytes) -> float | None:
+    """:func:`seconds_of` a file's whole contents."""
+    return seconds_of(Ranged(lambda at, count: data[at : at + count], len(data)))
+
+
 def decode(data: bytes) -> tuple[np.ndarray, float] | None:
     """(mono signal, rate) of PCM WAVE or AIFF data, else None."""
     try:
@@ -295,17 +410,38 @@ def with_features(files: DataFrame) -> DataFrame:
     return signals.select("clip", "path", "mtime", "duration").join(signal_features(signals.select("clip", "rate", "y")), "clip", "left").drop("clip")
 
 
-def with_durations(files: DataFrame, head: int = 1 << 16) -> DataFrame:
-    """``files(path, content)`` -> (path, duration) from the leading bytes; from all bytes only where a longer file's header lies beyond them."""
+def with_durations(files: DataFrame) -> DataFrame:
+    """``files(path, content)`` -> (path, duration), of contents that are in rows already; :func:`probed` reads headers alone."""
 
     @F.pandas_udf("double")
     def seconds(content: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else duration(x) for x in content], dtype="float64")
 
-    content, early = F.col("content"), F.col("early")
-    probed = files.select("path", "content", seconds(F.substring(content, 1, head)).alias("early"))
-    beyond = F.when(early.isNull() & (F.octet_length(content) > head), content)
-    return probed.select("path", F.coalesce(early, seconds(beyond)).alias("duration"))
+    return files.select("path", seconds("content").alias("duration"))
+
+
+def probed(files: DataFrame) -> DataFrame:
+    """``files(path, ...)`` -> (path, duration, bytes_read): headers read in the tasks by seeking, a bounded part of each file.
+
+    Chunk heads of WAVE and AIFF, the first block of FLAC, the first and last page of ogg, the tag and first frame of
+    mp3.  A file that cannot be opened has a null duration and 0 bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seconds, counts = [], []
+            for path in b.column(0).to_pylist():
+                try:
+                    with _opened(path) as f:
+                        source = Ranged(lambda at, count, f=f: f.read_at(count, at), f.size())
+                        seconds.append(seconds_of(source))
+                        counts.append(source.bytes)
+                except (OSError, TypeError):
+                    seconds.append(None)
+                    counts.append(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seconds, pa.float64()), pa.array(counts, pa.int64())], names=["path", "duration", "bytes_read"])
+
+    return files.select("path").mapInArrow(run, "path string, duration double, bytes_read long")
 
 
 def loop_render(files: DataFrame, bpm: float = T.LOOP_CONTEXT["bpm"], bars: int = T.LOOP_CONTEXT["bars"]) -> DataFrame:

@@ -71,6 +71,40 @@ def test_headers_beyond_the_leading_bytes(spark):
     assert got == {"late": 0.5, "aiff": 6.0, "early": 0.5, "long": None, "null": None}
 
 
+def page(position, body):
+    return b"OggS" + bytes(2) + struct.pack("<q", position) + bytes(12) + bytes([1, len(body)]) + body
+
+
+def mpeg(kbit_step=9, rate_step=0, frames=20, first=b""):
+    """Version 1, layer 3 frames; 128 kbit/s at 44,100 Hz by default."""
+    size = 144 * [32, 40, 48, 56, 64, 80, 96, 112, 128, 160][kbit_step - 1] * 1000 // 44_100
+    head = bytes([0xFF, 0xFB, kbit_step << 4 | rate_step << 2, 0])
+    return b"".join(head + (first if k == 0 else b"").ljust(size - 4, b"\0") for k in range(frames))
+
+
+def test_headers_are_read_by_seeking(spark, tmp_path):
+    """Durations of every listed format, from a bounded part of each file however long it is."""
+    vorbis = b"\x01vorbis" + bytes(4) + b"\x02" + struct.pack("<I", 48_000) + bytes(14)
+    opus = b"OpusHead" + bytes([1, 2]) + struct.pack("<HI", 480, 44_100) + bytes(3)
+    tag = b"ID3\x04\x00\x00" + bytes([0, 4, 0, 0])  # 65,536 bytes of tag, as four groups of seven bits
+    xing = bytes(32) + b"Info" + struct.pack(">II", 1, 1000)
+    wave = audio.encode_wav(tone(440, 0.5), RATE)
+    late = wave[:12] + b"JUNK" + struct.pack("<I", 3_000_000) + bytes(3_000_000) + wave[12:]
+    flac = b"fLaC" + bytes([0, 0, 0, 34]) + bytes(10) + ((44_100 << 44) | 88_200).to_bytes(8, "big") + bytes(16)
+    made = {
+        "a.wav": (wave, 0.5), "late.wav": (late, 0.5), "b.flac": (flac + bytes(2_000_000), 2.0), "c.ogg": (page(0, vorbis) + bytes(2_000_000) + page(96_000, b"x"), 2.0),
+        "d.ogg": (page(0, opus) + bytes(500) + page(48_480, b"x"), 1.0), "e.mp3": (mpeg(frames=4000), 4000 * 417 * 8 / 128_000), "f.mp3": (tag + bytes(65_536) + mpeg(first=xing), 1000 * 1152 / 44_100),
+        "g.mp3": (b"ID3 but nothing more", None), "h.ogg": (b"OggS", None), "i.wav": (b"R", None), "j.mp3": (bytes(3_000_000), None),
+    }
+    for name, (raw, _) in made.items():
+        (tmp_path / name).write_bytes(raw)
+    files = audio.list_files(spark, f"file://{tmp_path}").unionByName(spark.createDataFrame([("/none/at/all.wav", 0.0, 0), (None, 0.0, 0)], "path string, mtime double, length long"))
+    got = {(r["path"] or "").rsplit("/", 1)[-1]: (r["duration"], r["bytes_read"]) for r in audio.probed(files).collect()}
+    assert {n: s for n, (s, _) in got.items()} == {n: pytest.approx(s, rel=1e-3) if s else None for n, (_, s) in made.items()} | {"all.wav": None, "": None}
+    assert max(n for _, n in got.values()) <= (1 << 16) + 256 and got["late.wav"][1] < 100 and got["b.flac"][1] < 100
+    assert {n: audio.duration(raw) for n, (raw, _) in made.items()} == {n: got[n][0] for n in made}
+
+
 def test_features_of_known_signals(spark):
     clicks = np.zeros(RATE * 4)
     clicks[:: RATE // 2] = 1.0  # 120 beats a minute

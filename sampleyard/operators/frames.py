@@ -137,17 +137,32 @@ def _middle(values: Column) -> Column:
 
 def percussive(bins: DataFrame, width: int = 17) -> DataFrame:
     """(clip, ratio): the share of energy that is smooth in frequency rather than in time, by soft masks of running medians; 0 of silence."""
+    return ratios(textures(bins, width))
+
+
+def textures(bins: DataFrame, width: int = 17, gain: float = 100.0) -> DataFrame:
+    """(clip, frame, rise, p, h): of each frame what :func:`rises` gives (null for a clip's first), and its percussive and harmonic energy.
+
+    One sort of the bins in time and one in frequency serve all three.
+    """
     half = width // 2
+    level = F.log1p(gain * F.col("magnitude"))
+    time = over_frames("bin")
     rows = chunked(bins.select("clip", "frame", "bin", "magnitude"), half, half)
-    along = _owned(rows.withColumn("__along", F.collect_list("magnitude").over(over_frames("bin").rowsBetween(-half, half))))
+    rows = _owned(rows.select("*", F.collect_list("magnitude").over(time.rowsBetween(-half, half)).alias("along"), F.lag("magnitude").over(time).alias("before")))
     across = Window.partitionBy("clip", "frame").orderBy("bin").rowsBetween(-half, half)  # one frame's bins
-    both = along.select("clip", "magnitude", _middle(F.col("__along")).alias("a"), _middle(F.collect_list("magnitude").over(across)).alias("h"))
-    soft = F.col("h") * F.col("h") / F.greatest(F.col("h") * F.col("h") + F.col("a") * F.col("a"), F.lit(1e-12))
-    parts = both.select("clip", "magnitude", soft.alias("soft")).groupBy("clip").agg(
-        F.sum(F.pow(F.col("magnitude") * F.col("soft"), F.lit(2))).alias("p"), F.sum(F.pow(F.col("magnitude") * (1 - F.col("soft")), F.lit(2))).alias("h")
-    )
-    whole = F.col("p") + F.col("h")
-    return parts.select("clip", F.when(whole > 0, F.col("p") / whole).otherwise(0.0).alias("ratio"))
+    grown = F.when(F.col("frame") > 0, F.greatest(F.lit(0.0), level - F.log1p(gain * F.col("before"))))
+    both = rows.select("clip", "frame", "magnitude", grown.alias("grown"), _middle(F.col("along")).alias("a"), _middle(F.collect_list("magnitude").over(across)).alias("b"))
+    soft = F.col("b") * F.col("b") / F.greatest(F.col("b") * F.col("b") + F.col("a") * F.col("a"), F.lit(1e-12))
+    m = F.col("magnitude")
+    parts = both.select("clip", "frame", "magnitude", "grown", soft.alias("soft")).groupBy("clip", "frame")
+    return parts.agg(F.avg("grown").alias("rise"), F.sum(F.pow(m * F.col("soft"), F.lit(2))).alias("p"), F.sum(F.pow(m * (1 - F.col("soft")), F.lit(2))).alias("h"))
+
+
+def ratios(textures: DataFrame) -> DataFrame:
+    """(clip, ratio) of :func:`textures`."""
+    sums = textures.groupBy("clip").agg(F.sum("p").alias("p"), F.sum("h").alias("h"))
+    return sums.select("clip", F.when(F.col("p") + F.col("h") > 0, F.col("p") / (F.col("p") + F.col("h"))).otherwise(0.0).alias("ratio"))
 
 
 def chroma(bins: DataFrame, step: Column, low: float = 27.0, high: float = 5000.0, tuning: float = 440.0) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import taxonomy as T
+from ..sources.shared import dealt
 
 _CUES = ("kind", "label", "bpm", "key")
 
@@ -37,12 +38,6 @@ def folder_cues(folders: DataFrame) -> DataFrame:
     return parts.join(dictionary, "part").groupBy("folder").agg(*found, deepest("key", _certain(F.col("part_key"))).alias("folder_certain"))
 
 
-def dealt(files: DataFrame) -> DataFrame:
-    """``files``, dealt out anew where they lie in fewer partitions than there are cores: parsing a path costs far more than moving it."""
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores)
-
-
 def with_names(files: DataFrame, path_col: str = "path", name: str = "name") -> DataFrame:
     """``files`` with the STRUCT of :func:`sampleyard.functions.names.classify_name` as column ``name``.
 

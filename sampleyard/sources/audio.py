@@ -25,7 +25,7 @@ from ..functions import taxonomy as T
 from ..functions.names import file_name
 from ..operators import frames
 from . import config
-from .shared import checkpointed
+from .shared import checkpointed, dealt
 
 FEATURES = [
     "spectral_centroid", "spectral_rolloff", "zero_crossing_rate", "log_attack_time", "percussive_ratio",
@@ -381,10 +381,12 @@ def signal_features(signals: DataFrame) -> DataFrame:
     ``signals`` is read more than once, so it should be a table or checkpointed.
     """
     step = F.col("step")
-    cut = frames.frames_of_signals(signals.where(F.col("y").isNotNull()).select("clip", (F.col("rate") / FRAME).alias("step"), "y"), FRAME, HOP)
-    spectra = checkpointed(frames.spectra(cut, FRAME, pitches, "pitch"))  # used by each of the features below
+    cut = frames.frames_of_signals(dealt(signals.where(F.col("y").isNotNull()).select("clip", (F.col("rate") / FRAME).alias("step"), "y")), FRAME, HOP)
+    # used by each of the features below; dealt out by frame, so that what looks at one frame moves nothing
+    spectra = checkpointed(frames.spectra(cut, FRAME, pitches, "pitch").repartition("clip", "frame"))
     bins, clips = frames.bins(spectra.drop("pitch")), waveforms(signals)
-    rises = frames.rises(bins)
+    textures = checkpointed(frames.textures(bins))  # a row a frame
+    rises = textures.where(F.col("frame") > 0).select("clip", "frame", "rise")
     peaks = frames.onsets(rises).groupBy("clip").agg(F.count_if("peak").alias("peaks"), F.max("rise").alias("top"))
     tempo = frames.tempos(rises.join(clips.select("clip", "rate"), "clip"), F.col("rate") / HOP)
     voice = F.when(~F.isnan("pitch"), F.col("pitch"))
@@ -392,7 +394,7 @@ def signal_features(signals: DataFrame) -> DataFrame:
     pitch = spectra.groupBy("clip").agg((F.count(voice) / F.count("*")).alias("voiced_ratio"), steady.alias("pitch_stability"))
     colour = frames.chroma(bins, step).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("pitch_class", "energy")))["energy"].alias("chroma"))
     shape = frames.shapes(bins, step).withColumnsRenamed({"centroid": "spectral_centroid", "rolloff": "spectral_rolloff"})
-    split = frames.percussive(bins).withColumnRenamed("ratio", "percussive_ratio")
+    split = frames.ratios(textures).withColumnRenamed("ratio", "percussive_ratio")
     contrast = frames.contrasts(bins, step).withColumnRenamed("contrast", "formant_strength")
     found = clips
     for part in (shape, split, pitch, peaks, contrast, tempo, colour):  # one row a clip each

@@ -23,3 +23,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew where it lies in fewer partitions than there are cores: for rows that cost far more to work on than to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -45,31 +45,48 @@ def frames_of_signals(signals: DataFrame, size: int, hop: int) -> DataFrame:
     return rows.withColumn("frame", F.explode(F.sequence(F.lit(0), last))).withColumn("y", F.slice("y", F.col("frame").cast("int") * hop + 1, size))
 
 
-def spectra(frames: DataFrame, size: int, also: Callable[[np.ndarray], np.ndarray] | None = None, name: str = "also") -> DataFrame:
+def smoothed(magnitudes: np.ndarray, width: int) -> np.ndarray:
+    """Running medians along each row, of what there is of a window at its ends."""
+    half = width // 2
+    out = np.empty_like(magnitudes)
+    n = magnitudes.shape[1]
+    if n > 2 * half:
+        out[:, half : n - half] = np.median(np.lib.stride_tricks.sliding_window_view(magnitudes, 2 * half + 1, axis=1), axis=2)
+    for k in [*range(min(half, n)), *range(max(half, n - half), n)]:
+        out[:, k] = np.median(magnitudes[:, max(0, k - half) : k + half + 1], axis=1)
+    return out
+
+
+def spectra(frames: DataFrame, size: int, also: Callable[[np.ndarray], np.ndarray] | None = None, name: str = "also", smooth: int | None = None) -> DataFrame:
     """``frames`` with ``magnitudes`` instead of ``y``: of each frame by itself, under a Hann window.
 
-    ``also`` gives one more number of each frame (rows of an array), for the column ``name``.
+    ``also`` gives one more number of each frame (rows of an array), for the column ``name``; ``smooth`` the
+    width of running medians over a frame's magnitudes, for the column ``smoothed``.
     """
     keep = [c for c in frames.columns if c != "y"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.select(keep).schema.fields)
     window = np.hanning(size)
+    added = [*([name] if also else []), "magnitudes", *(["smoothed"] if smooth else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(at, 256) for at in range(0, b.num_rows, 256)):
+            for part in (b.slice(at, 64) for at in range(0, b.num_rows, 64)):
                 y = part.column(len(keep)).flatten().to_numpy().astype(np.float64).reshape(-1, size)
                 found = np.abs(np.fft.rfft(y * window, axis=1))
                 ends = pa.array(np.arange(len(y) + 1) * found.shape[1], pa.int32())
-                more = [pa.array(also(y))] if also else []
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more, pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], names=[*keep, *[name] * len(more), "magnitudes"])
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (found, *([smoothed(found, smooth)] if smooth else []))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *([pa.array(also(y))] if also else []), *lists], names=[*keep, *added])
 
-    return frames.select(*keep, "y").mapInArrow(run, f"{schema}{f', `{name}` double' if also else ''}, magnitudes array<double>")
+    kinds = [f"`{name}` double" if c == name and also else f"{c} array<double>" for c in added]
+    return frames.select(*keep, "y").mapInArrow(run, ", ".join([schema, *kinds]))
 
 
 def bins(spectra: DataFrame) -> DataFrame:
-    """A row for each frequency: ``bin`` and ``magnitude`` instead of ``magnitudes``."""
-    keep = [c for c in spectra.columns if c != "magnitudes"]
-    return spectra.select(*keep, F.posexplode("magnitudes").alias("bin", "magnitude"))
+    """A row for each frequency: ``bin`` and ``magnitude`` instead of ``magnitudes``, and ``across`` instead of ``smoothed`` where that is there."""
+    keep = [c for c in spectra.columns if c not in ("magnitudes", "smoothed")]
+    if "smoothed" not in spectra.columns:
+        return spectra.select(*keep, F.posexplode("magnitudes").alias("bin", "magnitude"))
+    return spectra.select(*keep, F.posexplode(F.arrays_zip("magnitudes", "smoothed")).alias("bin", "__x")).select(*keep, "bin", F.col("__x.magnitudes").alias("magnitude"), F.col("__x.smoothed").alias("across"))
 
 
 def chunked(rows: DataFrame, before: int, after: int, chunk: int = CHUNK) -> DataFrame:
@@ -143,16 +160,19 @@ def percussive(bins: DataFrame, width: int = 17) -> DataFrame:
 def textures(bins: DataFrame, width: int = 17, gain: float = 100.0) -> DataFrame:
     """(clip, frame, rise, p, h): of each frame what :func:`rises` gives (null for a clip's first), and its percussive and harmonic energy.
 
-    One sort of the bins in time and one in frequency serve all three.
+    One sort of the bins in time and one in frequency serve all three; where the bins have their medians over frequency
+    (``across``, of the same width), the second is not needed.
     """
     half = width // 2
     level = F.log1p(gain * F.col("magnitude"))
     time = over_frames("bin")
-    rows = chunked(bins.select("clip", "frame", "bin", "magnitude"), half, half)
+    known = ["across"] if "across" in bins.columns else []
+    rows = chunked(bins.select("clip", "frame", "bin", "magnitude", *known), half, half)
     rows = _owned(rows.select("*", F.collect_list("magnitude").over(time.rowsBetween(-half, half)).alias("along"), F.lag("magnitude").over(time).alias("before")))
-    across = Window.partitionBy("clip", "frame").orderBy("bin").rowsBetween(-half, half)  # one frame's bins
+    in_frame = Window.partitionBy("clip", "frame").orderBy("bin").rowsBetween(-half, half)
+    across = F.col("across") if known else _middle(F.collect_list("magnitude").over(in_frame))
     grown = F.when(F.col("frame") > 0, F.greatest(F.lit(0.0), level - F.log1p(gain * F.col("before"))))
-    both = rows.select("clip", "frame", "magnitude", grown.alias("grown"), _middle(F.col("along")).alias("a"), _middle(F.collect_list("magnitude").over(across)).alias("b"))
+    both = rows.select("clip", "frame", "magnitude", grown.alias("grown"), _middle(F.col("along")).alias("a"), across.alias("b"))
     soft = F.col("b") * F.col("b") / F.greatest(F.col("b") * F.col("b") + F.col("a") * F.col("a"), F.lit(1e-12))
     m = F.col("magnitude")
     parts = both.select("clip", "frame", "magnitude", "grown", soft.alias("soft")).groupBy("clip", "frame")

@@ -383,7 +383,7 @@ def signal_features(signals: DataFrame) -> DataFrame:
     step = F.col("step")
     cut = frames.frames_of_signals(dealt(signals.where(F.col("y").isNotNull()).select("clip", (F.col("rate") / FRAME).alias("step"), "y")), FRAME, HOP)
     # used by each of the features below; dealt out by frame, so that what looks at one frame moves nothing
-    spectra = checkpointed(frames.spectra(cut, FRAME, pitches, "pitch").repartition("clip", "frame"))
+    spectra = checkpointed(frames.spectra(cut, FRAME, pitches, "pitch", smooth=17).repartition("clip", "frame"))
     bins, clips = frames.bins(spectra.drop("pitch")), waveforms(signals)
     textures = checkpointed(frames.textures(bins))  # a row a frame
     rises = textures.where(F.col("frame") > 0).select("clip", "frame", "rise")

@@ -55,6 +55,20 @@ def test_windows_over_chunks_are_as_over_whole_clips(spark, spectra, monkeypatch
         assert [rise[c, k + 1] for k in range(len(grown))] == pytest.approx(grown.tolist())
 
 
+def test_medians_over_frequency_in_a_frame_or_in_a_window(spark):
+    rng = np.random.default_rng(4)
+    for n, width in ((1, 5), (3, 5), (5, 5), (9, 5), (40, 17)):
+        x = rng.random((3, n))
+        want = [[np.median(line[max(0, k - width // 2) : k + width // 2 + 1]) for k in range(n)] for line in x]
+        assert np.allclose(frames.smoothed(x, width), want)
+    signals = spark.createDataFrame([("a", rng.normal(size=400).tolist()), ("b", rng.normal(size=70).tolist())], "clip string, y array<double>")
+    cut = frames.frames_of_signals(signals, 64, 16)
+    within, apart = (frames.textures(frames.bins(frames.spectra(cut, 64, smooth=s)), 17).orderBy("clip", "frame").collect() for s in (17, None))
+    assert len(within) == len(apart) == 23
+    for a, b in zip(within, apart, strict=True):
+        assert a["p"] == pytest.approx(b["p"]) and a["h"] == pytest.approx(b["h"]) and a["rise"] == (b["rise"] if b["rise"] is None else pytest.approx(b["rise"]))
+
+
 @pytest.mark.parametrize("chunk", [12, 512])
 def test_onsets_and_tempo_by_plain_loops(spark, monkeypatch, chunk):
     monkeypatch.setattr(frames.chunked, "__defaults__", (chunk,))

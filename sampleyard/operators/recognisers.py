@@ -6,12 +6,13 @@ A model backend is a function from DataFrame to DataFrame: it adds an ``embeddin
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions import captions, rules, similarity
 from ..functions import taxonomy as T
@@ -86,12 +87,12 @@ def said_of(model: Captioner, paths: list[str]) -> list[str | None]:
         return said_of(model, paths[:half]) + said_of(model, paths[half:])
 
 
-def with_captions(files: DataFrame, captioner: Callable[[], Captioner], batch: int | None = None, sink: Callable[[str, str | None], None] | None = None, seconds: float = 240.0) -> DataFrame:
+def with_captions(files: DataFrame, captioner: Callable[[], Captioner], batch: int | None = None, sink: Callable[[str, str | None], None] | None = None, seconds: float = 240.0, counts: Observation | None = None) -> DataFrame:
     """Adds ``caption`` to ``files(path, ...)``: model calls in batches (by default of the setting's size), by halves where a batch fails, null where a file does.
 
     Where the files have a ``duration``, a batch holds clips of like length from all over the table, and ``seconds`` padded
     seconds at most; else files as they come.  ``captioner`` makes the model, once per task; ``sink`` is told each
-    result and may fail.
+    result and may fail.  ``counts`` is filled by whatever writes the result: :func:`run_record` makes a record of it.
     """
     batch = batch_size() if batch is None else batch
     if batch < 1:
@@ -107,17 +108,23 @@ def with_captions(files: DataFrame, captioner: Callable[[], Captioner], batch: i
         rows = packed.select(*columns, pack.alias("__pack")).repartition("__pack").sortWithinPartitions("__pack")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        began = time.perf_counter()
         model = captioner()
+        load = [time.perf_counter() - began]  # told once, by the first row
 
         def answered(part: pa.RecordBatch) -> pa.RecordBatch:
             paths = part.column(columns.index("path")).to_pylist()
+            began = time.perf_counter()
             out = said_of(model, paths)
+            took = time.perf_counter() - began
             for p, c in zip(paths, out, strict=True) if sink else ():
                 try:
                     sink(p, c)
                 except Exception:  # noqa: BLE001, S110 - progress must not stop the work
                     pass
-            return pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(out, pa.string())], names=[*columns, "caption"])
+            only_first = lambda x: pa.array([x, *[0.0] * (len(paths) - 1)], pa.float64())
+            spent = [only_first(took), only_first(load.pop() if load else 0.0), only_first(1.0)]
+            return pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(out, pa.string()), *spent], names=[*columns, "caption", *_SPENT])
 
         waiting: list[pa.RecordBatch] = []  # of one pack, which may go on in the next Arrow batch
         for b in batches:
@@ -132,7 +139,23 @@ def with_captions(files: DataFrame, captioner: Callable[[], Captioner], batch: i
         if waiting:
             yield answered(_one(waiting))
 
-    return rows.mapInArrow(run, StructType([*files.schema.fields, StructField("caption", StringType())]))
+    made = rows.mapInArrow(run, StructType([*files.schema.fields, StructField("caption", StringType()), *(StructField(c, DoubleType()) for c in _SPENT)]))
+    if counts:
+        took, load, calls = (F.coalesce(F.sum(c), F.lit(0.0)) for c in _SPENT)
+        made = made.observe(counts, F.count("*").alias("files"), F.count("caption").alias("captioned"), calls.cast("long").alias("batches"), took.alias("seconds"), load.alias("load_seconds"))
+    return made.drop(*_SPENT)
+
+
+#: Columns in which a batch's first row says what it took; they do not leave this module.
+_SPENT = ["__seconds", "__load_seconds", "__calls"]
+
+
+def run_record(spark: SparkSession, counts: Observation) -> DataFrame:
+    """One row for the analytics of a captioner's run: files, captioned, failed, batches, seconds of captioning and of loading, and loading's share."""
+    c = counts.get
+    whole = c["seconds"] + c["load_seconds"]
+    row = ("captions", c["files"], c["captioned"], c["files"] - c["captioned"], c["batches"], c["seconds"], c["load_seconds"], c["load_seconds"] / whole if whole else 0.0)
+    return spark.createDataFrame([row], "event string, files long, captioned long, failed long, batches long, seconds double, load_seconds double, load_share double")
 
 
 def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:

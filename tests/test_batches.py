@@ -61,6 +61,30 @@ def test_captioner_gets_packs_and_halves_of_those_that_fail(spark, tmp_path):
     assert sorted(retried) == [1, *sorted(retried)[1:]] and len(retried) <= 4  # 8, 4, 2, 1
 
 
+def test_a_run_of_the_captioner_is_recorded(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from sampleyard.sources import audio
+
+    def captioner():
+        def said(paths):
+            if "/3" in paths:
+                raise ValueError(paths)
+            return ["x" for _ in paths]
+
+        return said
+
+    counts = Observation()
+    files = spark.createDataFrame([(f"/{i}", 2.0) for i in range(20)], "path string, duration double")
+    made = recognisers.with_captions(files, captioner, batch=8, counts=counts)
+    assert made.columns == ["path", "duration", "caption"]
+    made.write.parquet(f"{tmp_path}/captions")
+    record = recognisers.run_record(spark, counts)
+    r = record.first()
+    assert (r["event"], r["files"], r["captioned"], r["failed"], r["batches"]) == ("captions", 20, 19, 1, 3) and r["seconds"] > 0 and 0 <= r["load_share"] <= 1
+    assert audio.append_analytics(record, f"file://{tmp_path}/log") and spark.read.json(f"file://{tmp_path}/log").first()["files"] == 20
+
+
 def test_captions_without_lengths_and_with_short_answers(spark):
     files = spark.createDataFrame([(f"{i}",) for i in range(5)], "path string").coalesce(1)
     got = recognisers.with_captions(files, lambda: lambda paths: ["x"] if len(paths) > 1 else [f"one {paths[0]}"], batch=3).collect()

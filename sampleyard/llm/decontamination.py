@@ -24,6 +24,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, slices, texts_of, written
+from .common import bounded_batches, drop_table, slices, texts_of, written
 from .shingles import multipliers, shingle_hashes, shingle_set
 
 #: Shingles in a block; windows begin at blocks.
@@ -160,11 +161,30 @@ def contaminated(
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_items: int = 20_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item."""
+    """The rows of ``docs``, all columns, that hold no item.
+
+    With one block of items rows are filtered where they lie.  With more, rows are numbered once in a written table; each
+    block's pass writes the numbers of the rows it hits, and these rows are left out by one join.
+    """
+    rows, hits, tables = None, [], []
     for block, last in _blocks(items, item_col, item_text_col, block_items):
-        docs = bounded_batches(docs).mapInArrow(_filter(block, n, threshold, recall, text_col), docs.schema)
-        docs = docs if last else _freed(docs, block)
-    return docs
+        if last and rows is None:
+            return bounded_batches(docs).mapInArrow(_filter(block, n, threshold, recall, text_col), docs.schema)
+        if rows is None:
+            rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "contamination-rows")
+        found = bounded_batches(rows.select(ROW, text_col)).mapInArrow(_hits(block, n, threshold, recall), f"{ROW} long")
+        hits.append(written(found, "contamination"))
+        block.destroy()
+    if rows is None:
+        return docs
+    every = written(reduce(DataFrame.unionByName, hits).distinct(), "contamination-hits")
+    for done in hits:
+        drop_table(done)
+    return rows.join(every, ROW, "left_anti").drop(ROW)
+
+
+#: The number of a row while it is searched for several blocks of items.
+ROW = "__contamination_row"
 
 
 def _freed(found: DataFrame, block: Broadcast) -> DataFrame:
@@ -179,9 +199,12 @@ def _blocks(items: DataFrame, item_col: str, item_text_col: str, block_items: in
     rows = items.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).groupBy("id", "text").agg(F.count("*").alias("copies"))
     rows = written(rows, "contamination-items")
     blocks = math.ceil(rows.count() / block_items)
-    for k in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        yield items.sparkSession.sparkContext.broadcast(own.toArrow().sort_by("text")), k == blocks - 1
+    try:
+        for k in range(blocks):
+            own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
+            yield items.sparkSession.sparkContext.broadcast(own.toArrow().sort_by("text")), k == blocks - 1
+    finally:  # every block that was asked for is on its way
+        drop_table(rows)
 
 
 _KEPT: dict = {}
@@ -235,3 +258,16 @@ def _filter(block: Broadcast, n: int, threshold: float, recall: float, text_col:
                 yield b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_()))
 
     return run
+
+
+def _hits(block: Broadcast, n: int, threshold: float, recall: float):
+    key = (uuid.uuid4().hex, n, threshold, recall)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, index = _index(block, key)
+        for whole in batches:
+            for b in slices(whole, 64):
+                hit = sorted({h[0] for h in _verified(texts_of(b.column(1)), index, n, threshold)})
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int64()))], names=[ROW])
+
+    return run

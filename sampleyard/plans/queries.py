@@ -618,4 +618,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | frame_queries.ORACLES
+    from . import audio_queries
+
+    return ORACLES | frame_queries.ORACLES | audio_queries.ORACLES

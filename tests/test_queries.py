@@ -22,12 +22,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_duckdb(spark, duck, name):
-    df = queries.QUERIES[name](spark, SMALL)
+    df = queries.queries()[name](spark, SMALL)
     columns = sorted(df.columns)
     mine = sorted([tuple(plain(r[c]) for c in columns) for r in df.collect()], key=str)
-    cursor = duck.execute(queries.ORACLES[name])
+    cursor = duck.execute(queries.oracle_sql()[name])
     found = [d[0] for d in cursor.description]
     assert sorted(found) == columns
     theirs = sorted([tuple(plain(r[found.index(c)]) for c in columns) for r in cursor.fetchall()], key=str)

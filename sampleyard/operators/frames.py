@@ -10,6 +10,9 @@ No window holds a whole clip: frames are dealt into chunks that overlap by what
 (:func:`chunked`), so one clip with most of the frames is spread over many tasks.  Statistics of a clip
 are aggregates that are joined back, one row for each clip.
 
+Where a signal is at hand as a whole array, :func:`frame_rows` gives what needs the frame and those beside it alone, so that neither spectra nor
+bins are ever written or shuffled; a row a frame remains.
+
 Defined results: nulls among samples count as zero; a clip without samples has no frames, so no row;
 repeated (clip, at) pairs are not allowed; clips may be of any type, null excepted (such rows are left out).
 """
@@ -45,16 +48,104 @@ def frames_of_signals(signals: DataFrame, size: int, hop: int) -> DataFrame:
     return rows.withColumn("frame", F.explode(F.sequence(F.lit(0), last))).withColumn("y", F.slice("y", F.col("frame").cast("int") * hop + 1, size))
 
 
+def _merged(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
+    """Two sorted lists of arrays, of equal length that is a power of two, as one list that is sorted at each place (odd-even merging)."""
+    if len(x) == 1:
+        return [np.minimum(x[0], y[0]), np.maximum(x[0], y[0])]
+    even, odd = _merged(x[::2], y[::2]), _merged(x[1::2], y[1::2])
+    between = [f(a, b) for a, b in zip(odd[:-1], even[1:], strict=True) for f in (np.minimum, np.maximum)]
+    return [even[0], *between, odd[-1]]
+
+
+def _whole_windows(x: np.ndarray, half: int) -> np.ndarray:
+    """Medians along the first axis of the windows of ``2 * half + 1`` rows that lie within ``x``.
+
+    Two neighbouring windows share ``2 * half`` rows: of these the two in the middle are found once, by merging sorted
+    runs that later windows share as well, and either window's last row is put between them.
+    """
+    n = len(x) - 2 * half
+    if half & (half - 1):  # no power of two
+        return np.median(np.lib.stride_tricks.sliding_window_view(x, 2 * half + 1, axis=0), axis=-1)
+    x = np.concatenate([x, x[-1:]]) if n % 2 else x  # an even number of windows
+    even, odd = x[::2].copy(), x[1::2].copy()
+    # runs of two rows from row 1 on, at every second row; then of four, eight, ...
+    runs, apart = _merged([odd[:-1]], [even[1:]]), 1
+    while len(runs) < half:
+        runs, apart = _merged([r[:-apart] for r in runs], [r[apart:] for r in runs]), 2 * apart
+    if half == 1:
+        low, high = runs
+    else:
+        first, second = [r[:-apart] for r in runs], [r[apart:] for r in reversed(runs)]
+        low, high = np.minimum(first[0], second[0]), np.maximum(first[0], second[0])
+        for a, b in zip(first[1:], second[1:], strict=True):
+            np.maximum(low, np.minimum(a, b), out=low)
+            np.minimum(high, np.maximum(a, b), out=high)
+    out = np.empty((2 * len(low), *x.shape[1:]))
+    out[::2] = np.minimum(np.maximum(even[: len(low)], low), high)
+    out[1::2] = np.minimum(np.maximum(odd[half : half + len(low)], low), high)
+    return out[:n]
+
+
+def medians(x: np.ndarray, width: int) -> np.ndarray:
+    """Running medians along the first axis, of what there is of a window at the ends (the mean of two middle values)."""
+    half = width // 2
+    if not half or not x.size:
+        return x.astype(np.float64)
+    # infinities of changing sign beyond the ends leave a window's median, or its upper middle value where the lower is with the signs changed
+    signs = np.where(np.arange(half) % 2, -np.inf, np.inf).reshape(-1, *[1] * (x.ndim - 1)) * np.ones((1, *x.shape[1:]))
+    middle, other = (lambda rows, s=s: _whole_windows(np.concatenate([s * signs[::-1], rows, -s * signs]), half) for s in (1, -1))
+    found = middle(x)
+    if len(x) <= 4 * half:
+        return (found + other(x)) / 2
+    found[:half] = (found[:half] + other(x[: 2 * half])[:half]) / 2
+    found[-half:] = (found[-half:] + other(x[-2 * half :])[-half:]) / 2
+    return found
+
+
 def smoothed(magnitudes: np.ndarray, width: int) -> np.ndarray:
     """Running medians along each row, of what there is of a window at its ends."""
-    half = width // 2
-    out = np.empty_like(magnitudes)
-    n = magnitudes.shape[1]
-    if n > 2 * half:
-        out[:, half : n - half] = np.median(np.lib.stride_tricks.sliding_window_view(magnitudes, 2 * half + 1, axis=1), axis=2)
-    for k in [*range(min(half, n)), *range(max(half, n - half), n)]:
-        out[:, k] = np.median(magnitudes[:, max(0, k - half) : k + half + 1], axis=1)
-    return out
+    return np.ascontiguousarray(medians(np.ascontiguousarray(magnitudes.T), width).T)
+
+
+#: Frames that :func:`frame_rows` works on at once, without what they overlap.
+TOGETHER = 64
+BANDS = 7
+
+
+def frame_rows(y: np.ndarray, step: float, size: int, hop: int, also: Callable[[np.ndarray], np.ndarray], width: int = 17, gain: float = 100.0) -> Iterator[dict[str, np.ndarray]]:
+    """Numbers of the frames of one signal, some frames at a time, each with the frames that its medians reach.
+
+    ``frame`` is its number; ``rise``, ``p`` and ``h`` are as of :func:`textures`, ``centroid`` and ``rolloff`` as of :func:`shapes`, ``chroma``
+    and ``spreads`` the sums and spreads of which :func:`chroma` and :func:`contrasts` take means and variances, all for
+    spectra whose bins are ``step`` hertz apart; ``also`` gives the pitch of each of an array of frames.
+    """
+    y = np.pad(y, (0, max(0, size - len(y))))
+    cut = np.lib.stride_tricks.sliding_window_view(y, size)[::hop]
+    window, half, hertz = np.hanning(size), width // 2, np.arange(size // 2 + 1) * step
+    with np.errstate(divide="ignore"):
+        classes = np.floor(12 * np.log2(hertz / 440.0) + 69 + 0.5)
+    inside = (hertz > 27.0) & (hertz < 5000.0)
+    pitched = ((np.where(inside, classes, 0)[:, None] % 12 == np.arange(12)) & inside[:, None]).astype(np.float64)
+    high = int(np.searchsorted(hertz, 8000.0))
+    ends = np.cumsum([0, *(high // BANDS + (k < high % BANDS) for k in range(min(BANDS, high)))])
+    for at in range(0, len(cut), TOGETHER):
+        own, seen = slice(at, min(at + TOGETHER, len(cut))), slice(max(0, at - half), at + TOGETHER + half)
+        around = np.abs(np.fft.rfft(cut[seen] * window, axis=1))
+        place = slice(own.start - seen.start, own.stop - seen.start)
+        m, along = around[place], medians(around, width)[place]
+        across = smoothed(m, width)
+        level = np.log1p(gain * around[max(0, place.start - 1) : place.stop])
+        grown = np.maximum(0.0, np.diff(level, axis=0)).mean(axis=1)
+        soft = across**2 / np.maximum(across**2 + along**2, 1e-12)
+        so_far = np.cumsum(m, axis=1)
+        total = so_far[:, -1]
+        floor = np.maximum(total, 1e-12)
+        over = (so_far >= 0.85 * floor[:, None]) | (so_far >= total[:, None])
+        order = np.log(np.maximum(np.sort(m[:, :high], axis=1), 1e-9))
+        yield {
+            "frame": np.arange(own.start, own.stop), "rise": np.concatenate([[np.nan], grown]) if at == 0 else grown, "p": ((m * soft) ** 2).sum(axis=1), "h": ((m * (1 - soft)) ** 2).sum(axis=1),
+            "centroid": m @ hertz / floor, "rolloff": np.where(total > 0, hertz[over.argmax(axis=1)], 0.0), "pitch": also(cut[own]), "chroma": m @ pitched, "spreads": order[:, ends[1:] - 1] - order[:, ends[:-1]],
+        }
 
 
 def spectra(frames: DataFrame, size: int, also: Callable[[np.ndarray], np.ndarray] | None = None, name: str = "also", smooth: int | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Audio files as DataFrames: listing, header durations, decoding and features.
 
-Listing never reads content.  For features a file is decoded once; its frames, and their spectra and pitches
-by a helper that sees one frame, are rows, and the features are windows and aggregates over them
+Listing never reads content.  For features a file is decoded once, in the task that has its row; a row of numbers for each frame
+leaves that task, samples and spectra do not, and the features are windows and aggregates over these rows
 (:mod:`sampleyard.operators.frames`); an unreadable file gives null.  The signal methods
 follow public definitions (short-time spectra, YIN pitch, median-filter separation); they
 approximate, not reproduce, any particular library.
@@ -25,7 +25,7 @@ from ..functions import taxonomy as T
 from ..functions.names import file_name
 from ..operators import frames
 from . import config
-from .shared import checkpointed, dealt
+from .shared import bounded_batches, checkpointed, dealt
 
 FEATURES = [
     "spectral_centroid", "spectral_rolloff", "zero_crossing_rate", "log_attack_time", "percussive_ratio",
@@ -342,74 +342,117 @@ def pitches(frames: np.ndarray) -> np.ndarray:
     return np.where(under.any(axis=1) & (np.abs(frames).max(axis=1) >= 1e-6), PITCH_RATE / (at + 1), np.nan)
 
 
-def signals_of(files: DataFrame) -> DataFrame:
-    """``files(path, mtime, content)`` -> (path, mtime, duration, rate, y): decoded mono signals, null where there is none; one decode per file."""
+#: What :func:`_rows_of` gives of a clip (its first row, without a frame) and of each of its frames.
+_CLIP = {"rate": "double", "seconds": "double", "zero_crossing_rate": "double", "log_attack_time": "double"}
+_FRAME = {"frame": "long", "rise": "double", "p": "double", "h": "double", "centroid": "double", "rolloff": "double", "pitch": "double", "chroma": "array<double>", "spreads": "array<double>"}
+_ROWS = _CLIP | _FRAME
+_ROWS_DDL = ", ".join(f"{c} {t}" for c, t in _ROWS.items())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 16):
-                part = b.slice(at, 16)
-                raw = [x or b"" for x in part.column(2).to_pylist()]
-                found = [decode(x) or (None, None) for x in raw]
-                columns = [pa.array([duration(x) for x in raw], pa.float64()), pa.array([r for _, r in found], pa.float64()), pa.array([y for y, _ in found], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["path", "mtime", "duration", "rate", "y"])
-
-    return files.select("path", "mtime", "content").mapInArrow(run, "path string, mtime double, duration double, rate double, y array<double>")
 
+def waveform(y: np.ndarray, rate: float) -> dict[str, float]:
+    sign = np.signbit(y)
+    crossings = float((sign[1:] != sign[:-1]).sum() / len(y)) if len(y) else 0.0
+    attack = float(np.log10(max(int(np.abs(y).argmax()) / rate, 1e-4))) if len(y) else -3.0
+    return {"rate": rate, "seconds": len(y) / rate, "zero_crossing_rate": crossings, "log_attack_time": attack}
 
-def waveforms(signals: DataFrame) -> DataFrame:
-    """(clip, rate, seconds, zero_crossing_rate, log_attack_time) of ``signals(clip, rate, y)``."""
-    keep = f"clip {signals.schema['clip'].dataType.simpleString()}, rate double, seconds double, zero_crossing_rate double, log_attack_time double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seconds, crossings, attacks = [], [], []
-            for rate, y in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                y = y.values.to_numpy(zero_copy_only=False)
-                sign, size = np.signbit(y), np.abs(y)
-                seconds.append(len(y) / rate)
-                crossings.append(float((sign[1:] != sign[:-1]).sum() / len(y)) if len(y) else 0.0)
-                attacks.append(float(np.log10(max(int(size.argmax()) / rate, 1e-4))) if len(y) else -3.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.float64()) for x in (seconds, crossings, attacks))], names=["clip", "rate", "seconds", "zero_crossing_rate", "log_attack_time"])
 
-    return signals.where(F.col("y").isNotNull()).select("clip", "rate", "y").mapInArrow(run, keep)
-
-
-def signal_features(signals: DataFrame) -> DataFrame:
-    """(clip, features STRUCT) of ``signals(clip, rate, y)``, by rows of frames and bins; an empty signal has its defined values.
-
-    ``signals`` is read more than once, so it should be a table or checkpointed.
-    """
-    step = F.col("step")
-    cut = frames.frames_of_signals(dealt(signals.where(F.col("y").isNotNull()).select("clip", (F.col("rate") / FRAME).alias("step"), "y")), FRAME, HOP)
-    # used by each of the features below; dealt out by frame, so that what looks at one frame moves nothing
-    spectra = checkpointed(frames.spectra(cut, FRAME, pitches, "pitch", smooth=17).repartition("clip", "frame"))
-    bins, clips = frames.bins(spectra.drop("pitch")), waveforms(signals)
-    textures = checkpointed(frames.textures(bins))  # a row a frame
-    rises = textures.where(F.col("frame") > 0).select("clip", "frame", "rise")
+def _table(values: dict, n: int, types: dict[str, str]) -> list[pa.Array]:
+    """Columns of ``n`` rows in the order of ``types``, null where there is no value; NaN is null too."""
+    out = []
+    for c, t in types.items():
+        x, kind = values.get(c), pa.int64() if t == "long" else pa.float64()
+        if x is None:
+            out.append(pa.nulls(n, pa.list_(kind) if t.startswith("array") else kind))
+        elif t.startswith("array"):
+            out.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), kind)))
+        else:
+            out.append(pa.array(np.atleast_1d(x), kind, from_pandas=True))
+    return out
+
+
+def _rows_of(clip: pa.Array, y: np.ndarray | None, rate: float | None, more: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    """A row of the clip, with ``more`` columns before those of ``_ROWS``, and a row for each frame, where they are null."""
+    names = ["clip", *(f"more{k}" for k in range(len(more))), *_ROWS]
+    own = waveform(y, rate) if y is not None else {}
+    yield pa.RecordBatch.from_arrays([clip, *more, *_table(own, 1, _ROWS)], names=names)
+    for found in frames.frame_rows(y, rate / FRAME, FRAME, HOP, pitches) if y is not None and len(y) else ():
+        n = len(found["frame"])
+        yield pa.RecordBatch.from_arrays([clip.take(pa.array([0] * n)), *(pa.nulls(n, x.type) for x in more), *_table(found, n, _ROWS)], names=names)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows``."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """(clip, features STRUCT) of ``rows(clip, <_ROWS>)``, a written table."""
+    clips, by_frame = rows.where(F.col("frame").isNull()).select("clip", *_CLIP).where(F.col("rate").isNotNull()), rows.where(F.col("frame").isNotNull())
+    rises = by_frame.where(F.col("frame") > 0).select("clip", "frame", "rise")
     peaks = frames.onsets(rises).groupBy("clip").agg(F.count_if("peak").alias("peaks"), F.max("rise").alias("top"))
     tempo = frames.tempos(rises.join(clips.select("clip", "rate"), "clip"), F.col("rate") / HOP)
-    voice = F.when(~F.isnan("pitch"), F.col("pitch"))
-    steady = F.when((F.count(voice) > 1) & (F.avg(voice) > 0), F.stddev_pop(voice) / F.avg(voice)).otherwise(1.0)
-    pitch = spectra.groupBy("clip").agg((F.count(voice) / F.count("*")).alias("voiced_ratio"), steady.alias("pitch_stability"))
-    colour = frames.chroma(bins, step).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("pitch_class", "energy")))["energy"].alias("chroma"))
-    shape = frames.shapes(bins, step).withColumnsRenamed({"centroid": "spectral_centroid", "rolloff": "spectral_rolloff"})
-    split = frames.ratios(textures).withColumnRenamed("ratio", "percussive_ratio")
-    contrast = frames.contrasts(bins, step).withColumnRenamed("contrast", "formant_strength")
+    steady = F.when((F.count("pitch") > 1) & (F.avg("pitch") > 0), F.stddev_pop("pitch") / F.avg("pitch")).otherwise(1.0)
+    energy = F.sum("p") + F.sum("h")
+    bands = F.array_compact(F.array(*[F.var_pop(F.get("spreads", F.lit(k))) for k in range(frames.BANDS)]))
+    # the frames of a clip lie together: a clip's sums are nearly all made where they are
+    sums = by_frame.groupBy("clip").agg(
+        F.avg("centroid").alias("spectral_centroid"), F.avg("rolloff").alias("spectral_rolloff"), F.when(energy > 0, F.sum("p") / energy).alias("percussive_ratio"),
+        (F.count("pitch") / F.count("*")).alias("voiced_ratio"), steady.alias("pitch_stability"), bands.alias("bands"), F.array(*[F.avg(F.get("chroma", F.lit(k))) for k in range(12)]).alias("chroma"),
+    )
     found = clips
-    for part in (shape, split, pitch, peaks, contrast, tempo, colour):  # one row a clip each
+    for part in (sums, peaks, tempo):  # one row a clip each
         found = found.join(part, "clip", "left")
     density = F.when((F.col("seconds") > 0) & (F.col("top") > 0), F.col("peaks") / F.col("seconds"))
+    contrast = F.when(F.size("bands") > 0, F.aggregate("bands", F.lit(0.0), lambda a, v: a + v) / F.size("bands"))
     none = {"pitch_stability": 1.0}
-    values = found.withColumn("transient_density", density)
+    values = found.withColumn("transient_density", density).withColumn("formant_strength", contrast)
     made = [F.coalesce(F.col(f), F.lit(none.get(f, 0.0))).alias(f) for f in FEATURES]
     return values.select("clip", F.struct(*made, F.coalesce("chroma", F.array_repeat(F.lit(0.0), F.lit(12))).alias("chroma")).alias("features"))
 
 
+def signal_features(signals: DataFrame) -> DataFrame:
+    """(clip, features STRUCT) of ``signals(clip, rate, y)``, by rows of frames; an empty signal has its defined values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at, rate in enumerate(b.column(1).to_pylist()):
+                    yield from _rows_of(b.column(0).slice(at, 1), b.column(2).slice(at, 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64), rate, [])
+
+        return _packed(each())
+
+    kind = signals.schema["clip"].dataType.simpleString()
+    known = bounded_batches(dealt(signals.where(F.col("y").isNotNull()).select("clip", "rate", "y")))
+    return _features(checkpointed(known.mapInArrow(run, f"clip {kind}, {_ROWS_DDL}")))
+
+
 def with_features(files: DataFrame) -> DataFrame:
     """``files(path, mtime, content)`` -> (path, mtime, duration, features STRUCT); one decode per file, null features where there is no signal."""
-    signals = checkpointed(signals_of(files).withColumn("clip", F.monotonically_increasing_id()))
-    return signals.select("clip", "path", "mtime", "duration").join(signal_features(signals.select("clip", "rate", "y")), "clip", "left").drop("clip")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(b.num_rows):
+                    one = b.slice(at, 1)
+                    raw = one.column(3)[0].as_py() or b""
+                    y, rate = decode(raw) or (None, None)
+                    yield from _rows_of(one.column(0), y, rate, [one.column(1), one.column(2), pa.array([duration(raw)], pa.float64())])
+
+        return _packed(each())
+
+    known = bounded_batches(dealt(files.select(F.monotonically_increasing_id().alias("clip"), "path", "mtime", "content")))
+    kinds = f"clip long, more0 string, more1 double, more2 double, {_ROWS_DDL}"
+    rows = checkpointed(known.mapInArrow(run, kinds).withColumnsRenamed({"more0": "path", "more1": "mtime", "more2": "duration"}))
+    clips = rows.where(F.col("frame").isNull()).select("clip", "path", "mtime", "duration")
+    return clips.join(_features(rows.select("clip", *_ROWS)), "clip", "left").drop("clip")
 
 
 def with_durations(files: DataFrame) -> DataFrame:

@@ -29,3 +29,15 @@ def dealt(df: DataFrame) -> DataFrame:
     """``df``, dealt out anew where it lies in fewer partitions than there are cores: for rows that cost far more to work on than to move."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def bounded_batches(df: DataFrame, rows: int = 1024, size: str = "8m") -> DataFrame:
+    """``df``, after setting the session's Arrow batches to ``rows`` rows and ``size`` bytes, where they had more rows.
+
+    Rows that hold whole files or signals lie in the JVM and in Python workers a batch at a time, for each task of an executor.
+    """
+    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(most)) <= rows:
+        conf.set(most, str(rows))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df

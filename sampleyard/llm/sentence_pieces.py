@@ -22,7 +22,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
+from itertools import chain, pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,11 @@ MARK = "▁"
 #: A worker's caches are emptied at this many entries, so they are bounded whatever the corpus.
 CACHE_SEGMENTS = 600_000
 
+#: Parts of so many characters at most have their agenda in a list, which is quicker than a heap where it is short.
+SHORT = 24
+#: The rank of a pair that is no piece.
+NONE = 1 << 40
+
 _SEGMENTS = re.compile(f"{MARK}+[^{MARK}]*").findall
 _WORKER: dict[str, PieceModel] = {}
 
@@ -92,17 +98,32 @@ class PieceModel:
                 heappush(agenda, (found << 32) | ahead)
         return [s for s in symbols if s]
 
+    def _short(self, part: str) -> list[str]:
+        """As :meth:`_agenda`, for few symbols: the agenda is a list of the pairs' ranks by place, and no entry of it gets outdated."""
+        rank, symbols = self.rank, list(part)
+        agenda = [rank.get(pair, NONE) for pair in map(add, part, part[1:])]
+        while agenda and (best := min(agenda)) != NONE:
+            at = agenda.index(best)  # the leftmost
+            symbols[at] = pair = symbols[at] + symbols.pop(at + 1)
+            del agenda[at]
+            if at < len(agenda):
+                agenda[at] = rank.get(pair + symbols[at + 1], NONE)
+            if at:
+                agenda[at - 1] = rank.get(symbols[at - 1] + pair, NONE)
+        return symbols
+
     def _part(self, part: str) -> bytes:
         known = self.parts.get(part)
         if known is None:
             ids = self.ids
-            self.parts[part] = known = b"".join([ids[s] if s in ids else b"".join([self.bytes[x] for x in s.encode()]) for s in self._agenda(part)])
+            symbols = self._short(part) if len(part) <= SHORT else self._agenda(part)
+            self.parts[part] = known = b"".join([ids[s] if s in ids else b"".join([self.bytes[x] for x in s.encode()]) for s in symbols])
         return known
 
     def _segment(self, segment: str) -> bytes:
         pairs = self.pairs
-        cuts = [0, *[k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in pairs], len(segment)]
-        return b"".join([self._part(segment[a:z]) for a, z in pairwise(cuts)])
+        cuts = [k for k, pair in enumerate(map(add, segment, segment[1:]), 1) if pair not in pairs]
+        return b"".join([self._part(segment[a:z]) for a, z in pairwise([0, *cuts, len(segment)])]) if cuts else self._part(segment)
 
     def _split(self, text: str) -> list[str]:
         """Segments without their first mark."""
@@ -116,27 +137,22 @@ class PieceModel:
         """Ids of each text, begin and end ids included, as little-endian unsigned 32-bit integers."""
         if max(len(self.segments), len(self.parts)) > CACHE_SEGMENTS:
             self.segments, self.parts = {}, {}
-        known, new, out = self.segments, [], []
-        for text in texts:
-            split = self._split(text) if text else []
-            try:
-                ids = b"".join([known[s] for s in split])
-            except KeyError:
-                for s in split:
-                    if s not in known:
-                        known[s] = self._segment(MARK + s)
-                        new.append(s)
-                ids = b"".join([known[s] for s in split])
-            out.append(self.begin + ids + self.end)
+        known = self.segments
+        splits = [self._split(text) if text else [] for text in texts]
+        new = list(set().union(*splits).difference(known))
+        for s in new:
+            known[s] = self._segment(MARK + s)
         self.check(new)
-        return out
+        return [b"".join([self.begin, *[known[s] for s in split], self.end]) for split in splits]
 
     def check(self, segments: list[str]) -> None:
         """Every segment's ids against the library's, which puts the first mark itself; raises where they differ."""
         segments = [s for s in segments if s]  # for an empty text the library puts no mark
-        for s, ids in zip(segments, self.library.encode(segments, num_threads=1), strict=True):
-            if np.array(ids, "<u4").tobytes() != self.segments[s]:
-                raise AssertionError(f"the library encodes {s!r} otherwise")
+        own, found = [self.segments[s] for s in segments], self.library.encode(segments, num_threads=1)
+        if [len(x) // 4 for x in own] == list(map(len, found)) and np.fromiter(chain.from_iterable(found), "<u4").tobytes() == b"".join(own):
+            return
+        wrong = next(s for s, x, ids in zip(segments, own, found, strict=True) if np.array(ids, "<u4").tobytes() != x)
+        raise AssertionError(f"the library encodes {wrong!r} otherwise")
 
 
 def _model(raw: bytes) -> PieceModel:

@@ -1,6 +1,7 @@
 """Operators 11, 12 and 13: against their library, plain Python integers and brute-force counts."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -32,6 +33,20 @@ def test_sentence_pieces_are_the_librarys(spark, library):
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want
 
 
+def test_agendas_in_a_list_and_in_a_heap_agree(monkeypatch):
+    """op11: short parts have their agenda in a list; the symbols are those of the heap, ties and characters without a piece too."""
+    model = sentence_pieces.PieceModel(open(MODEL, "rb").read())
+    rng = random.Random(4)
+    for _ in range(4000):
+        part = "".join(rng.choice("aaaeinst\u2581rdlhe\u00e9\u4e2d") for _ in range(rng.randrange(1, 2 * sentence_pieces.SHORT)))
+        assert model._short(part) == model._agenda(part)
+    texts = ["".join(rng.choice("aab enthe \n") for _ in range(80)) for _ in range(50)]
+    wanted = model.encode(texts)
+    for short in (0, 1000):
+        monkeypatch.setattr(sentence_pieces, "SHORT", short)
+        assert sentence_pieces.PieceModel(open(MODEL, "rb").read()).encode(texts) == wanted
+
+
 def test_sentence_pieces_of_odd_rows(spark, library):
     docs = odd.odd_documents(spark).union(odd.documents(spark, [(50 + i, t, None) for i, t in enumerate(MARKS)]))
     rows = sentence_pieces.decode(sentence_pieces.encode(docs, MODEL), MODEL).collect()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import recognisers, scan
 from ..sources import audio
+from ..sources.shared import bounded_batches
 from .projections import projected, with_projections
 
 RATE = 22_050
@@ -18,7 +19,7 @@ def clips(spark: SparkSession, d: str) -> DataFrame:
     """(path, mtime, content): for every embedding a tone, hit or noise as WAVE bytes, by its label."""
 
     def render(batches):
-        for b in batches:
+        for b in (whole[at : at + 256] for whole in batches for at in range(0, len(whole), 256)):
             out = []
             for i, label in zip(b["file_id"], b["label"], strict=True):
                 t = np.arange(int(RATE * (0.15 + 0.05 * (label % 10)))) / RATE
@@ -29,7 +30,7 @@ def clips(spark: SparkSession, d: str) -> DataFrame:
             yield pd.DataFrame({"path": [f"/Clips/{int(i)}.wav" for i in b["file_id"]], "mtime": 0.0, "content": out})
 
     rows = projected(spark, d, "lib_signal").select("file_id", F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("label"))
-    return rows.mapInPandas(render, "path string, mtime double, content binary")
+    return bounded_batches(rows).mapInPandas(render, "path string, mtime double, content binary")
 
 
 def probe_duration(spark: SparkSession, d: str) -> DataFrame:

@@ -456,13 +456,13 @@ def with_features(files: DataFrame) -> DataFrame:
 
 
 def with_durations(files: DataFrame) -> DataFrame:
-    """``files(path, content)`` -> (path, duration), of contents that are in rows already; :func:`probed` reads headers alone."""
+    """``files(path, content)`` -> (path, duration), of contents that are in rows already, a bounded batch of them at a time; :func:`probed` reads headers alone."""
 
     @F.pandas_udf("double")
     def seconds(content: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else duration(x) for x in content], dtype="float64")
 
-    return files.select("path", seconds("content").alias("duration"))
+    return bounded_batches(files).select("path", seconds("content").alias("duration"))
 
 
 def probed(files: DataFrame) -> DataFrame:

@@ -503,14 +503,17 @@ def scan_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @register("select path, mtime from lib_files union select path, mtime + 1 as mtime from lib_files where file_id % 5 = 0")
 def stream_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Three listings, the second with a fifth of the files changed, the third as the second: what comes through the stream, batch by batch."""
+    """Three listings, the second with a fifth of the files changed, the third as the second: what comes through the stream, which goes on after each.
+
+    A listing is as many files as it was written by, so batches are counted by listings (of up to a thousand files), not by files.
+    """
     files = projected(spark, d, "lib_files").select("path", "mtime", F.lit(0).cast("long").alias("length"), "file_id")
     folder = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
     later = files.withColumn("mtime", F.when(F.col("file_id") % 5 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")))
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
     for listing in (files, later, later):
         ingest.announce(listing, f"{folder}/log")
-    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-    ingest.changes(spark, f"{folder}/log", files_per_batch=1).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        ingest.changes(spark, f"{folder}/log").writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("path", "mtime")
 
 

@@ -4,7 +4,7 @@ Large-star and small-star steps (Kiveris et al., "Connected Components in MapRed
 Beyond") replace each node's neighbours by the least of them.  The least neighbour comes from an
 ordinary ``min`` aggregate (combined before the shuffle, so a hub costs no more than any node);
 it is joined back to a hub's edges where they lie, as the hubs are few.  Each round is written to
-the shared folder; nothing is collected but one row of counts.
+the shared folder; nothing is collected but one row of counts, observed as the round is written.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, join_totals, written
+from .common import drop_table, join_totals, written, written_with
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
@@ -41,19 +41,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     empty table gives an empty table.  Raises if ``max_rounds`` rounds (far above the
     logarithmic number needed) do not reach the fixed point.
     """
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+    counts = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
+    now, found = written_with(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", *counts
     )
     before = None
     for _ in range(max_rounds):
-        found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == found or not found["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = found
         large = written(_large_star(now, found["n"]).distinct(), "large-star")
-        nxt = written(_small_star(large, found["n"]).distinct(), "small-star")
+        nxt, found = written_with(_small_star(large, found["n"]).distinct(), "small-star", *counts)
         drop_table(large)
         drop_table(now)
         now = nxt

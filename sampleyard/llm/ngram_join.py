@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT, bounded_batches, drop_table, join_totals, mix64, slices, spread_sql_conf, texts_of, written
+from .common import HOT, bounded_batches, drop_table, join_totals, mix64, slices, spread_sql_conf, texts_of, written, written_with
 from .components import components
 from .shingles import minhash, multipliers, shingle_set
 
@@ -103,15 +103,13 @@ def _repeated(profiled: DataFrame, id_col: str) -> DataFrame:
     return profiled.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1 or __id is null")
 
 
-def _not_often(docs: DataFrame, repeated: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows of the (at most ``HOT``) ids that very many of the repeated rows have: they would meet in one task for nothing."""
-    again = repeated.where("__id is not null")
-    total = again.agg(F.sum("__n")).first()[0]
-    often = again.where(F.col("__n") > (total or 0) / HOT)
+def _not_often(docs: DataFrame, repeated: DataFrame, total: int, id_col: str) -> DataFrame:
+    """``docs`` without the rows of the (at most ``HOT``) ids that very many of the ``total`` repeated rows have: they would meet in one task for nothing."""
+    often = repeated.where("__id is not null").where(F.col("__n") > total / HOT)
     return docs.join(F.broadcast(often), docs[id_col] == often["__id"], "left_anti") if total else docs
 
 
-def _keyed(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def _keyed(docs: DataFrame, repeated: DataFrame, total: int, id_col: str, text_col: str, n: int) -> DataFrame:
     """The rows of ``docs`` with null or repeated ids, and their set's hash as ``__key``: ids do not tell these apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,15 +120,14 @@ def _keyed(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, n:
                 yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "__key"])
 
     rows = docs.where(F.col(id_col).isNull())
-    again = repeated.where("__id is not null")
-    total = again.agg(F.sum("__n")).first()[0]
     if total:
+        again = repeated.where("__id is not null")
         met = join_totals(docs, again.withColumnRenamed("__id", id_col), id_col, total, "__n")
         rows = rows.unionByName(met.select(*docs.columns))
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())]))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, again: Row, id_col: str, text_col: str, n: int) -> DataFrame:
     """(key, shingles binary) of the wanted (rep, key): each is rebuilt from the text of one row of its class.
 
     Where only one row has the id it is found by the id, and else by the set's hash.
@@ -149,14 +146,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, id_col: str,
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") > 0)
     plain = wanted
-    if not repeated.isEmpty():
+    if again["ids"]:
         # a class has one row here, so an id has at most its distinct texts
         plain = wanted.join(repeated, F.col("rep").eqNullSafe(F.col("__id")), "left_anti")
     # ``wanted`` grows with the corpus: one plan at every size
-    found = _not_often(rows, repeated, "__id").join(plain.hint("merge"), F.col("__id") == F.col("rep")).select("key", "__text")
+    found = _not_often(rows, repeated, again["rows"], "__id").join(plain.hint("merge"), F.col("__id") == F.col("rep")).select("key", "__text")
     if plain is not wanted:
         others = wanted.join(repeated, F.col("rep").eqNullSafe(F.col("__id")), "left_semi").select("key")
-        keyed = _keyed(rows, repeated, "__id", "__text", n).where("__key is not null").groupBy("__key").agg(F.min("__text").alias("__text"))
+        keyed = _keyed(rows, repeated, again["rows"], "__id", "__text", n).where("__key is not null").groupBy("__key").agg(F.min("__text").alias("__text"))
         found = found.unionByName(keyed.join(others.hint("merge"), F.col("__key") == F.col("key")).select("key", "__text"))
     return found.mapInArrow(run, "key long, shingles binary")
 
@@ -270,33 +267,34 @@ def _verify(cells: DataFrame, threshold: float, partitions: int) -> DataFrame:
     )
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile table, class table, repeated ids): the profile has a row number; the class table is (key, rep, rep_row, weight, group, group_id, group_key, group_row, class_links).
+def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, int, DataFrame, DataFrame, Row]:
+    """(profile table, its rows, class table, repeated ids, their number ``ids`` and ``rows`` of those that are not null): the profile has a row number; the class table is (key, rep, rep_row, weight, group, group_id, group_key, group_row, class_links).
 
     ``group_row`` is the row that stays, ``group_key`` its class: of the group's least id, then the least class and row.
     """
     spark = docs.sparkSession
     bands, rows = banding(threshold, recall)
-    profiled = written(profile(docs, id_col, text_col, n, bands, rows).withColumn("row", F.monotonically_increasing_id()), "ngram-profiles")
-    repeated = written(_repeated(profiled, id_col), "ngram-repeated")
+    every = F.count("*").alias("n")
+    profiled, of_profiles = written_with(profile(docs, id_col, text_col, n, bands, rows).withColumn("row", F.monotonically_increasing_id()), "ngram-profiles", every)
+    met = F.coalesce(F.sum(F.when(F.col("__id").isNotNull(), F.col("__n"))), F.lit(0)).alias("rows")
+    repeated, again = written_with(_repeated(profiled, id_col), "ngram-repeated", F.count("*").alias("ids"), met)
     head = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "row")).alias("head")
-    classes = written(
+    classes, of_classes = written_with(
         profiled.where("key is not null").groupBy("key").agg(head, F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
         .select("key", F.col("head.id").alias("rep"), F.col("head.row").alias("rep_row"), "weight", "n_shingles", "bands"),
-        "ngram-classes",
+        "ngram-classes", every,
     )
-    distinct = classes.count()
-    stars = written(_stars(classes, distinct * bands), "ngram-stars")
-    starred = stars.count()
+    distinct = of_classes["n"]
+    stars, of_stars = written_with(_stars(classes, distinct * bands), "ngram-stars", every)
     about = classes.select("key", "rep", "rep_row", "weight", "n_shingles")
     members = written(stars.groupBy("key").agg(F.collect_list("leader").alias("leaders")).join(about, "key"), "ngram-members")  # at most `bands` leaders each
-    sets = _sets(docs, members.select("key", "rep"), repeated, id_col, text_col, n)
+    sets = _sets(docs, members.select("key", "rep"), repeated, again, id_col, text_col, n)
     sized = stars.join(members.select("key", "n_shingles"), "key").groupBy("leader").agg(
         F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / CHUNK_CLASSES), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("m")
     )
     chunk = F.pmod(F.xxhash64("key", "leader"), F.col("m")).cast("int")
     cells = (
-        join_totals(stars, sized, "leader", starred)
+        join_totals(stars, sized, "leader", of_stars["n"])
         .withColumn("side", chunk)
         .withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
         .select("leader", "key", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
@@ -314,7 +312,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     groups = written(join_totals(table, firsts, "group", distinct), "ngram-groups")
     for done in (stars, members, found, table, classes):
         drop_table(done)
-    return profiled, groups, repeated
+    return profiled, of_profiles["n"], groups, repeated, again
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,8 +321,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     ``n_links`` counts the other rows whose n-gram sets have Jaccard similarity ``threshold`` or more
     with this row's; ``class_id`` is the least id reachable by links; ``kept`` marks one row of that id.
     """
-    profiled, table, _ = _groups(docs, id_col, text_col, n, threshold, recall)
-    worded = join_totals(profiled.where("key is not null"), table.withColumn("n", F.col("weight")), "key", profiled.count())
+    profiled, total, table, _, _ = _groups(docs, id_col, text_col, n, threshold, recall)
+    worded = join_totals(profiled.where("key is not null"), table.withColumn("n", F.col("weight")), "key", total)
     worded = worded.select(F.col(id_col), F.col("group_id").alias("class_id"), (F.col("class_links") + F.col("weight") - 1).alias("n_links"), (F.col("row") == F.col("group_row")).alias("kept"), "n_shingles")
     bare = profiled.where("key is null").select(F.col(id_col), F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "n_shingles")
     return worded.select(id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"), "n_links", "kept", "n_shingles").unionByName(bare)
@@ -335,16 +333,16 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
 
     Rows without words are groups of their own and all stay.
     """
-    profiled, table, repeated = _groups(docs, id_col, text_col, n, threshold, recall)
+    profiled, _, table, repeated, again = _groups(docs, id_col, text_col, n, threshold, recall)
     heads = written(table.where("key = group_key").select(F.col("key").alias("__head"), F.col("group_id").alias("__id")), "ngram-heads")
     bare = profiled.where("key is null").select(F.lit(None).cast("long").alias("__head"), F.col(id_col).alias("__id"))
     own = heads.unionByName(bare)
-    if repeated.isEmpty():
+    if not again["ids"]:
         return docs.join(own.hint("merge"), docs[id_col] == own["__id"]).select(*[docs[c] for c in docs.columns])
     own = own.join(repeated.select(F.col("__id").alias("__again")), F.col("__id").eqNullSafe(F.col("__again")), "left_anti")
-    rows = _not_often(docs, repeated, id_col)
+    rows = _not_often(docs, repeated, again["rows"], id_col)
     single = rows.join(own.hint("merge"), rows[id_col] == own["__id"]).select(*[rows[c] for c in docs.columns])
-    keyed = _keyed(docs, repeated, id_col, text_col, n)
+    keyed = _keyed(docs, repeated, again["rows"], id_col, text_col, n)
     one = F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias("__row")
     met = keyed.where("__key is not null").groupBy("__key", F.col(id_col).alias("__own")).agg(one)
     met = met.join(heads.hint("merge"), (F.col("__key") == F.col("__head")) & F.col("__own").eqNullSafe(F.col("__id"))).select("__row.*")

@@ -2,9 +2,10 @@
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sampleyard.llm import byte_bpe, queries
+from sampleyard.llm import byte_bpe, common, ngram_join, queries
 
 from . import odd
 
@@ -41,3 +42,19 @@ def test_odd_and_empty_tables_pass_through(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, f"file://{tmp_path}")
     assert docs.count() == 0
+
+
+def test_what_a_table_knows_of_itself_takes_no_job(spark):
+    """The driver keeps something of every job: rows are counted while they are written, and few rows are joined as they are."""
+    docs = queries.table(spark, odd.SMALL, "documents")
+    spark.sparkContext.setJobGroup("keep-one", "")
+    try:
+        kept = ngram_join.keep_one(docs).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("keep-one"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept and jobs <= 60  # 76 with a job for each count
+    table, found = common.written_with(docs.select("doc_id"), "counted", F.count("*").alias("n"), F.sum("doc_id").alias("s"))
+    assert found["n"] == table.count() and found["s"] == table.agg(F.sum("doc_id")).first()[0]
+    table, found = common.written_with(docs.select("doc_id").limit(0), "counted", F.count("*").alias("n"))
+    assert (found["n"], table.count()) == (0, 0)
